@@ -228,10 +228,19 @@ def tree_leaves(features: Column, model: TreeModel) -> Column:
 
 
 def prefix_scores(
-    features: Column, model: TreeModel, checkpoints: Sequence[int], initial: Column | None = None
+    features: Column,
+    model: TreeModel,
+    checkpoints: Sequence[int],
+    initial: Column | None = None,
+    start: int = 0,
 ) -> Column:
-    """Running score after each checkpoint number of trees, starting from base or ``initial``."""
+    """Running score after each checkpoint number of trees, starting from base or ``initial``.
+
+    With ``start`` the first trees count as done and ``initial`` holds their score.
+    """
     cps = check_checkpoints(checkpoints, model.n_trees)
+    if cps[0] <= start and start:
+        raise ValueError(f"checkpoint {cps[0]} is not beyond the {start} trees already done")
 
     @F.arrow_udf("array<float>")
     def tree_prefix(batch: pa.Array, first: pa.Array) -> pa.Array:
@@ -240,14 +249,14 @@ def prefix_scores(
         out = np.empty((len(x), len(cps)), dtype=np.float32)
         for at, tile, has_nan in _tiles(x):
             acc = begin[at].copy()
-            for i, (done, cp) in enumerate(zip([0, *cps], cps)):
+            for i, (done, cp) in enumerate(zip([start, *cps], cps)):
                 for pos in range(done, cp):
                     acc += _tree_leaf(model, pos, tile, has_nan)
                 out[at, i] = acc
         return _spread_lists(out, rows, len(batch))
 
-    start = F.lit(model.base).cast("float") if initial is None else initial.cast("float")
-    return tree_prefix(features, start)
+    begin_score = F.lit(model.base).cast("float") if initial is None else initial.cast("float")
+    return tree_prefix(features, begin_score)
 
 
 def check_checkpoints(checkpoints: Sequence[int], n_trees: int) -> list[int]:
