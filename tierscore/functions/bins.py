@@ -6,7 +6,7 @@ comparison would put a missing value into the last bin.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +17,19 @@ _STRIDE = 16
 
 
 def float_array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)).cast("float") for v in values])
+    """A constant array; folded to one literal by the optimizer, however long it is."""
+    if not values:
+        return F.array().cast("array<float>")
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<float>")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once and written once in the plan.
+
+    A column used many times inside one expression is otherwise repeated each time, and nested
+    uses multiply.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def count_at_most(edges: Sequence[float] | Column, x: Column) -> Column:
@@ -27,15 +39,26 @@ def count_at_most(edges: Sequence[float] | Column, x: Column) -> Column:
     the 16 edges behind it), so 257 edges cost about 32 comparisons instead of 257.
     """
     value = F.when(~F.isnan(x), x.cast("float"))
-    if isinstance(edges, Column):
-        n = F.size(F.filter(edges, lambda e: e <= value))
-    elif len(edges) <= 2 * _STRIDE:
-        n = F.size(F.filter(float_array(edges), lambda e: e <= value))
+    arr = edges if isinstance(edges, Column) else float_array(edges)
+    if not isinstance(edges, Column) and len(edges) > 2 * _STRIDE:
+        n = count_in_long(arr, float_array(edges[_STRIDE - 1 :: _STRIDE]), value)
     else:
-        coarse = F.size(F.filter(float_array(edges[_STRIDE - 1 :: _STRIDE]), lambda e: e <= value))
-        fine = F.slice(float_array(edges), coarse * _STRIDE + 1, _STRIDE)
-        n = coarse * _STRIDE + F.size(F.filter(fine, lambda e: e <= value))
-    return F.when(value.isNull(), F.lit(0)).otherwise(n).cast("int")
+        n = let(value, lambda v: F.size(F.filter(arr, lambda e: e <= v)))
+    return F.coalesce(n, F.lit(0)).cast("int")
+
+
+def every_stride(edges: Column) -> Column:
+    """Every 16th of the sorted edges: the first step of :func:`count_in_long`."""
+    return F.filter(edges, lambda e, i: F.pmod(i + 1, F.lit(_STRIDE)) == 0)
+
+
+def count_in_long(edges: Column, coarse: Column, value: Column) -> Column:
+    """Number of ``edges <= value`` in two steps, given every 16th edge as ``coarse``."""
+
+    def fine(v: Column, c: Column) -> Column:
+        return c * _STRIDE + F.size(F.filter(F.slice(edges, c * _STRIDE + 1, _STRIDE), lambda e: e <= v))
+
+    return let(value, lambda v: let(F.size(F.filter(coarse, lambda e: e <= v)), lambda c: fine(v, c)))
 
 
 def bin_by_edges(x: Column, edges: Sequence[float] | Column) -> Column:

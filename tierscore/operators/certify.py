@@ -13,10 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierscore.functions.bins import bin_by_edges, float_array, guard_bins
+from tierscore.functions.bins import bin_by_edges, float_array, let
 from tierscore.functions.scalars import at_least
 from tierscore.operators import lookups as L
-from tierscore.operators.trees import TreeModel, prefix_scores, score_route, tree_leaves
+from tierscore.operators.trees import TreeModel, prefix_scores, prefix_splits, score_route, tree_leaves
 
 NUDGE = 1e-6  # fixed value: how far a certified score lies from the threshold
 TREES_PER_UNIT = 2048.0  # fixed value: scale of the tree count among the certifier inputs
@@ -111,7 +111,9 @@ def mlp_probability(mlp: Mlp, inputs: Column) -> Column:
         terms = F.zip_with(float_array(weights), x, lambda w, v: (w * v).cast("float"))
         return F.aggregate(terms, _f(bias), lambda a, t: (a + t).cast("float"))
 
-    logit = dot(mlp.w3, mlp.b3, layer(mlp.w2, mlp.b2, layer(mlp.w1, mlp.b1, inputs)))
+    first = let(inputs, lambda x: layer(mlp.w1, mlp.b1, x))
+    second = let(first, lambda h: layer(mlp.w2, mlp.b2, h))
+    logit = let(second, lambda h: dot(mlp.w3, mlp.b3, h))
     return (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit.cast("double")))).cast("float")
 
 
@@ -137,42 +139,58 @@ def certify_at(
     Bands come first: refer when even ``prefix + ref_hi`` stays below tau, reject when
     ``prefix + rej_lo`` reaches it. The cluster cells or the network only see what is left.
     """
-    cal = bundle.calibration
-    checkpoint, edges = cal.checkpoints[slot], cal.gap_edges[slot]
-    gap = tau.cast("float") - prefix
-    gap_bin = bin_by_edges(gap, edges)
-    lo, hi = guard_bins(gap, edges, gap_bin)
+    checkpoint = bundle.calibration.checkpoints[slot]
+    atlas, mlp = bundle.atlas, bundle.mlp
+    inputs = F.struct(
+        tau.cast("float").alias("tau"),
+        fold.alias("fold"),
+        prefix.alias("prefix"),
+        (tau.cast("float") - prefix).alias("gap"),
+        delta_prev.alias("dp"),
+        delta_64.alias("d64"),
+        F.coalesce(evals, _f(0.0)).alias("evals") if evals is not None else _f(0.0).alias("evals"),
+    )
+
+    def decide(s: Column, b: Column) -> Column:
+        def cert(reject: bool, score: Column) -> Column:
+            return F.struct(
+                F.lit(reject).alias("reject"),
+                score.cast("float").alias("route_score"),
+                F.lit(checkpoint).alias("checkpoint"),
+                s["prefix"].alias("prefix"),
+            ).cast(CERT_TYPE)
+
+        below, above = s["tau"] - _f(NUDGE), s["tau"] + _f(NUDGE)
+        out = F.when(b["ref_hi"] < s["gap"], cert(False, s["prefix"] + b["ref_hi"]))
+        out = out.when(b["rej_lo"] >= s["gap"], cert(True, s["prefix"] + b["rej_lo"]))
+        if atlas is not None and cells is not None:
+            at = next(c for c in atlas.checkpoints if c.checkpoint == checkpoint)
+            own_bin = bin_by_edges(s["gap"], at.gap_edges) if at.gap_edges else b["gap_bin"]
+            cluster = L.nearest_cluster(at, s["gap"], s["dp"], s["d64"])
+            key = L.atlas_key(checkpoint, cluster, F.least(own_bin, F.lit(255)))
+            late = let(F.try_element_at(cells, key), lambda c: F.when(c == 1, cert(False, below)).when(c == 2, cert(True, above)))
+            return out.otherwise(late)
+        if mlp is not None and checkpoint <= mlp.checkpoint_limit and checkpoint in mlp.thresholds:
+            tau_ref, tau_rej = mlp.thresholds[checkpoint]
+            vector = certifier_vector(
+                mlp, checkpoint, s["fold"], s["tau"], s["prefix"], s["dp"], s["d64"], s["evals"], F.lit(checkpoint), _f(1.0)
+            )
+            late = let(
+                mlp_probability(mlp, vector),
+                lambda p: F.when(p <= _f(tau_ref), cert(False, below)).when(p >= _f(tau_rej), cert(True, above)),
+            )
+            return out.otherwise(late)
+        return out
+
     band = F.get(limits, F.lit(slot))
-    ref_hi = F.array_max(F.slice(band["ref_hi"], lo + 1, hi - lo + 1))
-    rej_lo = F.array_min(F.slice(band["rej_lo"], lo + 1, hi - lo + 1))
-
-    def cert(reject: bool, score: Column) -> Column:
-        return F.struct(
-            F.lit(reject).alias("reject"),
-            score.cast("float").alias("route_score"),
-            F.lit(checkpoint).alias("checkpoint"),
-            prefix.alias("prefix"),
-        ).cast(CERT_TYPE)
-
-    out = F.when(ref_hi < gap, cert(False, prefix + ref_hi)).when(rej_lo >= gap, cert(True, prefix + rej_lo))
-    below, above = tau.cast("float") - _f(NUDGE), tau.cast("float") + _f(NUDGE)
-    if bundle.atlas is not None and cells is not None:
-        at = next(c for c in bundle.atlas.checkpoints if c.checkpoint == checkpoint)
-        own_bin = bin_by_edges(gap, at.gap_edges) if at.gap_edges else gap_bin
-        cluster = L.nearest_cluster(at, gap, delta_prev, delta_64)
-        cell = F.try_element_at(cells, L.atlas_key(checkpoint, cluster, F.least(own_bin, F.lit(255))))
-        out = out.when(cell == 1, cert(False, below)).when(cell == 2, cert(True, above))
-    elif bundle.mlp is not None and checkpoint <= bundle.mlp.checkpoint_limit and checkpoint in bundle.mlp.thresholds:
-        tau_ref, tau_rej = bundle.mlp.thresholds[checkpoint]
-        depth = evals if evals is not None else _f(0.0)
-        vector = certifier_vector(
-            bundle.mlp, checkpoint, fold, tau, prefix, delta_prev, delta_64, depth, F.lit(checkpoint), _f(1.0)
-        )
-        p = mlp_probability(bundle.mlp, vector)
-        out = out.when(p <= _f(tau_ref), cert(False, below)).when(p >= _f(tau_rej), cert(True, above))
+    out = let(inputs, lambda s: let(L.band_limits(band, s["gap"]), lambda b: decide(s, b)))
     return F.when(prefix.isNotNull(), out)
 
 
+def _evals_per_tree(splits: Column, slot: int, checkpoints: Sequence[int]) -> Column:
+    return F.get(splits, F.lit(slot)).cast("float") / _f(checkpoints[slot])
+
+
 def stage_slices(checkpoints: Sequence[int], min_trees: int = STAGE_TREES) -> list[tuple[int, int]]:
     """Checkpoint ranges scored by one UDF call each: at least ``min_trees`` trees per call."""
     cuts, begin, done = [], 0, 0
@@ -193,11 +211,12 @@ def prefix_certify(
     """
     cal, model = bundle.calibration, bundle.model
     limits, cells = f"_{out}_limits", f"_{out}_cells"
-    rows = L.attach_bands(df.withColumn(f"_{out}_open", run), cal, limits)
-    if bundle.atlas is not None:
-        rows = L.attach_atlas(rows, bundle.atlas, cells)
+    rows = df.withColumn(f"_{out}_open", run)
     start = _f(model.base) if initial is None else initial.cast("float")
     rows = rows.withColumn(f"_{out}_first", start)
+    if bundle.mlp is not None:
+        splits = prefix_splits(F.when(F.col(f"_{out}_open"), F.col("features")), model, cal.checkpoints)
+        rows = rows.withColumn(f"_{out}_splits", splits)
     at_64 = cal.checkpoints.index(DELTA_CHECKPOINT) if DELTA_CHECKPOINT in cal.checkpoints else None
     score_cols: list[Column] = []
     cert, done, last = F.lit(None).cast(CERT_TYPE), 0, F.col(f"_{out}_first")
@@ -205,7 +224,10 @@ def prefix_certify(
         stage = f"_{out}_s{begin}"
         wanted = F.when(F.col(f"_{out}_open"), F.col("features"))
         part = prefix_scores(wanted, model, cal.checkpoints[begin:end], last, start=done)
-        rows = rows.withColumn(stage, part)
+        # The wide band arrays join after the UDF, so they never pass through Python.
+        rows = L.attach_bands(rows.withColumn(stage, part), cal, limits)
+        if bundle.atlas is not None:
+            rows = L.attach_atlas(rows, bundle.atlas, cells)
         for slot in range(begin, end):
             score = F.get(F.col(stage), F.lit(slot - begin))
             before = score_cols[-1] if score_cols else F.col(f"_{out}_first")
@@ -213,10 +235,11 @@ def prefix_certify(
             here = certify_at(
                 bundle, slot, F.col("tau"), F.col("fold_id"), score, score - before, delta_64, F.col(limits),
                 F.col(cells) if bundle.atlas is not None else None,
+                _evals_per_tree(F.col(f"_{out}_splits"), slot, cal.checkpoints) if bundle.mlp is not None else None,
             )
             cert = F.coalesce(cert, here)
             score_cols.append(score)
-        rows = rows.withColumn(f"_{out}_c{begin}", cert)
+        rows = rows.withColumn(f"_{out}_c{begin}", cert).drop(limits, cells)
         cert = F.col(f"_{out}_c{begin}")
         rows = rows.withColumn(f"_{out}_open", F.col(f"_{out}_open") & cert.isNull())
         done, last = cal.checkpoints[end - 1], score_cols[-1]
@@ -290,7 +313,12 @@ def multi_order(
         rows = part.select(*rows.columns, packed)
     chosen = F.coalesce(*[F.col(f"_b{i}") for i in range(len(bundles))])
     rows = rows.select(*[c for c in base if c != "_on"], chosen.alias("_b"))
-    return rows.select(*[c for c in base if c != "_on"], *[F.col(f"_b.{c}").alias(c) for c in PREFIX_COLUMNS])
+    empty = {"prefix_score": None, "route_score": None, "shadow_reject": False, "final_reject": False, "fallback_used": False}
+    filled = [
+        (F.col(f"_b.{c}") if empty.get(c, 0) is None else F.coalesce(F.col(f"_b.{c}"), F.lit(empty.get(c, 0)))).alias(c)
+        for c in PREFIX_COLUMNS
+    ]
+    return rows.select(*[c for c in base if c != "_on"], *filled)
 
 
 def anchor_rescue(
@@ -468,11 +496,13 @@ def dispatch_experts(
 
 def certify_long(df: DataFrame, bundle: Bundle) -> DataFrame:
     """Certifier outcome at every checkpoint in long form, for analysis: one row per checkpoint."""
-    rows = L.attach_bands(df, bundle.calibration, "_limits")
+    cps = bundle.calibration.checkpoints
+    rows = df.withColumn("_s", prefix_scores(F.col("features"), bundle.model, cps))
+    rows = L.attach_bands(rows, bundle.calibration, "_limits")
     if bundle.atlas is not None:
         rows = L.attach_atlas(rows, bundle.atlas, "_cells")
-    cps = bundle.calibration.checkpoints
-    rows = rows.withColumn("_s", prefix_scores(F.col("features"), bundle.model, cps))
+    if bundle.mlp is not None:
+        rows = rows.withColumn("_splits", prefix_splits(F.col("features"), bundle.model, cps))
     out = []
     for slot, cp in enumerate(cps):
         score = F.get("_s", F.lit(slot))
@@ -480,9 +510,10 @@ def certify_long(df: DataFrame, bundle: Bundle) -> DataFrame:
         cert = certify_at(
             bundle, slot, F.col("tau"), F.col("fold_id"), score, score - before, _f(0.0), F.col("_limits"),
             F.col("_cells") if bundle.atlas is not None else None,
+            _evals_per_tree(F.col("_splits"), slot, cps) if bundle.mlp is not None else None,
         )
         out.append(F.struct(F.lit(cp).alias("checkpoint"), score.alias("score"), cert.alias("cert")))
-    rows = rows.select(*df.columns, F.explode(F.array(*out)).alias("_x"))
+    rows = rows.select(*df.columns, F.array(*out).alias("_all")).select(*df.columns, F.explode("_all").alias("_x"))
     return rows.select(
         *df.columns,
         F.col("_x.checkpoint").alias("checkpoint"),

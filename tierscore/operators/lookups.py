@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierscore.functions.bins import bin_by_edges, guard_bins
-from tierscore.operators.skew import lookup_join
+from tierscore.functions.bins import bin_by_edges, count_in_long, every_stride, float_array, guard_bins, let
+from tierscore.operators.skew import is_small, lookup_join, salted_join
 
 # Router actions.
 FALLBACK, REJECT_RESCUE, REFER_RESCUE = "fallback", "run_reject_rescue", "run_refer_rescue"
@@ -83,18 +84,63 @@ class Calibration:
     def tau_bin(self, tau: Column) -> Column:
         return bin_by_edges(tau, self.tau_edges) if len(self.tau_edges) >= 2 else F.lit(0)
 
+    @cached_property
+    def small(self) -> bool:
+        """Whether the band table is small enough to send to every task (checked once)."""
+        return is_small(self.bands)
 
-def pack_bands(bands: DataFrame) -> DataFrame:
-    """One row per (checkpoint, fold, tau bin) with both limits as arrays over the gap bins."""
+    @cached_property
+    def routes(self) -> DataFrame:
+        return bands_by_route(self)
+
+    def join(self, left: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
+        """Left join to a table packed from the bands, which has fewer rows than they have."""
+        return left.join(F.broadcast(side), list(on), "left") if self.small else salted_join(left, side, on)
+
+
+BAND_TYPE = "struct<edges: array<float>, coarse: array<float>, ref_hi: array<float>, rej_lo: array<float>>"
+
+
+def pack_bands(cal: Calibration) -> DataFrame:
+    """One row per (checkpoint, fold, tau bin): ``band`` with the edges and both limits as arrays."""
     cell = F.struct("gap_bin", "ref_hi", "rej_lo")
-    packed = bands.groupBy("checkpoint", "fold_id", "tau_bin").agg(F.array_sort(F.collect_list(cell)).alias("_c"))
-    return packed.select(
-        "checkpoint",
-        "fold_id",
-        "tau_bin",
+    packed = cal.bands.groupBy("checkpoint", "fold_id", "tau_bin").agg(F.array_sort(F.collect_list(cell)).alias("_c"))
+    edges = F.lit(None).cast("array<float>")
+    for cp, values in zip(cal.checkpoints, cal.gap_edges):
+        edges = F.when(F.col("checkpoint") == cp, float_array(values)).otherwise(edges)
+    packed = packed.withColumn("_e", edges)
+    band = F.struct(
+        F.col("_e").alias("edges"),
+        every_stride(F.col("_e")).alias("coarse"),
         F.transform("_c", lambda c: c["ref_hi"].cast("float")).alias("ref_hi"),
         F.transform("_c", lambda c: c["rej_lo"].cast("float")).alias("rej_lo"),
     )
+    return packed.select("checkpoint", "fold_id", "tau_bin", band.cast(BAND_TYPE).alias("band"))
+
+
+def band_bin(band: Column, gap: Column) -> Column:
+    """Gap bin among the 257 edges of a packed band; 0 for a missing gap."""
+    raw = F.coalesce(count_in_long(band["edges"], band["coarse"], F.when(~F.isnan(gap), gap)), F.lit(0)) - 1
+    return F.greatest(F.least(raw, F.size(band["edges"]) - 2), F.lit(0))
+
+
+def band_limits(band: Column, gap: Column) -> Column:
+    """Struct of ``gap_bin, ref_hi, rej_lo``: limits over the bins that rounding could reach."""
+
+    def limits(s: Column, b: Column) -> Column:
+        lo, hi = guard_bins(s["g"], s["b"]["edges"], b)
+        span = F.struct((lo + 1).alias("start"), (hi - lo + 1).alias("n"))
+        return let(
+            span,
+            lambda p: F.struct(
+                b.alias("gap_bin"),
+                F.array_max(F.slice(s["b"]["ref_hi"], p["start"], p["n"])).alias("ref_hi"),
+                F.array_min(F.slice(s["b"]["rej_lo"], p["start"], p["n"])).alias("rej_lo"),
+            ),
+        )
+
+    both = F.struct(gap.cast("float").alias("g"), band.alias("b"))
+    return let(both, lambda s: let(band_bin(s["b"], s["g"]), lambda b: limits(s, b)))
 
 
 def lookup_bands(df: DataFrame, cal: Calibration) -> DataFrame:
@@ -103,7 +149,7 @@ def lookup_bands(df: DataFrame, cal: Calibration) -> DataFrame:
     The most specific table that exists wins: (fold, tau bin), else fold, else global. Over the
     guard bins the larger ``ref_hi`` and the smaller ``rej_lo`` count.
     """
-    packed = pack_bands(cal.bands)
+    packed = pack_bands(cal)
     rows = df.withColumn("tau_bin", cal.tau_bin(F.col("tau")))
     levels = [
         (["checkpoint", "fold_id", "tau_bin"], F.col("fold_id").isNotNull() & F.col("tau_bin").isNotNull()),
@@ -111,24 +157,9 @@ def lookup_bands(df: DataFrame, cal: Calibration) -> DataFrame:
         (["checkpoint"], F.col("fold_id").isNull()),
     ]
     for i, (on, pick) in enumerate(levels):
-        side = packed.where(pick).select(*on, F.col("ref_hi").alias(f"_r{i}"), F.col("rej_lo").alias(f"_j{i}"))
-        rows = lookup_join(rows, side, on)
-    rows = rows.withColumn("_r", F.coalesce("_r0", "_r1", "_r2")).withColumn("_j", F.coalesce("_j0", "_j1", "_j2"))
-    gap_bin, lo, hi = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("int")
-    for cp, edges in zip(cal.checkpoints, cal.gap_edges):
-        here = F.col("checkpoint") == cp
-        b = bin_by_edges(F.col("gap"), edges)
-        g_lo, g_hi = guard_bins(F.col("gap"), edges, b)
-        gap_bin, lo, hi = F.when(here, b).otherwise(gap_bin), F.when(here, g_lo).otherwise(lo), F.when(here, g_hi).otherwise(hi)
-    rows = rows.withColumn("gap_bin", gap_bin).withColumn("_lo", lo).withColumn("_hi", hi)
-    span = F.col("_hi") - F.col("_lo") + 1
-    return rows.select(
-        *df.columns,
-        "tau_bin",
-        "gap_bin",
-        F.array_max(F.slice("_r", F.col("_lo") + 1, span)).alias("ref_hi"),
-        F.array_min(F.slice("_j", F.col("_lo") + 1, span)).alias("rej_lo"),
-    )
+        rows = cal.join(rows, packed.where(pick).select(*on, F.col("band").alias(f"_b{i}")), on)
+    found = band_limits(F.coalesce("_b0", "_b1", "_b2"), F.col("gap"))
+    return rows.select(*df.columns, "tau_bin", found.alias("_f")).select(*df.columns, "tau_bin", "_f.*")
 
 
 def bands_by_route(cal: Calibration) -> DataFrame:
@@ -138,14 +169,14 @@ def bands_by_route(cal: Calibration) -> DataFrame:
     order, the arrays that :func:`lookup_bands` would choose. The NULL fold row serves folds
     without a table. A cascade thus needs one lookup per row instead of one per checkpoint.
     """
-    packed = pack_bands(cal.bands)
+    packed = pack_bands(cal)
     pos = F.array_position(F.array(*[F.lit(c) for c in cal.checkpoints]), F.col("checkpoint").cast("int"))
     packed = packed.withColumn("_i", pos).where("_i > 0")
     bins = max(len(cal.tau_edges) - 1, 1)
     folds = packed.where("fold_id IS NOT NULL").select("fold_id").distinct()
     routes = folds.withColumn("tau_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     routes = routes.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(len(cal.checkpoints)))))
-    limit = F.struct("ref_hi", "rej_lo").alias("_b")
+    limit = F.col("band").alias("_b")
     deep = packed.where("fold_id IS NOT NULL AND tau_bin IS NOT NULL").select("fold_id", "tau_bin", "_i", limit)
     mid = packed.where("fold_id IS NOT NULL AND tau_bin IS NULL").select("fold_id", "_i", limit)
     top = packed.where("fold_id IS NULL").select("_i", limit)
@@ -163,14 +194,14 @@ def bands_by_route(cal: Calibration) -> DataFrame:
 
 def attach_bands(df: DataFrame, cal: Calibration, out: str = "limits") -> DataFrame:
     """Adds the resolved bands of each row's (fold, tau) as one array column."""
-    routes = bands_by_route(cal)
+    routes = cal.routes
     known = routes.where("fold_id IS NOT NULL").select(
         F.col("fold_id").alias("_cal_fold"), F.col("tau_bin").alias("_cal_bin"), F.col("limits").alias("_own")
     )
     default = routes.where("fold_id IS NULL").select(F.col("limits").alias("_all"), F.lit(0).alias("_one"))
     rows = df.withColumn("_cal_fold", F.col("fold_id").cast("int")).withColumn("_cal_bin", cal.tau_bin(F.col("tau")))
-    rows = lookup_join(rows, known, ["_cal_fold", "_cal_bin"])
-    rows = lookup_join(rows.withColumn("_one", F.lit(0)), default, ["_one"])
+    rows = cal.join(rows, known, ["_cal_fold", "_cal_bin"])
+    rows = cal.join(rows.withColumn("_one", F.lit(0)), default, ["_one"])
     return rows.withColumn(out, F.coalesce("_own", "_all")).drop("_cal_fold", "_cal_bin", "_own", "_all", "_one")
 
 
@@ -208,18 +239,20 @@ def nearest_cluster(at: AtlasCheckpoint, gap: Column, delta_prev: Column, delta_
     f = lambda v: F.lit(float(v)).cast("float")
     raw = [gap, F.abs(gap), delta_prev, delta_64]
     z = [(v.cast("float") - f(m)) * f(s) for v, m, s in zip(raw, at.mean, at.inv_std)]
-    scores = []
-    for c in at.centroids:
-        weights = [f(2.0 * v) for v in c]
-        bias = f(-sum(v * v for v in c))
-        total = z[0] * weights[0]
-        for value, w in zip(z[1:], weights[1:]):
-            total = total + value * w
-        scores.append(total + bias)
-    if not scores:
+    if not at.centroids:
         return F.lit(None).cast("int")
-    arr = F.array(*scores)
-    return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
+
+    def scores(v: Column) -> Column:
+        out = []
+        for c in at.centroids:
+            total = F.get(v, F.lit(0)) * f(2.0 * c[0])
+            for i in (1, 2, 3):
+                total = total + F.get(v, F.lit(i)) * f(2.0 * c[i])
+            out.append(total + f(-sum(x * x for x in c)))
+        return F.array(*out)
+
+    best = let(let(F.array(*z), scores), lambda a: F.array_position(a, F.array_max(a)))
+    return (best - 1).cast("int")
 
 
 def cell_decision(count: Column, reject_rate: Column, min_count: int, safe_ref: float, safe_rej: float) -> Column:

@@ -17,14 +17,13 @@ from tierscore.operators.trees import split_masks
 
 
 def candidate_leaves(
-    df: DataFrame, nodes: DataFrame, id_col: str = "txn_id", observed: Sequence[int] | None = None
+    df: DataFrame, splits: DataFrame, leaves: DataFrame, id_col: str = "txn_id", observed: Sequence[int] | None = None
 ) -> DataFrame:
     """Per row and tree the set of leaves still possible: ``id, model, tree_id, mask``.
 
     Each known feature meets the splits on that feature; the leaf sets are intersected with
     ``bit_and``, most of it before the shuffle because the splits of a row are produced together.
     """
-    splits, leaves = split_masks(nodes)
     full = leaves.groupBy("model", "tree_id").agg(F.bit_or("mask").alias("mask"))
     known = F.posexplode("features").alias("fidx", "x")
     cells = df.select(id_col, known)
@@ -46,11 +45,11 @@ def interval_by_masks(
     df: DataFrame, nodes: DataFrame, id_col: str = "txn_id", observed: Sequence[int] | None = None
 ) -> DataFrame:
     """Lower and upper score per row from the candidate leaf sets."""
-    _, leaves = split_masks(nodes)
+    splits, leaves = split_masks(nodes)
     packed = leaves.groupBy("model", "tree_id").agg(
         F.collect_list(F.struct("mask", F.col("leaf").cast("double").alias("leaf"))).alias("leaves")
     )
-    sets = lookup_join(candidate_leaves(df, nodes, id_col, observed), packed, ["model", "tree_id"], "inner")
+    sets = lookup_join(candidate_leaves(df, splits, leaves, id_col, observed), packed, ["model", "tree_id"], "inner")
     possible = F.transform(
         F.filter("leaves", lambda v: v["mask"].bitwiseAND(F.col("mask")) != 0), lambda v: v["leaf"]
     )

@@ -62,15 +62,16 @@ def salted_join(
 ) -> DataFrame:
     if how not in ("left", "inner", "left_anti", "left_semi"):
         raise ValueError(f"salted_join keeps the left side only: {how}")
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in _hashable(left)]), F.lit(salts))
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *_hashable(left)), F.lit(salts))
     copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = left.withColumn("_salt", spread.cast("int"))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def _hashable(df: DataFrame) -> list[str]:
-    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "array", "struct")]
-    return plain or df.columns
+def _hashable(df: DataFrame) -> list[Column]:
+    """Flat columns of a row: they and the partition give equal rows the same slice on a retry."""
+    flat = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "array", "struct")]
+    return [F.col(f"`{c}`") for c in flat]
 
 
 def chunked_running_sum(

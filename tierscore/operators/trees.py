@@ -9,7 +9,7 @@ limited to undecided rows without a second scan or a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierscore.operators.skew import chunked_running_sum
+from tierscore.session import materialise
 
 NODE_SCHEMA = (
     "model string, tree_id int, node_id int, fidx int, thr float, left int, right int, "
@@ -188,6 +189,13 @@ def _spread(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     return pa.array(out, mask=mask)
 
 
+def _spread_struct(fields: dict[str, np.ndarray], rows: np.ndarray, n: int) -> pa.Array:
+    absent = np.ones(n, dtype=bool)
+    absent[rows] = False
+    arrays = [_spread(v, rows, n) for v in fields.values()]
+    return pa.StructArray.from_arrays(arrays, names=list(fields), mask=pa.array(absent))
+
+
 def _spread_lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     lengths = np.zeros(n + 1, dtype=np.int64)
     lengths[rows + 1] = values.shape[1]
@@ -259,6 +267,34 @@ def prefix_scores(
     return tree_prefix(features, begin_score)
 
 
+def prefix_splits(features: Column, model: TreeModel, checkpoints: Sequence[int]) -> Column:
+    """Splits evaluated up to each checkpoint: the work a row has cost so far."""
+    cps = check_checkpoints(checkpoints, model.n_trees)
+    # Splits above a node: the walk to a leaf passes one per level.
+    level = np.zeros(len(model.child), np.int32)
+    for pos in range(model.n_trees):
+        first, last = model.offset[pos], model.offset[pos + 1]
+        child = model.child[first:last]
+        for node in range(last - first):
+            if child[node] != node:
+                level[first + child[node] : first + child[node] + 2] = level[first + node] + 1
+    counted = replace(model, leaf=level.astype(np.float32))
+
+    @F.arrow_udf("array<int>")
+    def tree_splits(batch: pa.Array) -> pa.Array:
+        x, rows = _vectors(batch, counted.dim)
+        out = np.empty((len(x), len(cps)), dtype=np.int32)
+        for at, tile, has_nan in _tiles(x):
+            acc = np.zeros(tile.shape[1], np.int32)
+            for i, (done, cp) in enumerate(zip([0, *cps], cps)):
+                for pos in range(done, cp):
+                    acc += _tree_leaf(counted, pos, tile, has_nan).astype(np.int32)
+                out[at, i] = acc
+        return _spread_lists(out, rows, len(batch))
+
+    return tree_splits(features)
+
+
 def check_checkpoints(checkpoints: Sequence[int], n_trees: int) -> list[int]:
     cps = [int(c) for c in checkpoints]
     if not cps:
@@ -353,8 +389,8 @@ def score_route(
                         break
                     tile = np.ascontiguousarray(tile[:, keep])
             score[live], passed[live] = acc, acc >= thr
-        fields = [_spread(v, rows, len(batch)) for v in (score, passed, visited, exit_idx)]
-        return pa.StructArray.from_arrays(fields, names=["score", "pass", "visited", "exit_idx"])
+        fields = {"score": score, "pass": passed, "visited": visited, "exit_idx": exit_idx}
+        return _spread_struct(fields, rows, len(batch))
 
     begin = F.lit(model.base).cast("float") if initial is None else initial.cast("float")
     return tree_route(features, threshold.cast("float"), begin)
@@ -381,8 +417,7 @@ def score_interval(features: Column, model: TreeModel, observed: Sequence[int] |
                 lo, hi = _tree_ends(model, pos, tile, known)
                 lower[at] += lo
                 upper[at] += hi
-        fields = [_spread(lower, rows, len(batch)), _spread(upper, rows, len(batch))]
-        return pa.StructArray.from_arrays(fields, names=["lower", "upper"])
+        return _spread_struct({"lower": lower, "upper": upper}, rows, len(batch))
 
     return tree_interval(features)
 
@@ -455,8 +490,8 @@ def suffix_bounds(nodes: DataFrame, plan: DataFrame | None = None, chunk: int =
 def split_masks(nodes: DataFrame, max_leaves: int = 63) -> tuple[DataFrame, DataFrame]:
     """Node table -> (splits with the leaf sets either outcome keeps, leaves with their bit).
 
-    Leaves of a tree are numbered by node id. Ancestors are found by doubling joins on the node
-    table itself, all in DataFrames. Trees of more than ``max_leaves`` leaves raise.
+    Leaves of a tree are numbered by node id. The sets are carried up from the leaves, one join
+    and one written table per level. Trees of more than ``max_leaves`` leaves raise.
     """
     leaf_rank = Window.partitionBy("model", "tree_id").orderBy("node_id")
     leaves = nodes.where("is_leaf").select(
@@ -468,19 +503,17 @@ def split_masks(nodes: DataFrame, max_leaves: int = 63) -> tuple[DataFrame, Data
     leaves = leaves.withColumn("bit", fits).withColumn("mask", F.expr("shiftleft(1L, bit)"))
     splits = nodes.where("NOT is_leaf")
     edges = splits.select("model", "tree_id", F.col("node_id").alias("parent"), F.explode(F.array("left", "right")).alias("node_id"))
+    leaves = materialise(leaves, "leaves")
     below = leaves.select("model", "tree_id", "node_id", "mask")
-    sets = [below]
+    under = below
     while True:  # one round per level of the deepest tree
         up = edges.join(below, ["model", "tree_id", "node_id"]).groupBy("model", "tree_id", "parent").agg(
             F.bit_or("mask").alias("mask")
         )
-        below = up.withColumnRenamed("parent", "node_id")
-        sets.append(below)
+        below = materialise(up.withColumnRenamed("parent", "node_id"), "masks")
         if below.isEmpty():
             break
-    under = sets[0]
-    for s in sets[1:]:
-        under = under.unionByName(s)
+        under = under.unionByName(below)
     under = under.groupBy("model", "tree_id", "node_id").agg(F.bit_or("mask").alias("mask"))
     full = leaves.groupBy("model", "tree_id").agg(F.bit_or("mask").alias("full_mask"))
     for side in ("left", "right", "missing"):
@@ -495,5 +528,5 @@ def split_masks(nodes: DataFrame, max_leaves: int = 63) -> tuple[DataFrame, Data
         (F.bitwise_not("left_mask").bitwiseAND(F.col("full_mask"))).alias("if_right"),
         (F.col("missing") == F.col("left")).alias("missing_left"),
     )
-    return out, leaves
+    return materialise(out, "splits"), leaves
 

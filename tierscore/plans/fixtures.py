@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierscore.operators.certify import Mlp
+from tierscore.operators.lookups import Atlas, AtlasCheckpoint, Calibration, PacketPolicy, cell_decision
 from tierscore.operators.skew import inline_table
 from tierscore.operators.trees import ApproxPolicy, TreeModel
 
@@ -153,3 +155,172 @@ def global_tau(spark: SparkSession) -> DataFrame:
 
 def segment_tau(spark: SparkSession) -> DataFrame:
     return inline_table(spark, "fold_id int, seg_key string, tau float", SEGMENT_TAU)
+
+
+# Band levels as (fold, tau bin, offset): global, two folds, one (fold, tau bin).
+BAND_LEVELS = ((None, None, 0), (1, None, 2), (2, None, 3), (1, 1, 1))
+
+
+def calibration(spark: SparkSession, checkpoints: tuple[int, ...] = CHECKPOINTS) -> Calibration:
+    """Bands by rule over 256 gap bins of width 1/32 around zero."""
+    levels = inline_table(spark, "fold_id int, tau_bin int, lv int", BAND_LEVELS)
+    cps = inline_table(spark, "slot int, checkpoint int", list(enumerate(checkpoints)))
+    slot, lv, b = F.col("slot"), F.col("lv"), F.col("gap_bin")
+    bins = levels.withColumn("gap_bin", F.explode(F.sequence(F.lit(0), F.lit(255)))).withColumn("one", F.lit(1))
+    rows = cps.withColumn("one", F.lit(1)).join(bins, "one")
+    bands = rows.select(
+        "checkpoint",
+        "fold_id",
+        "tau_bin",
+        "gap_bin",
+        ((8 - 2 * slot + lv + b % 8) / F.lit(16.0)).cast("float").alias("ref_hi"),
+        (-(6 - 2 * slot + lv + b % 5) / F.lit(16.0)).cast("float").alias("rej_lo"),
+    )
+    return Calibration(checkpoints, (GAP_EDGES,) * len(checkpoints), TAU_EDGES, bands)
+
+
+# Cluster geometry and cell limits.
+ATLAS_MEAN, ATLAS_INV_STD = (0.25, 0.5, 0.0, 0.0), (1.0, 2.0, 1.0, 1.0)
+ATLAS_CENTROIDS = ((0.5, 0.0, 0.25, 0.0), (-0.5, 0.25, -0.25, 0.0), (1.0, 1.0, 0.5, 0.0), (-1.0, 0.5, 0.0, 0.0))
+ATLAS_MIN, ATLAS_SAFE_REF, ATLAS_SAFE_REJ = 4, 0.125, 0.875
+
+
+def atlas_table(spark: SparkSession) -> DataFrame:
+    """Counts and reject rates by rule per (checkpoint, tau bin, cluster, gap bin)."""
+    per = 3 * 4 * 256
+    i = F.col("id")
+    cps = F.array(*[F.lit(c) for c in CHECKPOINTS])
+    rows = spark.range(len(CHECKPOINTS) * per).select(
+        F.get(cps, F.floor(i / per).cast("int")).alias("checkpoint"),
+        F.floor(i % per / 1024).cast("int").alias("tau_bin"),
+        F.floor(i % 1024 / 256).cast("int").alias("cluster_id"),
+        (i % 256).cast("int").alias("gap_bin"),
+    )
+    tb, cl, b = F.col("tau_bin"), F.col("cluster_id"), F.col("gap_bin")
+    rows = rows.withColumn("count", (tb * 7 + cl * 5 + b) % 20)
+    return rows.withColumn("reject_rate", ((b * 3 + cl * 11 + tb) % 32 / F.lit(32.0)).cast("float"))
+
+
+def atlas(spark: SparkSession) -> Atlas:
+    cell = cell_decision(F.col("count"), F.col("reject_rate"), ATLAS_MIN, ATLAS_SAFE_REF, ATLAS_SAFE_REJ)
+    at = tuple(AtlasCheckpoint(c, ATLAS_MEAN, ATLAS_INV_STD, ATLAS_CENTROIDS) for c in CHECKPOINTS)
+    return Atlas(TAU_EDGES, at, atlas_table(spark).withColumn("cell", cell))
+
+
+# A 2 x 2 network on 3 checkpoints, 3 folds, 3 tau bins and 8 numbers.
+MLP_SHAPE = {
+    "checkpoint_values": CHECKPOINTS,
+    "fold_values": (1, 2, 3),
+    "mean": (0.25, 0.25, 0.25, 0.5, 0.25, 0.25, 0.5, 0.25, 0.25, 0.0, 0.25, 0.5, 0.0, 0.0, 2.0, 0.0, 0.0),
+    "inv_std": (1.0, 1.0, 1.0, 2.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 2.0, 1.0, 2.0, 1.0, 0.5, 1.0, 1.0),
+    "w1": (
+        (0.125, 0.25, 0.5, 0.25, -0.25, 0.125, 0.0, 0.125, 0.25, 1.0, -1.0, 0.25, 0.5, 0.0, 0.125, 0.5, 0.0),
+        (0.25, -0.125, 0.0, 0.125, 0.25, -0.25, 0.25, 0.0, -0.125, -1.0, 1.0, 0.5, -0.25, 0.0, 0.0, 0.0, 0.25),
+    ),
+    "b1": (0.125, 0.25),
+    "w2": ((1.0, -1.0), (-0.5, 1.0)),
+    "b2": (0.125, 0.0),
+    "w3": (2.0, -2.0),
+    "b3": -0.125,
+}
+MLP_THRESHOLDS = {4: (0.05, 0.95), 8: (0.125, 0.875)}
+
+
+def mlp() -> Mlp:
+    return Mlp(tau_edges=TAU_EDGES, checkpoint_limit=8, thresholds=MLP_THRESHOLDS, **MLP_SHAPE)
+
+
+# Tree orders as (factor, shift) of position = (tree * factor + shift) mod 16.
+ORDERS = ((1, 0), (5, 3), (11, 6))
+
+
+def order(index: int, trees: int = 16) -> list[int]:
+    a, b = ORDERS[index]
+    place = {(t * a + b) % trees: t for t in range(trees)}
+    return [place[p] for p in range(trees)]
+
+
+ANCHOR_CHECKPOINTS, RESCUE_CHECKPOINTS = (4, 8), (2, 4)
+REJECT_ORDER = tuple(list(range(8, 16)) + list(range(8)))
+REFER_ORDER = tuple(list(range(15, 7, -1)) + list(range(8)))
+RESCUE_GAP_EDGES = (-4.0, -0.25, 0.0, 0.25, 4.0)
+# Router rows (anchor, tau bin, fold, side, gap bin, action) and defaults.
+RESCUE_ROWS = (
+    (8, 0, 1, 1, 1, "run_reject_rescue"),
+    (8, 0, 2, -1, 2, "run_refer_rescue"),
+    (8, 1, 1, -1, 2, "run_reject_rescue"),
+    (8, 2, 3, -1, 3, "fallback"),
+    (-1, 2, 1, -1, 2, "run_refer_rescue"),
+)
+RESCUE_DEFAULTS = (
+    (8, 0, -1, "run_refer_rescue"),
+    (8, 0, 1, "run_reject_rescue"),
+    (8, 2, 1, "run_refer_rescue"),
+    (-1, 2, -1, "run_reject_rescue"),
+)
+RESCUE_ROW_SCHEMA = "anchor int, tau_bin int, fold_id int, side int, gap_bin int, action string"
+RESCUE_DEFAULT_SCHEMA = "anchor int, tau_bin int, side int, action string"
+
+PACKETS = tuple((p, tuple(range(p, 16, 4))) for p in range(4))
+STEP_GAP_EDGES = ((-4.0, -0.25, 0.0, 0.25, 4.0),) * 3
+STEP_DELTA_EDGES = ((-4.0, 0.0, 4.0),) * 3
+
+
+def packet_policy(spark: SparkSession) -> PacketPolicy:
+    """Rankings by rule; every fifth state is left out so that the defaults are used."""
+    rows = []
+    for step in range(3):
+        for tau_bin in range(2):
+            for gap_bin in range(4):
+                for delta_bin in range(2):
+                    i = ((step * 2 + tau_bin) * 4 + gap_bin) * 2 + delta_bin
+                    if i % 5 != 4:
+                        ranking = [(i * 3 + k * 3) % 4 for k in range(2 + i % 3)]
+                        rows.append((step, tau_bin, gap_bin, delta_bin, (i * 7) % 11, i, ranking))
+    schema = "step int, tau_bin int, gap_bin int, delta_bin int, row_count int, ord int, ranking array<int>"
+    return PacketPolicy(3, TAU_EDGES, STEP_GAP_EDGES, STEP_DELTA_EDGES, inline_table(spark, schema, rows))
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_requests(table(spark, sf_dir, "events"))
+
+
+def shape_requests(events: DataFrame) -> DataFrame:
+    """Request log by arithmetic on the events; also applies to a stream of them."""
+    e2e = F.round(F.col("value") * 1000).cast("bigint")
+    kind = F.col("event_type")
+    late = F.col("value") > 200
+    s0 = F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.round(F.col("value") * 10)).cast("bigint")
+    stage = F.struct(
+        s0.alias("parse"),
+        (s0 % 50).alias("feature"),
+        (s0 % 30).alias("router"),
+        (s0 % 400).alias("l1"),
+        (s0 % 900).alias("l2"),
+        (s0 % 20).alias("serialize"),
+    )
+    decision = F.when(kind == "view", 0).when(kind == "click", 1).when(kind == "signup", 2).when(kind == "purchase", 3)
+    return events.select(
+        "event_id",
+        F.col("ts").cast("timestamp").alias("t_sched"),
+        "event_type",
+        "user_id",
+        "value",
+        e2e.alias("e2e_us"),
+        (e2e % 1000).alias("queue_delay_us"),
+        (e2e % 77).alias("send_delay_us"),
+        (e2e - e2e % 1000).alias("server_rtt_us"),
+        late.alias("timeout"),
+        F.when(late, 0)
+        .when((kind == "error") & (F.col("value") > 50), 503)
+        .when(kind == "error", 429)
+        .otherwise(200)
+        .alias("status_code"),
+        decision.otherwise(255).alias("decision"),
+        F.floor(F.col("event_id") / 128).cast("bigint").alias("batch_id"),
+        (F.col("user_id") % 4 == 0).alias("used_l2"),
+        (F.col("event_id") % 101 == 0).alias("dropped"),
+        (F.col("event_id") % 211 == 0).alias("dropped_late"),
+        (F.col("event_id") % 307 == 0).alias("drop_inflight"),
+        stage.alias("stage"),
+    )
