@@ -30,13 +30,13 @@ def gather_features(features: Column, l1_score: Column, l1_names: Sequence[str],
     return F.array(*cols)
 
 
-def tier_one(features: Column, model: TreeModel, threshold: float, policy: ApproxPolicy | None) -> Column:
-    """Struct of score and pass: exact, or with calibrated early exits when a policy is given."""
+def tier_one(df: DataFrame, model: TreeModel, threshold: float, policy: ApproxPolicy | None = None) -> DataFrame:
+    """Adds ``l1``, a struct of score and pass: exact, or with calibrated exits under a policy."""
     if policy is not None:
-        routed = score_route(features, F.lit(threshold), model, policy=policy)
-        return F.struct(routed["score"].alias("score"), routed["pass"].alias("pass"))
-    score = score_exact(features, model)
-    return F.struct(score.alias("score"), at_least(score, F.lit(threshold).cast("float")).alias("pass"))
+        return df.withColumn("l1", score_route(F.col("features"), F.lit(threshold), model, policy=policy))
+    rows = df.withColumn("_s", score_exact(F.col("features"), model))
+    passed = at_least(F.col("_s"), F.lit(threshold).cast("float"))
+    return rows.withColumn("l1", F.struct(F.col("_s").alias("score"), passed.alias("pass"))).drop("_s")
 
 
 def l1_survivors(df: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def cascade(
     tier-one survivors are handed to it. A bundle runs tier two as a prefix cascade, a model as
     an exact early exit.
     """
-    rows = df.withColumn("l1", tier_one(F.col("features"), l1, l1_threshold, policy))
+    rows = tier_one(df, l1, l1_threshold, policy)
     if l2 is None:
         return rows.select(
             *df.columns,
@@ -120,7 +120,7 @@ def cascade_sidecar(
 
     The threshold is ``fixed_tau`` or the row's own; a survivor without one fails the job.
     """
-    rows = df.withColumn("l1", tier_one(F.col("features"), l1, l1_threshold, policy))
+    rows = tier_one(df, l1, l1_threshold, policy)
     rows = rows.withColumn("used_l2", ~F.col("l1.pass"))
     if fixed_tau is None:
         own = F.col("l2_tau_used").cast("float")

@@ -205,10 +205,19 @@ def _spread_lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), mask=pa.array(~present))
 
 
+def batch_udf(returns: str):
+    """An Arrow UDF that is evaluated exactly where it is written.
+
+    Marking it non-deterministic keeps the optimizer from copying the call into a filter or an
+    aggregate above it, which would walk the trees twice.
+    """
+    return lambda fn: F.arrow_udf(fn, returns).asNondeterministic()
+
+
 def score_exact(features: Column, model: TreeModel) -> Column:
     """Base plus the leaf of every tree, added as 32-bit floats in plan order."""
 
-    @F.arrow_udf("float")
+    @batch_udf("float")
     def tree_score(batch: pa.Array) -> pa.Array:
         x, rows = _vectors(batch, model.dim)
         acc = np.full(len(x), model.base, dtype=np.float32)
@@ -223,7 +232,7 @@ def score_exact(features: Column, model: TreeModel) -> Column:
 def tree_leaves(features: Column, model: TreeModel) -> Column:
     """The leaf value of every tree in plan order, as an array."""
 
-    @F.arrow_udf("array<float>")
+    @batch_udf("array<float>")
     def tree_leaf_values(batch: pa.Array) -> pa.Array:
         x, rows = _vectors(batch, model.dim)
         out = np.empty((len(x), model.n_trees), dtype=np.float32)
@@ -250,7 +259,7 @@ def prefix_scores(
     if cps[0] <= start and start:
         raise ValueError(f"checkpoint {cps[0]} is not beyond the {start} trees already done")
 
-    @F.arrow_udf("array<float>")
+    @batch_udf("array<float>")
     def tree_prefix(batch: pa.Array, first: pa.Array) -> pa.Array:
         x, rows = _vectors(batch, model.dim)
         begin = np.asarray(first.to_numpy(zero_copy_only=False), dtype=np.float32)[rows]
@@ -280,7 +289,7 @@ def prefix_splits(features: Column, model: TreeModel, checkpoints: Sequence[int]
                 level[first + child[node] : first + child[node] + 2] = level[first + node] + 1
     counted = replace(model, leaf=level.astype(np.float32))
 
-    @F.arrow_udf("array<int>")
+    @batch_udf("array<int>")
     def tree_splits(batch: pa.Array) -> pa.Array:
         x, rows = _vectors(batch, counted.dim)
         out = np.empty((len(x), len(cps)), dtype=np.int32)
@@ -350,7 +359,7 @@ def score_route(
     open_ref = [None if v is None else f32(v) for v in policy.tau_ref] if policy else []
     open_pos = [None if v is None else f32(v) for v in policy.tau_pos] if policy else []
 
-    @F.arrow_udf(ROUTE_TYPE)
+    @batch_udf(ROUTE_TYPE)
     def tree_route(batch: pa.Array, limit: pa.Array, first: pa.Array) -> pa.Array:
         x, rows = _vectors(batch, model.dim)
         n = len(x)
@@ -407,7 +416,7 @@ def score_interval(features: Column, model: TreeModel, observed: Sequence[int] |
         known[:] = False
         known[list(observed)] = True
 
-    @F.arrow_udf("struct<lower: float, upper: float>")
+    @batch_udf("struct<lower: float, upper: float>")
     def tree_interval(batch: pa.Array) -> pa.Array:
         x, rows = _vectors(batch, model.dim)
         lower = np.full(len(x), model.base, dtype=np.float32)

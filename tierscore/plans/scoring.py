@@ -484,7 +484,7 @@ def gather_l2(spark, d):
     "l1_survivors", "txn_id:l, score:d", q.with_(q.TXN, L1_SCORES) + "SELECT txn_id, score FROM s1 WHERE score < 0.125"
 )
 def l1_survivors(spark, d):
-    rows = fx.transactions(spark, d).withColumn("l1", C.tier_one(F.col("features"), fx.model(spark, "l1"), fx.L1_THRESHOLD, None))
+    rows = C.tier_one(fx.transactions(spark, d), fx.model(spark, "l1"), fx.L1_THRESHOLD)
     return C.l1_survivors(rows).select("txn_id", "l1.score")
 
 

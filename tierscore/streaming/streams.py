@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tierscore.functions.scalars import OTHER_BUCKET, decision_bucket
 from tierscore.operators.requests import outcome_columns, recorded_latency
+from tierscore.operators.skew import SALTS
 from tierscore.session import scratch_path
 
 SKETCH_ACCURACY = 10_000
@@ -85,7 +86,7 @@ class BatchCloser(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("batch", schema)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         had = self.state.exists()
         s = dict(zip(self.FIELDS, self.state.get())) if had else dict.fromkeys(self.FIELDS, 0)
         for pdf in rows:
@@ -111,7 +112,7 @@ class BatchCloser(StatefulProcessor):
         if not had:
             self.handle.registerTimer(s["issued"] // 1000 + self.deadline_ms)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
             s = dict(zip(self.FIELDS, self.state.get()))
             self.state.clear()
@@ -139,8 +140,14 @@ def stream_batch_completion(sdf: DataFrame, watermark: str, deadline_ms: int, ts
     )
 
 
+BUDGET_OUTPUT = "second bigint, slice int, event_id bigint, t_us bigint, t_sched timestamp"
+
+
 class SecondBudget(StatefulProcessor):
-    """Admits the first ``limit`` triggers of a (second, slice); the state is one counter."""
+    """Admits the first ``limit`` triggers of a group; the state is one counter.
+
+    Of each trigger's rows only the earliest ``limit`` are held while its chunks pass by.
+    """
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -149,19 +156,22 @@ class SecondBudget(StatefulProcessor):
         self.handle = handle
         self.used = handle.getValueState("used", "n bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         had = self.used.exists()
         used = self.used.get()[0] if had else 0
+        left = self.limit - used
+        first = None
         for pdf in rows:
-            admitted = pdf.sort_values(["t_us", "event_id"]).head(max(self.limit - used, 0))
-            used += len(admitted)
-            if len(admitted):
-                yield admitted[["second", "event_id", "t_us"]]
-        self.used.update((used,))
+            if left > 0:
+                both = pdf if first is None else pd.concat([first, pdf])
+                first = both.sort_values(["t_us", "event_id"]).head(left)
+        self.used.update((used + (0 if first is None else len(first)),))
         if not had:
-            self.handle.registerTimer((key[0] + 1) * 1000)
+            self.handle.registerTimer((int(key[0]) + 1) * 1000)
+        if first is not None:
+            yield first[["second", "slice", "event_id", "t_us", "t_sched"]]
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.used.clear()
         return iter(())
 
@@ -170,22 +180,27 @@ class SecondBudget(StatefulProcessor):
 
 
 def stream_rate_budget(sdf: DataFrame, per_second: int, watermark: str, ts: str = "t_sched") -> DataFrame:
-    """First triggers of each second in arrival order; ``per_second = 0`` admits all."""
+    """First triggers of each second in arrival order; ``per_second = 0`` admits all.
+
+    A busy second is first cut down in slices, each to at most ``per_second`` rows, so that the
+    task deciding the second only sees the few rows the slices let through.
+    """
     rows = sdf.withColumn("t_us", F.unix_micros(F.col(ts)))
     rows = rows.withColumn("second", F.floor(F.col("t_us") / 1_000_000).cast("bigint"))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.select("second", "slice", "event_id", "t_us", F.col(ts).alias("t_sched"))
     if per_second == 0:
-        return rows.select("second", "event_id", "t_us")
-    return (
-        rows.select("second", "event_id", "t_us", ts)
-        .withWatermark(ts, watermark)
-        .groupBy("second")
-        .transformWithStateInPandas(
+        return rows.drop("slice", "t_sched")
+    rows = rows.withWatermark("t_sched", watermark)
+    for keys in (["second", "slice"], ["second"]):
+        rows = rows.groupBy(*keys).transformWithStateInPandas(
             SecondBudget(per_second),
-            outputStructType="second bigint, event_id bigint, t_us bigint",
+            outputStructType=BUDGET_OUTPUT,
             outputMode="append",
             timeMode="EventTime",
+            eventTimeColumnName="t_sched",
         )
-    )
+    return rows.select("second", "event_id", "t_us")
 
 
 def run_to_table(sdf: DataFrame, mode: str, name: str) -> DataFrame:
