@@ -84,21 +84,28 @@ class Mlp:
         return max(len(self.tau_edges) - 1, 1)
 
 
-def certifier_vector(
-    mlp: Mlp, checkpoint: int, fold: Column, tau: Column, prefix: Column, delta_prev: Column, delta_64: Column,
-    evals_per_tree: Column, trees_used: Column, resolved_rate: Column,
-) -> Column:
-    """One-hot checkpoint, fold and tau bin, then eight numbers; standardised."""
-    gap = tau.cast("float") - prefix.cast("float")
-    tau_bin = bin_by_edges(tau, mlp.tau_edges) if len(mlp.tau_edges) >= 2 else F.lit(0)
-    hot = [_f(1.0 if c == checkpoint else 0.0) for c in mlp.checkpoint_values]
-    hot += [F.when(fold == v, _f(1.0)).otherwise(_f(0.0)) for v in mlp.fold_values]
-    hot += [F.when(tau_bin == i, _f(1.0)).otherwise(_f(0.0)) for i in range(mlp.tau_bins)]
-    numbers = [prefix, gap, F.abs(gap), delta_prev, delta_64, evals_per_tree]
-    numbers += [trees_used.cast("float") / _f(TREES_PER_UNIT), resolved_rate]
-    raw = F.array(*hot, *[v.cast("float") for v in numbers])
+def certifier_vector(mlp: Mlp, s: Column) -> Column:
+    """One-hot checkpoint, fold and tau bin, then eight numbers; standardised.
+
+    ``s`` is a struct of ``checkpoint, fold, tau, prefix, gap, dp, d64, evals``.
+    """
+
+    def one_hot(values: Sequence[int], x: Column) -> Column:
+        return F.transform(float_array(values), lambda v: F.when(v == x, _f(1.0)).otherwise(_f(0.0)))
+
+    tau_bin = bin_by_edges(s["tau"], mlp.tau_edges) if len(mlp.tau_edges) >= 2 else F.lit(0)
+    numbers = F.array(
+        s["prefix"], s["gap"], F.abs(s["gap"]), s["dp"], s["d64"], s["evals"],
+        (s["checkpoint"] / F.lit(TREES_PER_UNIT)).cast("float"), _f(1.0),
+    )
+    raw = F.concat(
+        one_hot(mlp.checkpoint_values, s["checkpoint"]),
+        one_hot(mlp.fold_values, s["fold"]),
+        let(tau_bin, lambda b: one_hot(range(mlp.tau_bins), b)),
+        numbers,
+    )
     centred = F.zip_with(raw, float_array(mlp.mean), lambda x, m: (x - m).cast("float"))
-    return F.zip_with(centred, float_array(mlp.inv_std), lambda x, s: (x * s).cast("float"))
+    return F.zip_with(centred, float_array(mlp.inv_std), lambda x, v: (x * v).cast("float"))
 
 
 def mlp_probability(mlp: Mlp, inputs: Column) -> Column:
@@ -130,65 +137,86 @@ class Bundle:
 CERT_TYPE = "struct<reject: boolean, route_score: float, checkpoint: int, prefix: float>"
 
 
-def certify_at(
-    bundle: Bundle, slot: int, tau: Column, fold: Column, prefix: Column, delta_prev: Column, delta_64: Column,
-    limits: Column, cells: Column | None = None, evals: Column | None = None,
+def certify_scan(
+    bundle: Bundle, begin: int, end: int, tau: Column, fold: Column, scores: Column, before: Column, at_64: Column | None,
+    limits: Column, cells: Column | None = None, splits: Column | None = None, first_delta: Column | None = None,
 ) -> Column:
-    """Decision at one checkpoint as ``CERT_TYPE``, NULL if none of the certifiers is sure.
+    """Decisions at the checkpoints ``begin..end-1`` as an array of ``CERT_TYPE``, NULL where open.
 
+    ``scores`` are the prefix scores of these checkpoints and ``before`` the score ahead of them.
     Bands come first: refer when even ``prefix + ref_hi`` stays below tau, reject when
-    ``prefix + rej_lo`` reaches it. The cluster cells or the network only see what is left.
+    ``prefix + rej_lo`` reaches it. The cluster cells or the network only see what is left. One
+    lambda serves all checkpoints, so the plan does not grow with their number.
     """
-    checkpoint = bundle.calibration.checkpoints[slot]
+    cps = bundle.calibration.checkpoints
     atlas, mlp = bundle.atlas, bundle.mlp
-    inputs = F.struct(
-        tau.cast("float").alias("tau"),
-        fold.alias("fold"),
-        prefix.alias("prefix"),
-        (tau.cast("float") - prefix).alias("gap"),
-        delta_prev.alias("dp"),
-        delta_64.alias("d64"),
-        F.coalesce(evals, _f(0.0)).alias("evals") if evals is not None else _f(0.0).alias("evals"),
-    )
+    all_cps = F.array(*[F.lit(int(c)) for c in cps])
+    has_64 = DELTA_CHECKPOINT in cps
+    slot_64 = cps.index(DELTA_CHECKPOINT) if has_64 else -1
+    shapes = L.atlas_shapes(atlas, cps) if atlas is not None else None
+
+    def inputs(i: Column) -> Column:
+        score = F.get(scores, i)
+        step = F.when(i == 0, before).otherwise(F.get(scores, i - 1))
+        delta_64 = _f(0.0)
+        if has_64:
+            base = at_64 if slot_64 < begin and at_64 is not None else F.get(scores, F.lit(slot_64 - begin))
+            delta_64 = F.when(i + begin > slot_64, score - base).otherwise(_f(0.0))
+        checkpoint = F.get(all_cps, i + begin)
+        evals = _f(0.0) if splits is None else (F.get(splits, i + begin) / checkpoint).cast("float")
+        return F.struct(
+            (i + begin).alias("slot"),
+            checkpoint.alias("checkpoint"),
+            tau.cast("float").alias("tau"),
+            fold.alias("fold"),
+            score.alias("prefix"),
+            (tau.cast("float") - score).alias("gap"),
+            ((score - step) if first_delta is None else first_delta).alias("dp"),
+            delta_64.alias("d64"),
+            evals.alias("evals"),
+        )
 
-    def decide(s: Column, b: Column) -> Column:
-        def cert(reject: bool, score: Column) -> Column:
-            return F.struct(
-                F.lit(reject).alias("reject"),
-                score.cast("float").alias("route_score"),
-                F.lit(checkpoint).alias("checkpoint"),
-                s["prefix"].alias("prefix"),
-            ).cast(CERT_TYPE)
+    def cert(s: Column, reject: bool, score: Column) -> Column:
+        return F.struct(
+            F.lit(reject).alias("reject"),
+            score.cast("float").alias("route_score"),
+            s["checkpoint"].alias("checkpoint"),
+            s["prefix"].alias("prefix"),
+        ).cast(CERT_TYPE)
 
+    def decide(s: Column, b: Column) -> Column:
         below, above = s["tau"] - _f(NUDGE), s["tau"] + _f(NUDGE)
-        out = F.when(b["ref_hi"] < s["gap"], cert(False, s["prefix"] + b["ref_hi"]))
-        out = out.when(b["rej_lo"] >= s["gap"], cert(True, s["prefix"] + b["rej_lo"]))
+        out = F.when(b["ref_hi"] < s["gap"], cert(s, False, s["prefix"] + b["ref_hi"]))
+        out = out.when(b["rej_lo"] >= s["gap"], cert(s, True, s["prefix"] + b["rej_lo"]))
         if atlas is not None and cells is not None:
-            at = next(c for c in atlas.checkpoints if c.checkpoint == checkpoint)
-            own_bin = bin_by_edges(s["gap"], at.gap_edges) if at.gap_edges else b["gap_bin"]
-            cluster = L.nearest_cluster(at, s["gap"], s["dp"], s["d64"])
-            key = L.atlas_key(checkpoint, cluster, F.least(own_bin, F.lit(255)))
-            late = let(F.try_element_at(cells, key), lambda c: F.when(c == 1, cert(False, below)).when(c == 2, cert(True, above)))
-            return out.otherwise(late)
-        if mlp is not None and checkpoint <= mlp.checkpoint_limit and checkpoint in mlp.thresholds:
-            tau_ref, tau_rej = mlp.thresholds[checkpoint]
-            vector = certifier_vector(
-                mlp, checkpoint, s["fold"], s["tau"], s["prefix"], s["dp"], s["d64"], s["evals"], F.lit(checkpoint), _f(1.0)
-            )
-            late = let(
-                mlp_probability(mlp, vector),
-                lambda p: F.when(p <= _f(tau_ref), cert(False, below)).when(p >= _f(tau_rej), cert(True, above)),
-            )
-            return out.otherwise(late)
+            key = L.atlas_cell_key(shapes, s, b["gap_bin"])
+            sure = lambda c: F.when(c == 1, cert(s, False, below)).when(c == 2, cert(s, True, above))
+            return out.otherwise(let(F.try_element_at(cells, key), sure))
+        if mlp is not None and mlp.thresholds:
+            lows = F.create_map(*[x for c, (lo, _) in mlp.thresholds.items() for x in (F.lit(c), _f(lo))])
+            highs = F.create_map(*[x for c, (_, hi) in mlp.thresholds.items() for x in (F.lit(c), _f(hi))])
+            may = s["checkpoint"] <= mlp.checkpoint_limit
+            sure = lambda p: F.when(
+                may & (p <= F.try_element_at(lows, s["checkpoint"])), cert(s, False, below)
+            ).when(may & (p >= F.try_element_at(highs, s["checkpoint"])), cert(s, True, above))
+            return out.otherwise(let(mlp_probability(mlp, certifier_vector(mlp, s)), sure))
         return out
 
-    band = F.get(limits, F.lit(slot))
-    out = let(inputs, lambda s: let(L.band_limits(band, s["gap"]), lambda b: decide(s, b)))
-    return F.when(prefix.isNotNull(), out)
+    def at(i: Column) -> Column:
+        return let(
+            inputs(i),
+            lambda s: F.when(
+                s["prefix"].isNotNull(),
+                let(L.band_limits(F.get(limits, s["slot"]), s["gap"]), lambda b: decide(s, b)),
+            ),
+        )
 
+    return F.transform(F.sequence(F.lit(0), F.lit(end - begin - 1)), at)
 
-def _evals_per_tree(splits: Column, slot: int, checkpoints: Sequence[int]) -> Column:
-    return F.get(splits, F.lit(slot)).cast("float") / _f(checkpoints[slot])
+
+def first_of(certs: Column) -> Column:
+    """The first certifying checkpoint, NULL if there is none."""
+    return F.get(F.filter(certs, lambda c: c.isNotNull()), F.lit(0))
 
 
 def stage_slices(checkpoints: Sequence[int], min_trees: int = STAGE_TREES) -> list[tuple[int, int]]:
@@ -217,35 +245,31 @@ def prefix_certify(
     if bundle.mlp is not None:
         splits = prefix_splits(F.when(F.col(f"_{out}_open"), F.col("features")), model, cal.checkpoints)
         rows = rows.withColumn(f"_{out}_splits", splits)
-    at_64 = cal.checkpoints.index(DELTA_CHECKPOINT) if DELTA_CHECKPOINT in cal.checkpoints else None
-    score_cols: list[Column] = []
-    cert, done, last = F.lit(None).cast(CERT_TYPE), 0, F.col(f"_{out}_first")
+    slot_64 = cal.checkpoints.index(DELTA_CHECKPOINT) if DELTA_CHECKPOINT in cal.checkpoints else -1
+    at_64, done, last, stages, certs = None, 0, F.col(f"_{out}_first"), [], []
     for begin, end in stage_slices(cal.checkpoints, stage_trees):
-        stage = f"_{out}_s{begin}"
+        stage, found = f"_{out}_s{begin}", f"_{out}_c{begin}"
         wanted = F.when(F.col(f"_{out}_open"), F.col("features"))
-        part = prefix_scores(wanted, model, cal.checkpoints[begin:end], last, start=done)
+        rows = rows.withColumn(stage, prefix_scores(wanted, model, cal.checkpoints[begin:end], last, start=done))
         # The wide band arrays join after the UDF, so they never pass through Python.
-        rows = L.attach_bands(rows.withColumn(stage, part), cal, limits)
+        rows = L.attach_bands(rows, cal, limits)
         if bundle.atlas is not None:
             rows = L.attach_atlas(rows, bundle.atlas, cells)
-        for slot in range(begin, end):
-            score = F.get(F.col(stage), F.lit(slot - begin))
-            before = score_cols[-1] if score_cols else F.col(f"_{out}_first")
-            delta_64 = score - score_cols[at_64] if at_64 is not None and at_64 < slot else _f(0.0)
-            here = certify_at(
-                bundle, slot, F.col("tau"), F.col("fold_id"), score, score - before, delta_64, F.col(limits),
-                F.col(cells) if bundle.atlas is not None else None,
-                _evals_per_tree(F.col(f"_{out}_splits"), slot, cal.checkpoints) if bundle.mlp is not None else None,
-            )
-            cert = F.coalesce(cert, here)
-            score_cols.append(score)
-        rows = rows.withColumn(f"_{out}_c{begin}", cert).drop(limits, cells)
-        cert = F.col(f"_{out}_c{begin}")
-        rows = rows.withColumn(f"_{out}_open", F.col(f"_{out}_open") & cert.isNull())
-        done, last = cal.checkpoints[end - 1], score_cols[-1]
-    rows = rows.withColumn(f"{out}_cert", cert)
-    rows = rows.withColumn(f"{out}_scores", F.filter(F.array(*score_cols), lambda v: v.isNotNull()))
-    rows = rows.withColumn(f"{out}_last", score_cols[-1])
+        scan = certify_scan(
+            bundle, begin, end, F.col("tau"), F.col("fold_id"), F.col(stage), last, at_64, F.col(limits),
+            F.col(cells) if bundle.atlas is not None else None,
+            F.col(f"_{out}_splits") if bundle.mlp is not None else None,
+        )
+        rows = rows.withColumn(found, first_of(scan)).drop(limits, cells)
+        rows = rows.withColumn(f"_{out}_open", F.col(f"_{out}_open") & F.col(found).isNull())
+        if begin <= slot_64 < end:
+            at_64 = F.get(F.col(stage), F.lit(slot_64 - begin))
+        last = F.get(F.col(stage), F.lit(end - begin - 1))
+        done = cal.checkpoints[end - 1]
+        stages.append(F.coalesce(F.col(stage), F.array().cast("array<float>")))
+        certs.append(F.col(found))
+    rows = rows.withColumn(f"{out}_cert", F.coalesce(*certs))
+    rows = rows.withColumn(f"{out}_scores", F.concat(*stages)).withColumn(f"{out}_last", last)
     return rows.select(*df.columns, f"{out}_cert", f"{out}_scores", f"{out}_last")
 
 
@@ -429,20 +453,22 @@ def packet_cascade(
             .withColumn("delta_bin", bin_by_edges(F.col("_delta"), policy.delta_edges[step]))
         )
         rows = L.rank_packets(rows, policy)
-        go = F.col("_run") & F.col("_cert").isNull()
+        go = F.col("_go")
+        rows = rows.withColumn("_go", F.col("_run") & F.col("_cert").isNull())
         rows = rows.withColumn("_pick", F.when(go, L.choose_packet(F.col("ranking"), F.col("_used"), ids)))
         rows = rows.withColumn("_gain", F.when(go, packet_score(F.col("_pick"))))
         rows = rows.withColumn("_next", F.when(go, F.col("_prefix") + F.col("_gain")))
-        here = certify_at(
-            Bundle(bundle.model, cal), step, F.col("tau"), F.col("fold_id"), F.col("_next"), F.col("_gain"),
-            _f(0.0), F.col("_limits"),
-        )
+        here = certify_scan(
+            Bundle(bundle.model, cal), step, step + 1, F.col("tau"), F.col("fold_id"), F.array("_next"), F.col("_prefix"), None,
+            F.col("_limits"), first_delta=F.col("_gain"),
+        )
+        here = F.get(here, F.lit(0))
         rows = (
             rows.withColumn("_cert", F.coalesce(F.col("_cert"), here))
             .withColumn("_used", F.when(go, F.concat("_used", F.array("_pick"))).otherwise(F.col("_used")))
             .withColumn("_prefix", F.coalesce("_next", "_prefix"))
             .withColumn("_delta", F.coalesce("_gain", "_delta"))
-            .drop("step", "gap_bin", "delta_bin", "ranking", "_pick", "_gain", "_next")
+            .drop("step", "gap_bin", "delta_bin", "ranking", "_go", "_pick", "_gain", "_next")
         )
     rest = F.array_except(ids, F.col("_used"))
     tail = F.aggregate(rest, F.col("_prefix"), lambda a, p: (a + packet_score(p)).cast("float"))
@@ -503,17 +529,14 @@ def certify_long(df: DataFrame, bundle: Bundle) -> DataFrame:
         rows = L.attach_atlas(rows, bundle.atlas, "_cells")
     if bundle.mlp is not None:
         rows = rows.withColumn("_splits", prefix_splits(F.col("features"), bundle.model, cps))
-    out = []
-    for slot, cp in enumerate(cps):
-        score = F.get("_s", F.lit(slot))
-        before = F.get("_s", F.lit(slot - 1)) if slot else _f(bundle.model.base)
-        cert = certify_at(
-            bundle, slot, F.col("tau"), F.col("fold_id"), score, score - before, _f(0.0), F.col("_limits"),
-            F.col("_cells") if bundle.atlas is not None else None,
-            _evals_per_tree(F.col("_splits"), slot, cps) if bundle.mlp is not None else None,
-        )
-        out.append(F.struct(F.lit(cp).alias("checkpoint"), score.alias("score"), cert.alias("cert")))
-    rows = rows.select(*df.columns, F.array(*out).alias("_all")).select(*df.columns, F.explode("_all").alias("_x"))
+    scan = certify_scan(
+        bundle, 0, len(cps), F.col("tau"), F.col("fold_id"), F.col("_s"), _f(bundle.model.base), None, F.col("_limits"),
+        F.col("_cells") if bundle.atlas is not None else None,
+        F.col("_splits") if bundle.mlp is not None else None,
+    )
+    marks = F.array(*[F.lit(int(c)) for c in cps])
+    zipped = F.arrays_zip(marks.alias("checkpoint"), F.col("_s").alias("score"), scan.alias("cert"))
+    rows = rows.select(*df.columns, zipped.alias("_all")).select(*df.columns, F.explode("_all").alias("_x"))
     return rows.select(
         *df.columns,
         F.col("_x.checkpoint").alias("checkpoint"),

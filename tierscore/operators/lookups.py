@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -286,8 +287,44 @@ def attach_atlas(df: DataFrame, atlas: Atlas, out: str = "atlas_cells") -> DataF
     return lookup_join(rows, side, ["_ab"]).drop("_ab")
 
 
-def atlas_key(checkpoint: int, cluster: Column, gap_bin: Column) -> Column:
-    return (F.lit(checkpoint * 1_000_000) + cluster * 1_000 + gap_bin).cast("int")
+SHAPE_TYPE = "array<struct<mean: array<float>, scale: array<float>, w: array<array<float>>, edges: array<float>>>"
+
+
+def atlas_shapes(atlas: Atlas, checkpoints: Sequence[int]) -> Column:
+    """The cluster geometry as one constant array in checkpoint order.
+
+    ``w`` holds ``2 c`` and ``-c.c`` of each centroid.
+    """
+    by_cp = {a.checkpoint: a for a in atlas.checkpoints}
+    shapes = []
+    for cp in checkpoints:
+        at = by_cp[cp]
+        w = [[2.0 * v for v in c] + [-sum(v * v for v in c)] for c in at.centroids]
+        shapes.append({"mean": at.mean, "scale": at.inv_std, "w": w, "edges": at.gap_edges})
+    return F.from_json(F.lit(json.dumps(shapes)), SHAPE_TYPE)
+
+
+def atlas_cell_key(shapes: Column, s: Column, shared_bin: Column) -> Column:
+    """Cell key at a checkpoint: nearest centroid (first on a tie) and gap bin.
+
+    ``s`` is a struct of ``slot, checkpoint, gap, dp, d64``; ``shared_bin`` is used where the
+    checkpoint has no gap edges of its own.
+    """
+    at = lambda arr, i: F.get(arr, F.lit(i))
+
+    def cluster(g: Column) -> Column:
+        raw = F.array(s["gap"], F.abs(s["gap"]), s["dp"], s["d64"])
+        centred = F.zip_with(raw, g["mean"], lambda x, m: (x - m).cast("float"))
+        z = F.zip_with(centred, g["scale"], lambda x, v: (x * v).cast("float"))
+        score = lambda v, w: at(v, 0) * at(w, 0) + at(v, 1) * at(w, 1) + at(v, 2) * at(w, 2) + at(v, 3) * at(w, 3) + at(w, 4)
+        totals = let(z, lambda v: F.transform(g["w"], lambda w: score(v, w)))
+        return let(totals, lambda t: F.array_position(t, F.array_max(t)) - 1)
+
+    def key(g: Column) -> Column:
+        own = F.when(F.size(g["edges"]) >= 2, bin_by_edges(s["gap"], g["edges"])).otherwise(shared_bin)
+        return (s["checkpoint"] * 1_000_000 + cluster(g) * 1_000 + F.least(own, F.lit(255))).cast("int")
+
+    return let(F.get(shapes, s["slot"]), key)
 
 
 # --- routers ------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from tierscore.operators.certify import Mlp
 from tierscore.operators.lookups import Atlas, AtlasCheckpoint, Calibration, PacketPolicy, cell_decision
 from tierscore.operators.skew import inline_table
 from tierscore.operators.trees import ApproxPolicy, TreeModel
+from tierscore.session import spread
 
 # Fixed values: (name, trees, depth, leaf offset in 1/64) of the rule-based models.
 MODELS = {
@@ -69,7 +70,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("txn_id"), "o_custkey", "o_totalprice", "o_orderpriority"
     )
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
-    full = orders.join(li, "txn_id", "left").join(cust, "o_custkey", "left")
+    full = spread(orders, "txn_id").join(li, "txn_id", "left").join(cust, "o_custkey", "left")
     cols = ["o_totalprice", "n", "q", "d", "e", "mq", "r", "c_acctbal"]
     return full.select(
         "txn_id",
@@ -98,9 +99,10 @@ def route_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
+    rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<float>").alias("features"), "label"
     )
+    return spread(rows, "vec_id")
 
 
 def row_tau() -> Column:
@@ -142,11 +144,18 @@ def model_nodes(spark: SparkSession, name: str) -> DataFrame:
     )
 
 
+_LOADED: dict[tuple, TreeModel] = {}
+
+
 def model(
     spark: SparkSession, name: str, order: Sequence[int] | None = None, max_trees: int | None = None
 ) -> TreeModel:
-    dim = VEC_DIM if name.startswith("vec") else 9 if name == "l2" else 8
-    return TreeModel.load(model_nodes(spark, name), dim, order=order, max_trees=max_trees, name=name)
+    """A rule-based model, loaded once per order."""
+    key = (name, tuple(order) if order is not None else None, max_trees)
+    if key not in _LOADED:
+        dim = VEC_DIM if name.startswith("vec") else 9 if name == "l2" else 8
+        _LOADED[key] = TreeModel.load(model_nodes(spark, name), dim, order=order, max_trees=max_trees, name=name)
+    return _LOADED[key]
 
 
 def global_tau(spark: SparkSession) -> DataFrame:

@@ -54,5 +54,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Rows of a file scan over all cores when the files give fewer splits than there are cores.
+
+    Scoring is CPU work, and a file of one row group would keep it on one core. A large table
+    has more splits than cores and passes through without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def use_session_timezone(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
