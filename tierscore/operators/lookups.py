@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from tierscore.functions.bins import bin_by_edges, count_in_long, every_stride, float_array, guard_bins, let
 from tierscore.operators.skew import is_small, lookup_join, salted_join
+from tierscore.session import materialise
 
 # Router actions.
 FALLBACK, REJECT_RESCUE, REFER_RESCUE = "fallback", "run_reject_rescue", "run_refer_rescue"
 # Numeric code of each router action.
 RESCUE_CODES = {FALLBACK: 1, REJECT_RESCUE: 2, REFER_RESCUE: 3}
 ANY_ANCHOR = -1
+OTHER_FOLD = -(1 << 31)
+MAX_FOLDS = 10_000
 
 
 def fail_when(bad: Column, message: Column, value: Column, kind: str) -> Column:
@@ -90,9 +93,18 @@ class Calibration:
         """Whether the band table is small enough to send to every task (checked once)."""
         return is_small(self.bands)
 
+    @cached_property
+    def folds(self) -> tuple[int, ...]:
+        """Folds with tables of their own; all others share the global bands."""
+        found = self.bands.where("fold_id IS NOT NULL").select("fold_id").distinct().limit(MAX_FOLDS + 1).collect()
+        if len(found) > MAX_FOLDS:
+            raise ValueError(f"more than {MAX_FOLDS} calibrated folds")
+        return tuple(sorted(r["fold_id"] for r in found))
+
     @cached_property
     def routes(self) -> DataFrame:
-        return bands_by_route(self)
+        """The resolved bands, written once so that later stages only read them."""
+        return materialise(bands_by_route(self), "bands")
 
     def join(self, left: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
         """Left join to a table packed from the bands, which has fewer rows than they have."""
@@ -167,43 +179,38 @@ def bands_by_route(cal: Calibration) -> DataFrame:
     """Bands resolved per (fold, tau bin) for all checkpoints at once.
 
     One small row per route: ``fold_id, tau_bin, limits`` where ``limits`` holds, in checkpoint
-    order, the arrays that :func:`lookup_bands` would choose. The NULL fold row serves folds
+    order, the arrays that :func:`lookup_bands` would choose. Fold ``OTHER_FOLD`` serves folds
     without a table. A cascade thus needs one lookup per row instead of one per checkpoint.
     """
     packed = pack_bands(cal)
-    pos = F.array_position(F.array(*[F.lit(c) for c in cal.checkpoints]), F.col("checkpoint").cast("int"))
-    packed = packed.withColumn("_i", pos).where("_i > 0")
-    bins = max(len(cal.tau_edges) - 1, 1)
-    folds = packed.where("fold_id IS NOT NULL").select("fold_id").distinct()
-    routes = folds.withColumn("tau_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    routes = routes.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(len(cal.checkpoints)))))
-    limit = F.col("band").alias("_b")
-    deep = packed.where("fold_id IS NOT NULL AND tau_bin IS NOT NULL").select("fold_id", "tau_bin", "_i", limit)
-    mid = packed.where("fold_id IS NOT NULL AND tau_bin IS NULL").select("fold_id", "_i", limit)
-    top = packed.where("fold_id IS NULL").select("_i", limit)
-    full = (
-        routes.join(deep.withColumnRenamed("_b", "_b0"), ["fold_id", "tau_bin", "_i"], "left")
-        .join(mid.withColumnRenamed("_b", "_b1"), ["fold_id", "_i"], "left")
-        .join(top.withColumnRenamed("_b", "_b2"), ["_i"], "left")
+    slot = F.array_position(F.array(*[F.lit(int(c)) for c in cal.checkpoints]), F.col("checkpoint").cast("int"))
+    packed = packed.withColumn("slot", slot).where("slot > 0")
+    every_bin = F.sequence(F.lit(0), F.lit(max(len(cal.tau_edges) - 1, 1) - 1))
+    folds = F.array(*[F.lit(int(f)) for f in (*cal.folds, OTHER_FOLD)])
+    # Every table offers itself to the routes it covers; the most specific offer wins.
+    level = F.when(F.col("tau_bin").isNotNull(), 2).when(F.col("fold_id").isNotNull(), 1).otherwise(0)
+    offers = packed.select(
+        "slot",
+        "band",
+        level.alias("level"),
+        F.explode(F.when(F.col("fold_id").isNull(), folds).otherwise(F.array("fold_id"))).alias("fold_id"),
+        "tau_bin",
     )
-    full = full.select("fold_id", "tau_bin", "_i", F.coalesce("_b0", "_b1", "_b2").alias("_b"))
-    rest = top.select(F.lit(None).cast("int").alias("fold_id"), F.lit(None).cast("int").alias("tau_bin"), "_i", "_b")
-    cells = F.array_sort(F.collect_list(F.struct("_i", "_b")))
-    out = full.unionByName(rest).groupBy("fold_id", "tau_bin").agg(cells.alias("_c"))
-    return out.select("fold_id", "tau_bin", F.transform("_c", lambda c: c["_b"]).alias("limits"))
+    bins = F.when(F.col("tau_bin").isNull(), every_bin).otherwise(F.array("tau_bin"))
+    offers = offers.withColumn("tau_bin", F.explode(bins))
+    best = offers.groupBy("fold_id", "tau_bin", "slot").agg(F.max_by("band", "level").alias("band"))
+    cells = F.array_sort(F.collect_list(F.struct("slot", "band")))
+    out = best.groupBy("fold_id", "tau_bin").agg(cells.alias("c"))
+    return out.select("fold_id", "tau_bin", F.transform("c", lambda c: c["band"]).alias("limits"))
 
 
 def attach_bands(df: DataFrame, cal: Calibration, out: str = "limits") -> DataFrame:
     """Adds the resolved bands of each row's (fold, tau) as one array column."""
-    routes = cal.routes
-    known = routes.where("fold_id IS NOT NULL").select(
-        F.col("fold_id").alias("_cal_fold"), F.col("tau_bin").alias("_cal_bin"), F.col("limits").alias("_own")
-    )
-    default = routes.where("fold_id IS NULL").select(F.col("limits").alias("_all"), F.lit(0).alias("_one"))
-    rows = df.withColumn("_cal_fold", F.col("fold_id").cast("int")).withColumn("_cal_bin", cal.tau_bin(F.col("tau")))
-    rows = cal.join(rows, known, ["_cal_fold", "_cal_bin"])
-    rows = cal.join(rows.withColumn("_one", F.lit(0)), default, ["_one"])
-    return rows.withColumn(out, F.coalesce("_own", "_all")).drop("_cal_fold", "_cal_bin", "_own", "_all", "_one")
+    side = cal.routes.select(F.col("fold_id").alias("_cal_fold"), F.col("tau_bin").alias("_cal_bin"), F.col("limits").alias(out))
+    fold = F.col("fold_id").cast("int")
+    own = F.when(fold.isin(list(cal.folds)), fold).otherwise(OTHER_FOLD) if cal.folds else F.lit(OTHER_FOLD)
+    rows = df.withColumn("_cal_fold", own).withColumn("_cal_bin", cal.tau_bin(F.col("tau")))
+    return cal.join(rows, side, ["_cal_fold", "_cal_bin"]).drop("_cal_fold", "_cal_bin")
 
 
 # --- clusters -----------------------------------------------------------------------------

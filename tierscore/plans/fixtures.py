@@ -171,7 +171,17 @@ BAND_LEVELS = ((None, None, 0), (1, None, 2), (2, None, 3), (1, 1, 1))
 
 
 def calibration(spark: SparkSession, checkpoints: tuple[int, ...] = CHECKPOINTS) -> Calibration:
-    """Bands by rule over 256 gap bins of width 1/32 around zero."""
+    """Bands by rule over 256 gap bins of width 1/32 around zero; prepared once per session."""
+    key = (spark.sparkContext.applicationId, checkpoints)
+    if key not in _CALIBRATIONS:
+        _CALIBRATIONS[key] = _calibration(spark, checkpoints)
+    return _CALIBRATIONS[key]
+
+
+_CALIBRATIONS: dict[tuple, Calibration] = {}
+
+
+def _calibration(spark: SparkSession, checkpoints: tuple[int, ...]) -> Calibration:
     levels = inline_table(spark, "fold_id int, tau_bin int, lv int", BAND_LEVELS)
     cps = inline_table(spark, "slot int, checkpoint int", list(enumerate(checkpoints)))
     slot, lv, b = F.col("slot"), F.col("lv"), F.col("gap_bin")
