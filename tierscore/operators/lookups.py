@@ -162,16 +162,9 @@ def lookup_bands(df: DataFrame, cal: Calibration) -> DataFrame:
     The most specific table that exists wins: (fold, tau bin), else fold, else global. Over the
     guard bins the larger ``ref_hi`` and the smaller ``rej_lo`` count.
     """
-    packed = pack_bands(cal)
-    rows = df.withColumn("tau_bin", cal.tau_bin(F.col("tau")))
-    levels = [
-        (["checkpoint", "fold_id", "tau_bin"], F.col("fold_id").isNotNull() & F.col("tau_bin").isNotNull()),
-        (["checkpoint", "fold_id"], F.col("fold_id").isNotNull() & F.col("tau_bin").isNull()),
-        (["checkpoint"], F.col("fold_id").isNull()),
-    ]
-    for i, (on, pick) in enumerate(levels):
-        rows = cal.join(rows, packed.where(pick).select(*on, F.col("band").alias(f"_b{i}")), on)
-    found = band_limits(F.coalesce("_b0", "_b1", "_b2"), F.col("gap"))
+    slot = F.array_position(F.array(*[F.lit(int(c)) for c in cal.checkpoints]), F.col("checkpoint").cast("int")) - 1
+    rows = attach_bands(df.withColumn("tau_bin", cal.tau_bin(F.col("tau"))), cal, "_limits")
+    found = band_limits(F.get("_limits", slot.cast("int")), F.col("gap"))
     return rows.select(*df.columns, "tau_bin", found.alias("_f")).select(*df.columns, "tau_bin", "_f.*")
 
 

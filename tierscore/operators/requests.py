@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierscore.functions.scalars import OTHER_BUCKET, decision_bucket
-from tierscore.operators.skew import order_statistics, top_n_per_group
+from tierscore.operators.skew import bounded_order_statistics, top_n_per_group
 from tierscore.operators.stats import reached_rank
 
 # Recorded latency range in microseconds and exact low range of the 3-digit bins.
@@ -26,8 +26,10 @@ def recorded_latency(us: Column) -> Column:
     upper end. NULL beyond one minute. At most about 18,000 distinct values result.
     """
     v = F.greatest(us.cast("bigint"), F.lit(LATENCY_FLOOR_US).cast("bigint"))
-    extra = F.greatest(F.length(F.bin(v)) - EXACT_BITS, F.lit(0))
-    width = F.pow(F.lit(2.0), extra).cast("bigint")
+    width = F.when(v < 1 << EXACT_BITS, 1)
+    for bits in range(EXACT_BITS + 1, LATENCY_CEILING_US.bit_length() + 1):
+        width = width.when(v < 1 << bits, 1 << (bits - EXACT_BITS))
+    width = width.cast("bigint")
     return F.when(us <= LATENCY_CEILING_US, v - F.pmod(v, width) + width - 1)
 
 
@@ -40,13 +42,14 @@ def is_2xx() -> Column:
     return ~F.col("timeout") & F.col("status_code").between(200, 299)
 
 
-def outcome_columns() -> list[Column]:
-    code = F.col("status_code")
-    ok, failed = is_2xx(), ~F.col("timeout") & ~F.col("status_code").between(200, 299)
+def outcome_columns(among: Column | None = None) -> list[Column]:
+    """Outcome counts of the rows, or of those ``among`` them that meet a condition."""
+    code, base = F.col("status_code"), F.lit(True) if among is None else among
+    ok, failed = base & is_2xx(), base & ~F.col("timeout") & ~F.col("status_code").between(200, 299)
     return [
         F.count_if(ok).alias("ok"),
         F.count_if(failed).alias("err"),
-        F.count_if("timeout").alias("timeout"),
+        F.count_if(base & F.col("timeout")).alias("timeout"),
         F.count_if(ok).alias("http_2xx"),
         F.count_if(failed & (code == 429)).alias("http_429"),
         F.count_if(failed & (code >= 500)).alias("http_5xx"),
@@ -82,7 +85,7 @@ def stage_rows(log: DataFrame, keys: Sequence[str]) -> DataFrame:
 def latency_quantiles(rows: DataFrame, keys: Sequence[str] = (), qs: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Quantiles per metric from long-form rows: first value whose cumulative count reaches q n."""
     ranks = {f"p{round(q * 100)}": reached_rank(q) for q in qs}
-    return order_statistics(rows, [*keys, "metric"], "us", ranks)
+    return bounded_order_statistics(rows, [*keys, "metric"], "us", ranks)
 
 
 def counter_totals(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -139,10 +142,10 @@ def verdict(summary: DataFrame, target_rps: float, batch_mode: str = "off", late
     under = F.col("attempted_rps") < F.lit(target_rps * TARGET_SHARE)
     if batch_mode == "http1":
         gap = F.greatest(F.lit(float(target_rps)) - F.col("attempted_rps"), F.lit(0.0))
-        slow = F.format_string("under_target_rows=%.1f offered_rows=%.1f", gap, F.col("offered_rps"))
+        slow = F.format_string("under_target_rows=%.1f offered_rows=%.1f", gap.cast("double"), F.col("offered_rps").cast("double"))
         drops = [counted("dropped_after_attempt")]
     else:
-        slow = F.format_string("attempted_rps=%.1f (<98%% target)", F.col("attempted_rps"))
+        slow = F.format_string("attempted_rps=%.1f (<98%% target)", F.col("attempted_rps").cast("double"))
         drops = [counted("drop_conn_queue_full")]
     client = [counted("drop_inflight_cap"), F.when(under, slow), *drops]
     if batch_mode == "off":
@@ -174,6 +177,7 @@ def batch_completion(replies: DataFrame, seals: DataFrame) -> DataFrame:
     bucket = F.when(late, F.lit(OTHER_BUCKET)).otherwise(decision_bucket(F.col("decision")))
     done = replies.groupBy("batch_id").agg(
         F.count("*").alias("replies"),
+        F.max("done_at").alias("closed_at"),
         (F.unix_micros(F.max("done_at")) - F.unix_micros(F.min("issued_at"))).alias("latency_us"),
         total(good, F.col("ok_rows")).alias("ok"),
         total(good, rows - F.col("ok_rows")).alias("lost"),
@@ -197,8 +201,8 @@ def window_metrics(log: DataFrame, batches: DataFrame, window: str, ts: str = "t
         F.count_if(F.col("dropped") | F.col("drop_inflight")).alias("dropped"),
         F.count_if("drop_inflight").alias("drop_inflight_cap"),
         F.count_if("dropped").alias("drop_conn_queue_full"),
+        *outcome_columns(~F.col("dropped")),
     )
-    outcomes = sent.groupBy("w").agg(*outcome_columns())
     measures = metric_rows(sent, ["w"]).unionByName(stage_rows(sent, ["w"]))
     done = batches.select(start("closed_at").alias("w"), F.lit("batch").alias("metric"), recorded_latency(F.col("latency_us")).alias("us"))
     p99 = latency_quantiles(measures.unionByName(done.where("us IS NOT NULL")), ["w"], (0.99,))
@@ -210,8 +214,7 @@ def window_metrics(log: DataFrame, batches: DataFrame, window: str, ts: str = "t
     wide = p99.groupBy("w").agg(
         *[F.coalesce(F.max(F.when(F.col("metric") == m, F.col("p99"))), F.lit(0)).alias(out) for m, out in names.items()]
     )
-    zero = [c for c in outcomes.columns if c != "w"] + list(names.values())
-    full = counts.join(outcomes, "w", "left").join(wide, "w", "left").na.fill(0, zero)
+    full = counts.join(wide, "w", "left").na.fill(0, list(names.values()))
     return full.withColumn("t_ms", F.floor(F.unix_millis("w")).cast("bigint")).drop("w")
 
 

@@ -162,6 +162,30 @@ def order_statistics(
     return inside.groupBy(*keys).agg(*[pick(name) for name in ranks])
 
 
+def bounded_order_statistics(
+    df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """Like :func:`order_statistics` for a column with a fixed, small set of possible values.
+
+    After counting equal values a group has at most that many rows, so one window suffices.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+        F.count("*").alias("_n")
+    )
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.select(
+        "*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lo"), F.sum("_n").over(whole).alias("_total")
+    )
+
+    def pick(name: str, fn: Callable[[Column], Column]) -> Column:
+        rank = fn(F.col("_total")).cast("bigint")
+        here = (rank >= F.col("_lo")) & (rank < F.col("_lo") + F.col("_n"))
+        return F.max(F.when(here, F.col("_v"))).alias(name)
+
+    return placed.groupBy(*keys).agg(*[pick(name, fn) for name, fn in ranks.items()])
+
+
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """First ``n`` rows of each group; a hot group is cut down per slice before it is merged."""
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS))

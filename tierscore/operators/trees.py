@@ -209,7 +209,8 @@ def batch_udf(returns: str):
     """An Arrow UDF that is evaluated exactly where it is written.
 
     Marking it non-deterministic keeps the optimizer from copying the call into a filter or an
-    aggregate above it, which would walk the trees twice.
+    aggregate above it, which would walk the trees twice. So add the column first and aggregate
+    or filter by it afterwards.
     """
     return lambda fn: F.arrow_udf(fn, returns).asNondeterministic()
 

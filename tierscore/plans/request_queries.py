@@ -129,9 +129,7 @@ BATCHES = f"""bat AS (
 
 def closed_batches(log):
     seals = log.select("batch_id").distinct().withColumn("expected", F.lit(8))
-    rep = replies(log)
-    closed = rep.groupBy("batch_id").agg(F.max("done_at").alias("closed_at"))
-    return R.batch_completion(rep, seals).join(closed, "batch_id")
+    return R.batch_completion(replies(log), seals)
 
 
 @query(
