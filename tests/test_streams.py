@@ -75,11 +75,10 @@ def test_budget_across_triggers(spark, tmp_path):
     assert ids[:40] == list(range(40)) and ids[-1] == 100 and len(ids) == 46
 
 
-def test_scratch_follows_the_session(spark):
+def test_scratch_follows_the_session():
     from tierscore.session import shared_dir
 
-    spark.conf.set("spark.checkpoint.dir", "/tmp/some-shared-folder/")
-    try:
-        assert shared_dir(spark) == "/tmp/some-shared-folder"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    class Session:
+        conf = {"spark.checkpoint.dir": "/shared/folder/"}
+
+    assert shared_dir(Session()) == "/shared/folder"

@@ -80,8 +80,8 @@ def guard_bins(x: Column, edges: Sequence[float] | Column, bin_: Column) -> tupl
         F.lit(GUARD_FLOOR).cast("float"),
         (F.lit(8.0 * FLOAT_EPS).cast("float") * F.greatest(F.abs(v), F.lit(1.0).cast("float"))),
     )
-    near_low = F.abs(v - F.get(arr, bin_)) <= tol
-    near_high = F.abs(F.get(arr, bin_ + 1) - v) <= tol
+    near_low = ~F.isnan(v) & (F.abs(v - F.get(arr, bin_)) <= tol)
+    near_high = ~F.isnan(v) & (F.abs(F.get(arr, bin_ + 1) - v) <= tol)
     lo = F.when((bin_ > 0) & near_low, bin_ - 1).otherwise(bin_)
     hi = F.when((bin_ + 1 < n - 1) & near_high, bin_ + 1).otherwise(bin_)
     return lo.cast("int"), hi.cast("int")

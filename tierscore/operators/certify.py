@@ -206,7 +206,7 @@ def certify_scan(
         return let(
             inputs(i),
             lambda s: F.when(
-                s["prefix"].isNotNull(),
+                s["prefix"].isNotNull() & ~F.isnan(s["gap"]),
                 let(L.band_limits(F.get(limits, s["slot"]), s["gap"]), lambda b: decide(s, b)),
             ),
         )

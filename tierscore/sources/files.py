@@ -27,25 +27,24 @@ GAP_EDGES, GAP_BINS = 257, 256  # fixed values
 
 def read_tsv(spark: SparkSession, path: str, needed: list[str]) -> DataFrame:
     """Header-addressed TSV as strings plus ``_short`` (line lacks columns) and ``_line`` (order)."""
-    reader = spark.read.option("sep", "\t").option("header", True)
-    header = reader.csv(path).columns
+    lines = spark.read.text(path)
+    first = lines.first()
+    if first is None:
+        raise ValueError(f"empty table: {path}")
+    header = first["value"].split("\t")
     lost = [c for c in needed if c not in header]
     if lost:
         raise ValueError(f"missing column {lost[0]!r} in {path}")
-    schema = ", ".join(f"`{c}` string" for c in header) + ", _corrupt string"
-    rows = (
-        reader.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("quote", "")
-        .csv(path)
-    )
     order = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return rows.select(*needed, F.col("_corrupt").isNotNull().alias("_short"), order.alias("_line"))
+    cells = F.split("value", "\t", -1)
+    rows = lines.select(cells.alias("_c"), order.alias("_line"), "value")
+    rows = rows.where((F.trim("value") != "") & (F.col("value") != F.lit(first["value"])))
+    fields = [F.get("_c", F.lit(header.index(c))).alias(c) for c in needed]
+    return rows.select(*fields, (F.size("_c") < len(header)).alias("_short"), "_line")
 
 
 def read_route_meta_tsv(
