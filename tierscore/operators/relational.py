@@ -16,45 +16,65 @@ from tierscore.operators.skew import lookup_join
 from tierscore.operators.trees import split_masks
 
 
+MAX_MODELS = 1_000
+
+
 def candidate_leaves(
-    df: DataFrame, splits: DataFrame, leaves: DataFrame, id_col: str = "txn_id", observed: Sequence[int] | None = None
+    df: DataFrame, splits: DataFrame, id_col: str = "txn_id", observed: Sequence[int] | None = None
 ) -> DataFrame:
-    """Per row and tree the set of leaves still possible: ``id, model, tree_id, mask``.
+    """Per row and tree with a known split the leaves still possible: ``id, model, tree_id, mask``.
 
     Each known feature meets the splits on that feature; the leaf sets are intersected with
     ``bit_and``, most of it before the shuffle because the splits of a row are produced together.
     """
-    full = leaves.groupBy("model", "tree_id").agg(F.bit_or("mask").alias("mask"))
-    known = F.posexplode("features").alias("fidx", "x")
-    cells = df.select(id_col, known)
+    cells = df.select(id_col, F.posexplode("features").alias("fidx", "x"))
     if observed is not None:
         cells = cells.where(F.col("fidx").isin([int(i) for i in observed]))
     gone = F.col("x").isNull() | F.isnan("x")
     left = F.when(gone, F.col("missing_left")).otherwise(F.col("x") < F.col("thr"))
     met = lookup_join(cells, splits, ["fidx"], "inner")
-    met = met.select(id_col, "model", "tree_id", F.when(left, F.col("if_left")).otherwise(F.col("if_right")).alias("mask"))
-    untouched = full.join(met.select("model", "tree_id").distinct(), ["model", "tree_id"], "left_anti")
-    alone = df.select(id_col, F.lit(1).alias("_k")).join(
-        F.broadcast(untouched.withColumn("_k", F.lit(1))), "_k"
-    )
-    rows = met.unionByName(alone.select(id_col, "model", "tree_id", "mask"))
-    return rows.groupBy(id_col, "model", "tree_id").agg(F.bit_and("mask").alias("mask"))
+    kept = F.when(left, F.col("if_left")).otherwise(F.col("if_right"))
+    return met.groupBy(id_col, "model", "tree_id").agg(F.bit_and(kept).alias("mask"))
 
 
 def interval_by_masks(
     df: DataFrame, nodes: DataFrame, id_col: str = "txn_id", observed: Sequence[int] | None = None
 ) -> DataFrame:
-    """Lower and upper score per row from the candidate leaf sets."""
+    """Lower and upper score per row and model from the candidate leaf sets.
+
+    Every row starts from the sum of all tree minima and maxima; a tree with a known split adds
+    what its remaining leaves narrow that down to. Trees without one need no row of their own.
+    """
     splits, leaves = split_masks(nodes)
+    value = F.col("leaf").cast("double")
     packed = leaves.groupBy("model", "tree_id").agg(
-        F.collect_list(F.struct("mask", F.col("leaf").cast("double").alias("leaf"))).alias("leaves")
+        F.collect_list(F.struct("mask", value.alias("leaf"))).alias("leaves"),
+        F.min(value).alias("least"),
+        F.max(value).alias("most"),
     )
-    sets = lookup_join(candidate_leaves(df, splits, leaves, id_col, observed), packed, ["model", "tree_id"], "inner")
+    whole = packed.groupBy("model").agg(F.sum("least").alias("base_lo"), F.sum("most").alias("base_hi"))
+    names = [r["model"] for r in whole.select("model").limit(MAX_MODELS + 1).collect()]
+    if len(names) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models at once")
+    sets = lookup_join(candidate_leaves(df, splits, id_col, observed), packed, ["model", "tree_id"], "inner")
     possible = F.transform(
         F.filter("leaves", lambda v: v["mask"].bitwiseAND(F.col("mask")) != 0), lambda v: v["leaf"]
     )
-    ends = sets.select(id_col, "model", F.array_min(possible).alias("lo"), F.array_max(possible).alias("hi"))
-    return ends.groupBy(id_col, "model").agg(F.sum("lo").alias("lower"), F.sum("hi").alias("upper"))
+    gains = sets.select(
+        id_col,
+        "model",
+        (F.array_min(possible) - F.col("least")).alias("lo"),
+        (F.array_max(possible) - F.col("most")).alias("hi"),
+    )
+    zero = F.lit(0.0)
+    every = df.where(F.col("features").isNotNull()).select(
+        id_col, F.explode(F.array(*[F.lit(n) for n in names])).alias("model"), zero.alias("lo"), zero.alias("hi")
+    )
+    total = gains.unionByName(every).groupBy(id_col, "model").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    ends = lookup_join(total, whole, ["model"], "inner")
+    return ends.select(
+        id_col, "model", (F.col("base_lo") + F.col("lo")).alias("lower"), (F.col("base_hi") + F.col("hi")).alias("upper")
+    )
 
 
 def score_by_masks(df: DataFrame, nodes: DataFrame, id_col: str = "txn_id") -> DataFrame:

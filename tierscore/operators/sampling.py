@@ -13,9 +13,12 @@ def spaced_sample(df: DataFrame, order_id: str, n: int) -> DataFrame:
 
     Row ``i`` of N is taken when it is ``floor(s N / n)`` for some ``s < n``.
     """
-    total = df.agg(F.count("*").alias("_total")).withColumn("_one", F.lit(1))
-    rows = dense_index(df, order_id, "_i").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-    take = F.least(F.lit(n).cast("bigint"), F.col("_total"))
-    slot = F.ceil(F.col("_i").cast("decimal(20,0)") * take / F.col("_total")).cast("bigint")
-    first = F.floor(slot.cast("decimal(20,0)") * F.col("_total") / take).cast("bigint")
+    total = df.count()
+    take = min(int(n), total)
+    if take == 0:
+        return df.limit(0)
+    index = F.col("_i").cast("decimal(20,0)")
+    slot = F.ceil(index * take / total).cast("bigint")
+    first = F.floor(slot.cast("decimal(20,0)") * total / take).cast("bigint")
+    rows = dense_index(df, order_id, "_i")
     return rows.where((slot < take) & (first == F.col("_i"))).select(*df.columns)
