@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tierscore.llm import chat, packing, sharding, token_counts, warc
+from tierscore.llm import chat, decontamination, packing, sharding, token_counts, toxicity, warc
 from tierscore.llm.common import table
 
 SHARDS = 16
@@ -30,6 +30,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages")))
 
@@ -70,5 +74,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_counts(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "closed")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op5_warc, op7_chat, op9_token_counts)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op2_sharding,
+        op3_decontamination,
+        op5_warc,
+        op7_chat,
+        op9_token_counts,
+        op10_toxicity,
+    )
+}
 SQL = {"op7_chat": OP7_SQL}
