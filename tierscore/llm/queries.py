@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tierscore.llm import chat, decontamination, packing, sharding, token_counts, toxicity, warc
+from tierscore.llm import chat, decontamination, html_text, packing, sharding, token_counts, toxicity, warc
 from tierscore.llm.common import table
 
 SHARDS = 16
@@ -34,6 +34,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages")))
 
@@ -85,6 +89,7 @@ QUERIES = {
         op1_packing,
         op2_sharding,
         op3_decontamination,
+        op4_html_text,
         op5_warc,
         op7_chat,
         op9_token_counts,
