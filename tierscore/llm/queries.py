@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tierscore.llm import chat, decontamination, html_text, packing, sharding, token_counts, toxicity, warc
+from tierscore.llm import chat, decontamination, html_text, near_dups, packing, sharding, token_counts, toxicity, warc
 from tierscore.llm.common import table
 
 SHARDS = 16
@@ -74,6 +74,10 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_counts(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "closed")
 
@@ -92,6 +96,7 @@ QUERIES = {
         op4_html_text,
         op5_warc,
         op7_chat,
+        op8_near_duplicates,
         op9_token_counts,
         op10_toxicity,
     )
