@@ -1,6 +1,7 @@
 """Token counts of documents in flat files of token ids without an index.
 
-A file is nothing but little-endian 32-bit ids; an end-of-document id closes each document. Readers
+A file is nothing but little-endian ids of two or four bytes; an end-of-document id closes each
+document. Readers
 take fixed byte ranges (blocks), search each for the end id with one vectorised comparison, and keep
 the positions found. A prefix scan over the small block summaries (number of ends, last end) gives
 every block the number of documents before it and the end before its first one, which stitches the
@@ -31,14 +32,19 @@ WRITTEN = "path string, ordinal bigint, doc_id bigint"
 ENDS = "path string, block bigint, tokens bigint, ends array<bigint>"
 
 
-def write_flat(docs: DataFrame, folder: str, end_id: int = 50256, files: tuple[str, str] | None = None) -> DataFrame:
-    """Writes the ids of every document and ``end_id`` to flat files below ``folder``: WRITTEN rows."""
-    vocab = files or vocabulary()
+def write_flat(
+    docs: DataFrame, folder: str, end_id: int = 50256, files: tuple[str, str] | None = None, width: int = 2
+) -> DataFrame:
+    """Writes the ids of every document and ``end_id`` to flat files below ``folder``: WRITTEN rows.
+
+    ``width``: bytes of an id; two are enough for vocabularies below 65,536.
+    """
+    vocab, kind = files or vocabulary(), f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, inner = open_fs(folder)
-        codec, name, out, ordinal = Codec(vocab), f"{uuid.uuid4().hex}.u32", None, 0
-        end = np.array([end_id], dtype="<u4").tobytes()
+        codec, name, out, ordinal = Codec(vocab), f"{uuid.uuid4().hex}.ids", None, 0
+        end = np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -46,7 +52,10 @@ def write_flat(docs: DataFrame, folder: str, end_id: int = 50256, files: tuple[s
                 fs.create_dir(inner, recursive=True)
                 out = fs.open_output_stream(f"{inner}/{name}")
             for text in batch.column(1):
-                out.write(codec.ids(text.as_py()).tobytes() + end)
+                ids = codec.ids(text.as_py())
+                if len(ids) and int(ids.max()) >> (8 * width):
+                    raise ValueError(f"an id needs more than {width} bytes")
+                out.write(ids.astype(kind).tobytes() + end)
             n = batch.num_rows
             order = pa.array(np.arange(ordinal, ordinal + n, dtype=np.int64))
             ordinal += n
@@ -60,14 +69,14 @@ def write_flat(docs: DataFrame, folder: str, end_id: int = 50256, files: tuple[s
     return materialise(rows.mapInArrow(run, WRITTEN), "flat")
 
 
-def find_ends(paths: DataFrame, end_id: int, block_tokens: int) -> DataFrame:
+def find_ends(paths: DataFrame, end_id: int, block_tokens: int, width: int = 2) -> DataFrame:
     """ENDS rows of every block of the files in ``path``: places of the end ids from the file's start."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, inner = open_fs(path)
-                tokens = fs.get_file_info(inner).size // 4
+                tokens = fs.get_file_info(inner).size // width
                 count = -(-tokens // block_tokens)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * count, pa.string()), pa.array(range(count), pa.int64())], names=["path", "block"]
@@ -79,7 +88,7 @@ def find_ends(paths: DataFrame, end_id: int, block_tokens: int) -> DataFrame:
                 fs, inner = open_fs(path)
                 start = block * block_tokens
                 with fs.open_input_file(inner) as f:
-                    ids = np.frombuffer(f.read_at(4 * block_tokens, 4 * start), dtype="<u4", count=-1)
+                    ids = np.frombuffer(f.read_at(width * block_tokens, width * start), dtype=f"<u{width}")
                 ends = np.flatnonzero(ids == end_id) + start
                 bounds = pa.array([0, len(ends)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -128,9 +137,9 @@ def prefix_scan(blocks: DataFrame, group: int = 4096) -> DataFrame:
     )
 
 
-def count_tokens(paths: DataFrame, end_id: int = 50256, block_tokens: int = 1 << 20) -> DataFrame:
+def count_tokens(paths: DataFrame, end_id: int = 50256, block_tokens: int = 1 << 20, width: int = 2) -> DataFrame:
     """``path, ordinal, start, n_tokens, closed`` of every document, end ids not counted."""
-    found = materialise(find_ends(paths, end_id, block_tokens), "ends")
+    found = materialise(find_ends(paths, end_id, block_tokens, width), "ends")
     summary = found.select("path", "block", F.size("ends").alias("n"), F.array_max("ends").alias("last"))
     before = prefix_scan(summary.select("path", "block", "n", "last"))
     stitched = found.join(before, ["path", "block"])
