@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tierscore.llm import chat, decontamination, html_text, near_dups, packing, sharding, token_counts, toxicity, warc
+from tierscore.llm import chat, decontamination, fingerprints, html_text, near_dups, packing, sharding, token_counts, toxicity, warc
 from tierscore.llm.common import table
 
 SHARDS = 16
@@ -42,6 +42,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages")))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"
 PROBE_ID = -1
 
@@ -95,6 +99,7 @@ QUERIES = {
         op3_decontamination,
         op4_html_text,
         op5_warc,
+        op6_fingerprints,
         op7_chat,
         op8_near_duplicates,
         op9_token_counts,
