@@ -8,9 +8,10 @@ Equal sets are one class, stood for by its smallest id; classes are joined:
 2. A node with at most ``node_limit`` classes is compared exhaustively. A larger node is compared in
    random blocks and branches again by tokens that its path chooses; deeper nodes hold ever more
    alike classes. The rows of a level never outgrow the level before by more than a quarter.
-3. Comparing means estimating on the tokens with a margin. Each block first gives a spanning forest of
-   its likely pairs; these are confirmed on full sets and joined to components. Then every likely pair
-   between different components is confirmed as well. Pairs inside a component change nothing.
+3. Comparing means estimating on the tokens with a margin. Small nodes and some blocks of large ones
+   first give a spanning forest of their likely pairs; these are confirmed on full sets and joined to
+   components. Then every likely pair between different components, of all nodes, is confirmed as
+   well. Pairs inside a component change nothing.
 
 Ids are expected to name one text. Rows with null ids are linked with nothing and kept; null or empty
 texts have empty sets and are linked with nothing; repeated rows get equal results; an empty table
@@ -109,7 +110,7 @@ def _branch(big: DataFrame) -> DataFrame:
 
 
 def tree_nodes(classes: DataFrame, roots: int, node_limit: int, levels: int) -> DataFrame:
-    """``node, block, rep, sketch, n`` of all nodes that are compared, of all trees and levels."""
+    """``node, block, rep, sketch, n, probe`` of all nodes that are compared, of all trees and levels."""
     keys = F.transform("roots", lambda token, at: F.xxhash64(at, token))
     first = _counted(classes.select("rep", F.explode(keys).alias("node")))
     rows = materialise(first.join(classes.select("rep", "sketch", "n"), "rep").select("node", "rep", "sketch", "n", "members"), "nodes")
@@ -117,7 +118,11 @@ def tree_nodes(classes: DataFrame, roots: int, node_limit: int, levels: int) ->
     for level in range(levels + 1):
         blocks = F.ceil(F.col("members") / node_limit)
         block = F.pmod(F.xxhash64("rep", "node", F.lit(level)), blocks)
-        compared = rows.select(F.xxhash64("node", F.lit(level)).alias("node"), block.alias("block"), "rep", "sketch", "n")
+        # Random blocks of a few large nodes are enough to connect what is alike throughout.
+        probe = (F.col("members") <= node_limit) | (F.pmod(F.xxhash64("node"), F.lit(4)) == 0) & F.lit(level == 0)
+        compared = rows.select(
+            F.xxhash64("node", F.lit(level)).alias("node"), block.alias("block"), "rep", "sketch", "n", probe.alias("probe")
+        )
         found = compared if found is None else found.unionByName(compared)
         big = rows.where(F.col("members") > node_limit)
         if level == levels or big.isEmpty():
@@ -127,10 +132,10 @@ def tree_nodes(classes: DataFrame, roots: int, node_limit: int, levels: int) ->
 
 
 def likely_pairs(nodes: DataFrame, share: float, margin: float, forest: bool) -> DataFrame:
-    """``a, b`` of likely pairs in the same block; rows may carry ``comp``.
+    """``a, b`` of likely pairs in the same block, and whether a node to probe has the pair.
 
     ``forest``: only a spanning forest of each block, the likeliest pairs first; otherwise all pairs
-    of different ``comp``.
+    of different ``comp``, a column of ``nodes``.
     """
     need = int(SKETCH * (share - margin))
 
@@ -138,6 +143,7 @@ def likely_pairs(nodes: DataFrame, share: float, margin: float, forest: bool) ->
         for t in whole_groups(batches, ["node", "block"]):
             cols = {n: t.column(n).to_numpy(zero_copy_only=False) for n in ("node", "block", "rep", "n")}
             comp = cols["rep"] if forest else t.column("comp").to_numpy(zero_copy_only=False)
+            probe = t.column("probe").to_numpy(zero_copy_only=False).astype(bool)
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
             bounds = runs(cols["node"], cols["block"])
             sizes = np.diff(bounds)
@@ -161,12 +167,12 @@ def likely_pairs(nodes: DataFrame, share: float, margin: float, forest: bool) ->
                         a, b = _forest(a, b, same)
                     if len(a):
                         x, y = cols["rep"][a], cols["rep"][b]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"]
-                        )
+                        low, high = pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())
+                        yield pa.RecordBatch.from_arrays([low, high, pa.array(probe[a])], names=["a", "b", "probe"])
 
     dealt = nodes.repartition("node", "block").sortWithinPartitions("node", "block")
-    return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+    found = dealt.mapInArrow(run, "a bigint, b bigint, probe boolean").where("a <> b")
+    return found.groupBy("a", "b").agg(F.max("probe").alias("probe"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +228,7 @@ def near_duplicates(
     percent: int = 80,
     trees: int = 16,
     node_limit: int = 64,
-    levels: int = 10,
+    levels: int = 6,
     margin: float = 0.2,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document.
@@ -242,14 +248,15 @@ def near_duplicates(
     wanted = materialise(wanted, "wanted")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), whole_text().alias("text")).join(wanted, "rep", "left_semi")
     texts = materialise(texts.dropDuplicates(["rep"]), "texts")
-    links = materialise(confirm(first, texts, shingle, percent), "links")
+    probes = first.where("probe").select("a", "b")
+    links = materialise(confirm(probes, texts, shingle, percent), "links")
     found = components(links)
     named = nodes.join(wanted, "rep", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    rest = likely_pairs(named, percent / 100, margin, False).join(first, ["a", "b"], "left_anti")
+    rest = likely_pairs(named, percent / 100, margin, False).join(probes, ["a", "b"], "left_anti").select("a", "b")
     more = materialise(confirm(materialise(rest, "pairs"), texts, shingle, percent), "links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = materialise(components(links.unionByName(more)), "components")
     owner = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     owner = owner.select("digest", F.coalesce("component", "rep").alias("component_id"))
     joined = signed.select("doc_id", "n_shingles", "digest").join(owner, "digest", "left")
