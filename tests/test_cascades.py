@@ -135,6 +135,10 @@ def test_cascade_without_second_tier(spark, sf_dir):
 def test_sidecar_needs_a_threshold(spark, sf_dir):
     rows = Q.txn(spark, sf_dir).withColumn("row_idx", F.col("txn_id")).drop("tau")
     side = fx.transactions(spark, sf_dir).where("txn_id < 5").select(F.col("txn_id").alias("side_idx"), "features")
+    with pytest.raises(PySparkException, match="no side row 4 for row"):
+        C.cascade_sidecar(
+            rows, fx.model(spark, "l1"), fx.L1_THRESHOLD, fx.model(spark, "seg_b"), side.where("side_idx < 4"), 5, fixed_tau=0.25
+        ).collect()
     with pytest.raises(PySparkException, match="no threshold for row"):
         C.cascade_sidecar(rows, fx.model(spark, "l1"), fx.L1_THRESHOLD, fx.model(spark, "seg_b"), side, 5).collect()
     fixed = C.cascade_sidecar(rows, fx.model(spark, "l1"), fx.L1_THRESHOLD, fx.model(spark, "seg_b"), side, 5, fixed_tau=0.25)
@@ -162,6 +166,37 @@ def test_metadata_join_names_the_offender(spark):
     left = spark.range(5).withColumnRenamed("id", "txn_id")
     with pytest.raises(PySparkException, match="txn_id 4 missing in metadata"):
         L.join_row_meta(left, left.where("txn_id < 4").withColumn("m", F.lit(1))).collect()
+    with pytest.raises(PySparkException, match="txn_id 2 repeated in metadata"):
+        L.join_row_meta(left, left.unionByName(left.where("txn_id = 2")).withColumn("m", F.lit(1))).collect()
+    with pytest.raises(PySparkException, match="txn_id 3 repeated in features"):
+        L.join_row_meta(left.unionByName(left.where("txn_id = 3")), left.withColumn("m", F.lit(1))).collect()
+    with pytest.raises(ValueError, match="'repeated_meta': 1"):
+        feats = spark.sql("SELECT 7L AS txn_id, array(1f) AS features")
+        C.validate(feats, feats.select("txn_id").unionByName(feats.select("txn_id")), 1)
     with pytest.raises(ValueError, match="txn_id=7"):
         feats = spark.sql("SELECT 7L AS txn_id, array(1f) AS features")
         C.validate(feats, feats.select("txn_id"), 2)
+
+
+def test_last_row_of_a_key_wins_without_multiplying(spark):
+    rows = spark.sql("SELECT 1 AS fold_id, '0' AS seg_key, CAST(NULL AS FLOAT) AS l2_tau_used")
+    fold = inline_table(spark, "fold_id int, tau float, ord int", [(1, 0.1, 1), (1, 0.5, 0), (1, 0.1, 1)])
+    seg = inline_table(spark, "fold_id int, seg_key string, tau float", [(1, "0", 0.25), (1, "0", 0.75)])
+    assert [r.tau for r in L.resolve_tau(rows, None, fold).collect()] == pytest.approx([0.1])
+    assert [r.tau for r in L.resolve_tau(rows, seg, fold).collect()] == [0.75]
+    routes = inline_table(spark, "tau_bin int, route int, ord int", [(0, 7, 2), (0, 9, 1), (1, 3, 0), (2, 4, 0)])
+    assert [r.route for r in L.route_by_tau(rows.withColumn("tau", F.lit(-5.0)), routes, fx.TAU_EDGES).collect()] == [7]
+
+
+def test_atlas_cells_of_large_numbers_stay_apart(spark):
+    on = ["checkpoint", "tau_bin", "cluster_id", "gap_bin"]
+    cells = inline_table(spark, "checkpoint int, tau_bin int, cluster_id int, gap_bin int, cell int",
+                         [(4, 0, 1000, 3, 1), (5, 0, 0, 3, 2), (2200, 0, 5000, 255, 2), (4, 0, 1000, 3, 1)])
+    atlas = L.Atlas((), (), cells)
+    rows = L.attach_atlas(inline_table(spark, "tau double", [(0.5,)]), atlas)
+    def at(*key):
+        return F.try_element_at("atlas_cells", L.cell_key(*[F.lit(k) for k in key]))
+
+    got = rows.select(at(4, 1000, 3).alias("a"), at(5, 0, 3).alias("b"), at(2200, 5000, 255).alias("c"), at(5, 0, 4).alias("d")).first()
+    assert tuple(got) == (1, 2, 2, None)
+    assert L.lookup_atlas(cells.select(*on).distinct(), cells).count() == 3

@@ -172,3 +172,25 @@ def test_layouts(spark):
     assert SK.scored_layout(row, "qs-fast").first().lower_bound == "0.500000000"
     with pytest.raises(ValueError, match="unknown layout"):
         SK.scored_layout(row, "other")
+
+
+def test_binary_jobs_append_and_overwrite(spark, tmp_path):
+    rows = spark.range(3).select(F.array(F.col("id").cast("float")).alias("features")).coalesce(1)
+    more = spark.range(10, 13).select(F.array(F.col("id").cast("float")).alias("features")).coalesce(1)
+    path = str(tmp_path / "dense")
+
+    def values():
+        return [r.features[0] for r in SB.read_dense_rows(spark, path, 1).orderBy("row_idx").collect()]
+
+    SB.write_binary(rows, path, "dense")
+    SB.write_binary(more, path, "dense")
+    assert values() == [0, 1, 2, 10, 11, 12]
+    SB.write_binary(more, path, "dense", mode="overwrite")
+    assert values() == [10, 11, 12]
+
+
+def test_several_documents_fail(spark, tmp_path):
+    for name in ("a.json", "b.json"):
+        (tmp_path / name).write_text('["x"]')
+    with pytest.raises(ValueError, match="more than one document"):
+        SF.read_feature_names(spark, str(tmp_path))

@@ -118,8 +118,11 @@ def cascade_sidecar(
 ) -> DataFrame:
     """Cascade whose tier-two vectors come from a side table picked by ``row_idx % n_side``.
 
-    The threshold is ``fixed_tau`` or the row's own; a survivor without one fails the job.
+    The threshold is ``fixed_tau`` or the row's own; a survivor without one fails the job, and so does
+    a survivor whose side row is missing.
     """
+    if n_side < 1:
+        raise ValueError(f"no side rows: {n_side}")
     rows = tier_one(df, l1, l1_threshold, policy)
     rows = rows.withColumn("used_l2", ~F.col("l1.pass"))
     if fixed_tau is None:
@@ -129,7 +132,10 @@ def cascade_sidecar(
     else:
         tau = F.lit(float(fixed_tau)).cast("float")
     rows = L.sidecar_features(rows.withColumn("tau", tau), side, n_side)
-    routed = score_route(F.when(F.col("used_l2"), F.col("side_features")), F.col("tau"), l2)
+    vector = F.col("side_features")
+    message = F.concat(F.lit("no side row "), F.col("side_idx").cast("string"), F.lit(" for row "), F.col("row_idx").cast("string"))
+    vector = L.fail_when(F.col("used_l2") & vector.isNull(), message, vector, dict(rows.dtypes)["side_features"])
+    routed = score_route(F.when(F.col("used_l2"), vector), F.col("tau"), l2)
     rows = rows.withColumn("_l2", routed)
     return rows.select(
         *df.columns,
@@ -175,23 +181,27 @@ def mask_inactive(df: DataFrame, score: str = "score", decision: str = "pass", v
 
 def validation_report(features: DataFrame, meta: DataFrame, dim: int, key: str = "txn_id") -> DataFrame:
     """Counts of every rule violation with the smallest offending key; one row, no collect."""
-    left = features.select(key, F.size("features").alias("width"), F.lit(1).alias("_f"))
-    right = meta.select(key, F.lit(1).alias("_m"))
-    both = left.join(right, key, "full")
-    no_meta, no_features = F.col("_m").isNull(), F.col("_f").isNull()
-    wrong = F.coalesce(F.col("width") != dim, F.lit(False))
+    wide = F.count_if(F.coalesce(F.size("features") != dim, F.lit(False))).alias("_w")
+    left = features.groupBy(key).agg(F.count("*").alias("_f"), wide)
+    both = left.join(meta.groupBy(key).agg(F.count("*").alias("_m")), key, "full").fillna(0, ["_f", "_w", "_m"])
+    no_meta, no_features, wrong = F.col("_m") == 0, F.col("_f") == 0, F.col("_w") > 0
+    twice, twice_meta = F.col("_f") > 1, F.col("_m") > 1
+    total = lambda c, when=None: F.coalesce(F.sum(c if when is None else F.when(when, c)), F.lit(0))
     return both.agg(
-        F.count("_f").alias("feature_rows"),
-        F.count("_m").alias("meta_rows"),
-        F.count_if(no_meta).alias("without_meta"),
-        F.count_if(no_features).alias("without_features"),
-        F.count_if(wrong).alias("wrong_width"),
-        F.min(F.when(no_meta | no_features | wrong, F.col(key))).alias("first_offender"),
+        total(F.col("_f")).alias("feature_rows"),
+        total(F.col("_m")).alias("meta_rows"),
+        total(F.col("_f"), no_meta).alias("without_meta"),
+        total(F.col("_m"), no_features).alias("without_features"),
+        total(F.col("_w")).alias("wrong_width"),
+        F.count_if(twice).alias("repeated_features"),
+        F.count_if(twice_meta).alias("repeated_meta"),
+        F.min(F.when(no_meta | no_features | wrong | twice | twice_meta, F.col(key))).alias("first_offender"),
     )
 
 
 def validate(features: DataFrame, meta: DataFrame, dim: int, key: str = "txn_id") -> None:
     """Raises with the first offender when the report is not clean."""
     row = validation_report(features, meta, dim, key).first()
-    if row["first_offender"] is not None:
+    faults = ("without_meta", "without_features", "wrong_width", "repeated_features", "repeated_meta")
+    if any(row[f] for f in faults):
         raise ValueError(f"invalid input, first at {key}={row['first_offender']}: {row.asDict()}")

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierscore.functions.bins import bin_by_edges, count_in_long, every_stride, float_array, guard_bins, let
-from tierscore.operators.skew import is_small, lookup_join, salted_join
+from tierscore.operators.skew import is_small, last_per_key, lookup_join, salted_join
 from tierscore.session import materialise
 
 # Router actions.
@@ -29,15 +29,20 @@ def fail_when(bad: Column, message: Column, value: Column, kind: str) -> Column:
 
 
 def join_row_meta(features: DataFrame, meta: DataFrame, key: str = "txn_id") -> DataFrame:
-    """1:1 join with strict key equality: a row missing on either side fails the job."""
-    left = features.withColumn("_f", F.lit(True))
-    right = meta.withColumn("_m", F.lit(True))
+    """1:1 join with strict key equality: a key missing or repeated on either side fails the job."""
+    same = Window.partitionBy(key)
+    left = features.withColumn("_f", F.count("*").over(same))
+    right = meta.withColumn("_m", F.count("*").over(same))
     both = left.join(right, key, "full")
-    bad = F.col("_f").isNull() | F.col("_m").isNull()
-    where = F.when(F.col("_f").isNull(), F.lit("features")).otherwise(F.lit("metadata"))
-    message = F.concat(F.lit(f"{key} "), F.col(key).cast("string"), F.lit(" missing in "), where)
+    fault = (
+        F.when(F.col("_f").isNull(), "missing in features")
+        .when(F.col("_m").isNull(), "missing in metadata")
+        .when(F.col("_f") > 1, "repeated in features")
+        .when(F.col("_m") > 1, "repeated in metadata")
+    )
+    message = F.concat(F.lit(f"{key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")), F.lit(" "), fault)
     kind = dict(both.dtypes)[key]
-    return both.withColumn(key, fail_when(bad, message, F.col(key), kind)).drop("_f", "_m")
+    return both.withColumn(key, fail_when(fault.isNotNull(), message, F.col(key), kind)).drop("_f", "_m")
 
 
 def resolve_tau(
@@ -49,8 +54,10 @@ def resolve_tau(
 ) -> DataFrame:
     """Adds ``fold_used`` and ``tau``: explicit row value, else segment, else fold-wide value.
 
-    A fold without a fold-wide value is replaced by the smallest fold that has one.
+    A fold without a fold-wide value is replaced by the smallest fold that has one. Of repeated keys
+    of a threshold table the last counts (see ``last_per_key``).
     """
+    global_tau = last_per_key(global_tau, ["fold_id"], ["tau"])
     first = global_tau.orderBy("fold_id").first()
     if first is None:
         raise ValueError("no fold-wide threshold available")
@@ -63,7 +70,7 @@ def resolve_tau(
     rows = rows.withColumn("_g", F.coalesce("_g", F.lit(float(first["tau"])).cast("float")))
     seg = F.lit(None).cast("float")
     if seg_tau is not None:
-        side = seg_tau.select(
+        side = last_per_key(seg_tau, ["fold_id", "seg_key"], ["tau"]).select(
             F.col("fold_id").alias("fold_used"), F.col("seg_key").alias(key), F.col("tau").cast("float").alias("_s")
         )
         rows = lookup_join(rows, side, ["fold_used", key])
@@ -117,7 +124,8 @@ BAND_TYPE = "struct<edges: array<float>, coarse: array<float>, ref_hi: array<flo
 def pack_bands(cal: Calibration) -> DataFrame:
     """One row per (checkpoint, fold, tau bin): ``band`` with the edges and both limits as arrays."""
     cell = F.struct("gap_bin", "ref_hi", "rej_lo")
-    packed = cal.bands.groupBy("checkpoint", "fold_id", "tau_bin").agg(F.array_sort(F.collect_list(cell)).alias("_c"))
+    cells = last_per_key(cal.bands, ["checkpoint", "fold_id", "tau_bin", "gap_bin"], ["ref_hi", "rej_lo"])
+    packed = cells.groupBy("checkpoint", "fold_id", "tau_bin").agg(F.array_sort(F.collect_list(cell)).alias("_c"))
     edges = F.lit(None).cast("array<float>")
     for cp, values in zip(cal.checkpoints, cal.gap_edges):
         edges = F.when(F.col("checkpoint") == cp, float_array(values)).otherwise(edges)
@@ -270,7 +278,13 @@ def cell_decision(count: Column, reject_rate: Column, min_count: int, safe_ref:
 def lookup_atlas(df: DataFrame, cells: DataFrame) -> DataFrame:
     """Adds ``cell`` to rows of ``checkpoint, tau_bin, cluster_id, gap_bin``; 0 where none exists."""
     on = ["checkpoint", "tau_bin", "cluster_id", "gap_bin"]
-    return lookup_join(df, cells.select(*on, "cell"), on).withColumn("cell", F.coalesce("cell", F.lit(0)))
+    return lookup_join(df, last_per_key(cells, on, ["cell"]), on).withColumn("cell", F.coalesce("cell", F.lit(0)))
+
+
+def cell_key(checkpoint: Column, cluster: Column, gap_bin: Column) -> Column:
+    """Key of a cell; a struct, so numbers of any size stay apart."""
+    parts = {"checkpoint": checkpoint, "cluster_id": cluster, "gap_bin": gap_bin}
+    return F.struct(*[c.cast("bigint").alias(n) for n, c in parts.items()])
 
 
 def attach_atlas(df: DataFrame, atlas: Atlas, out: str = "atlas_cells") -> DataFrame:
@@ -278,9 +292,10 @@ def attach_atlas(df: DataFrame, atlas: Atlas, out: str = "atlas_cells") -> DataF
 
     Only deciding cells are kept. The map is bounded by checkpoints x clusters x 256.
     """
-    key = (F.col("checkpoint") * 1_000_000 + F.col("cluster_id") * 1_000 + F.col("gap_bin")).cast("int")
+    key = cell_key(F.col("checkpoint"), F.col("cluster_id"), F.col("gap_bin"))
     entry = F.struct(key.alias("k"), F.col("cell").cast("int").alias("v"))
-    side = atlas.cells.where("cell > 0").groupBy(F.col("tau_bin").alias("_ab")).agg(
+    cells = last_per_key(atlas.cells, ["checkpoint", "tau_bin", "cluster_id", "gap_bin"], ["cell"])
+    side = cells.where("cell > 0").groupBy(F.col("tau_bin").alias("_ab")).agg(
         F.map_from_entries(F.collect_list(entry)).alias(out)
     )
     rows = df.withColumn("_ab", atlas.tau_bin(F.col("tau")))
@@ -322,7 +337,7 @@ def atlas_cell_key(shapes: Column, s: Column, shared_bin: Column) -> Column:
 
     def key(g: Column) -> Column:
         own = F.when(F.size(g["edges"]) >= 2, bin_by_edges(s["gap"], g["edges"])).otherwise(shared_bin)
-        return (s["checkpoint"] * 1_000_000 + cluster(g) * 1_000 + F.least(own, F.lit(255))).cast("int")
+        return cell_key(s["checkpoint"], cluster(g), F.least(own, F.lit(255)))
 
     return let(F.get(shapes, s["slot"]), key)
 
@@ -354,7 +369,8 @@ def lookup_rescue(
             name = f"_a{len(found)}"
             pick = table.where((F.col("anchor") != ANY_ANCHOR) if keyed else (F.col("anchor") == ANY_ANCHOR))
             cols = ["anchor", *on] if keyed else on
-            rows = lookup_join(rows, pick.select(*cols, F.col("action").alias(name)), cols)
+            side = last_per_key(pick, cols, ["action"]).withColumnRenamed("action", name)
+            rows = lookup_join(rows, side, cols)
             found.append(name)
     return rows.withColumn("action", F.coalesce(*found, F.lit(FALLBACK))).drop(*found)
 
@@ -369,7 +385,8 @@ def rescue_code(action: Column) -> Column:
 def route_by_tau(df: DataFrame, routes: DataFrame, tau_edges: Sequence[float]) -> DataFrame:
     """Adds ``route_tau_bin`` and ``route`` (the bundle of the bin); an unassigned bin fails."""
     rows = df.withColumn("route_tau_bin", bin_by_edges(F.col("tau"), tau_edges) if len(tau_edges) >= 2 else F.lit(0))
-    side = routes.select(F.col("tau_bin").alias("route_tau_bin"), F.col("route").alias("_route"))
+    side = last_per_key(routes, ["tau_bin"], ["route"])
+    side = side.select(F.col("tau_bin").alias("route_tau_bin"), F.col("route").alias("_route"))
     rows = lookup_join(rows, side, ["route_tau_bin"])
     message = F.concat(F.lit("no bundle for tau bin "), F.col("route_tau_bin").cast("string"))
     return rows.withColumn("route", fail_when(F.col("_route").isNull(), message, F.col("_route"), "int")).drop("_route")
@@ -394,12 +411,13 @@ def policy_defaults(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def rank_packets(df: DataFrame, policy: PacketPolicy) -> DataFrame:
     """Adds ``ranking`` to rows of ``step, tau_bin, gap_bin, delta_bin``; NULL if the step is unknown."""
-    by_tau, by_step = policy_defaults(policy.rows)
     exact = ["step", "tau_bin", "gap_bin", "delta_bin"]
-    levels = ((policy.rows, exact), (by_tau, ["step", "tau_bin"]), (by_step, ["step"]))
+    states = last_per_key(policy.rows, exact, ["row_count", "ord", "ranking"])
+    by_tau, by_step = policy_defaults(states)
+    levels = ((states, exact), (by_tau, ["step", "tau_bin"]), (by_step, ["step"]))
     rows = df
     for i, (table, on) in enumerate(levels):
-        rows = lookup_join(rows, table.select(*on, F.col("ranking").alias(f"_k{i}")), on)
+        rows = lookup_join(rows, last_per_key(table, on, ["ranking"]).withColumnRenamed("ranking", f"_k{i}"), on)
     return rows.withColumn("ranking", F.coalesce("_k0", "_k1", "_k2")).drop("_k0", "_k1", "_k2")
 
 
@@ -415,10 +433,12 @@ def sidecar_features(
 ) -> DataFrame:
     """Features of the side row ``index % n_side``; ``side`` holds ``side_idx, features``.
 
-    Every side row serves the same share of rows, so the join key has no hot value.
+    Every side row serves the same share of rows, so the join key has no hot value. A row without a
+    side row gets NULL.
     """
     rows = df.withColumn("side_idx", F.pmod(F.col(index), F.lit(n_side)))
-    cols = side.select(F.col("side_idx").cast("bigint").alias("side_idx"), F.col("features").alias(out))
+    cols = side.select(F.col("side_idx").cast("bigint").alias("side_idx"), F.col("features").alias(out), *[c for c in ("ord",) if c in side.columns])
+    cols = last_per_key(cols, ["side_idx"], [out])
     return lookup_join(rows.withColumn("side_idx", F.col("side_idx").cast("bigint")), cols, ["side_idx"])
 
 

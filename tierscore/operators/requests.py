@@ -67,10 +67,15 @@ def outcome_counts(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def metric_rows(log: DataFrame, keys: Sequence[str], metrics: Sequence[str] = LATENCIES) -> DataFrame:
-    """Long form ``keys, metric, us`` with recorded latencies."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), recorded_latency(F.col(m)).alias("us")) for m in metrics])
-    rows = log.select(*keys, F.explode(pairs).alias("m"))
-    return rows.select(*keys, "m.metric", "m.us").where("us IS NOT NULL")
+    """Long form ``keys, metric, us, over_range``: recorded latencies, NULL and marked beyond the range."""
+
+    def pair(m: str) -> Column:
+        us = F.col(m)
+        over = F.coalesce(us > LATENCY_CEILING_US, F.lit(False))
+        return F.struct(F.lit(m).alias("metric"), recorded_latency(us).alias("us"), over.alias("over_range"))
+
+    rows = log.select(*keys, F.explode(F.array(*[pair(m) for m in metrics])).alias("m"))
+    return rows.select(*keys, "m.metric", "m.us", "m.over_range").where("us IS NOT NULL OR over_range")
 
 
 def stage_rows(log: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,9 +88,12 @@ def stage_rows(log: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def latency_quantiles(rows: DataFrame, keys: Sequence[str] = (), qs: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Quantiles per metric from long-form rows: first value whose cumulative count reaches q n."""
+    """Quantiles per metric from long-form rows: first value whose cumulative count reaches q n.
+
+    ``over_range`` counts the latencies beyond the recorded range, which the quantiles leave out.
+    """
     ranks = {f"p{round(q * 100)}": reached_rank(q) for q in qs}
-    return bounded_order_statistics(rows, [*keys, "metric"], "us", ranks)
+    return bounded_order_statistics(rows, [*keys, "metric"], "us", ranks, {"over_range": "over_range"})
 
 
 def counter_totals(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -192,7 +200,10 @@ def batch_completion(replies: DataFrame, seals: DataFrame) -> DataFrame:
 
 
 def window_metrics(log: DataFrame, batches: DataFrame, window: str, ts: str = "t_sched") -> DataFrame:
-    """Per tumbling window: attempts, outcomes, drops and p99 latencies (windows with events)."""
+    """Per tumbling window: attempts, outcomes, drops and p99 latencies (windows with events).
+
+    ``over_range`` counts the measurements beyond the recorded latencies.
+    """
     start = lambda col: F.window(F.col(col), window)["start"]
     rows = log.withColumn("w", start(ts))
     sent = rows.where(~F.col("dropped"))
@@ -204,17 +215,18 @@ def window_metrics(log: DataFrame, batches: DataFrame, window: str, ts: str = "t
         *outcome_columns(~F.col("dropped")),
     )
     measures = metric_rows(sent, ["w"]).unionByName(stage_rows(sent, ["w"]))
-    done = batches.select(start("closed_at").alias("w"), F.lit("batch").alias("metric"), recorded_latency(F.col("latency_us")).alias("us"))
-    p99 = latency_quantiles(measures.unionByName(done.where("us IS NOT NULL")), ["w"], (0.99,))
+    done = metric_rows(batches.withColumn("w", start("closed_at")).withColumnRenamed("latency_us", "batch"), ["w"], ["batch"])
+    p99 = latency_quantiles(measures.unionByName(done), ["w"], (0.99,))
     names = {
         "queue_delay_us": "queue_p99_us", "send_delay_us": "send_p99_us", "server_rtt_us": "server_rtt_p99_us",
         "e2e_us": "e2e_p99_us", "batch": "batch_e2e_p99_us", "router": "stage_router_p99_us", "l1": "stage_l1_p99_us",
         "l2": "stage_l2_p99_us",
     }
     wide = p99.groupBy("w").agg(
-        *[F.coalesce(F.max(F.when(F.col("metric") == m, F.col("p99"))), F.lit(0)).alias(out) for m, out in names.items()]
+        *[F.coalesce(F.max(F.when(F.col("metric") == m, F.col("p99"))), F.lit(0)).alias(out) for m, out in names.items()],
+        F.sum("over_range").alias("over_range"),
     )
-    full = counts.join(wide, "w", "left").na.fill(0, list(names.values()))
+    full = counts.join(wide, "w", "left").na.fill(0, [*names.values(), "over_range"])
     return full.withColumn("t_ms", F.floor(F.unix_millis("w")).cast("bigint")).drop("w")
 
 

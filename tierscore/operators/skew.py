@@ -57,6 +57,18 @@ def lookup_join(
     return salted_join(left, side, on, how)
 
 
+def last_per_key(side: DataFrame, on: Sequence[str], values: Sequence[str], order: str = "ord") -> DataFrame:
+    """One row per key of a side table: the last one wins.
+
+    Rows have no order of their own: the last is the one with the largest ``order`` where the table
+    has that column, and of equal ones (or without it) the one with the largest values. Rows of a key
+    are combined before they move, so a key with many rows meets no single task.
+    """
+    rank = [F.col(order)] if order in side.columns else []
+    best = F.max(F.struct(*[r.alias("_order") for r in rank], *values)).alias("_last")
+    return side.groupBy(*on).agg(best).select(*on, *[F.col(f"_last.{v}").alias(v) for v in values])
+
+
 def salted_join(
     left: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:
@@ -163,17 +175,21 @@ def order_statistics(
 
 
 def bounded_order_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    ranks: dict[str, Callable[[Column], Column]],
+    counts: dict[str, str] | None = None,
 ) -> DataFrame:
     """Like :func:`order_statistics` for a column with a fixed, small set of possible values.
 
-    After counting equal values a group has at most that many rows, so one window suffices.
+    After counting equal values a group has at most that many rows, so one window suffices. Rows with
+    a NULL value have no rank; ``counts`` maps outputs to boolean columns counted over all rows.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count("*").alias("_n")
-    )
+    extra = {out: F.count_if(F.col(c)).alias(f"_c_{out}") for out, c in (counts or {}).items()}
+    counted = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(value).alias("_n"), *extra.values())
     whole = Window.partitionBy(*keys)
-    before = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.select(
         "*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lo"), F.sum("_n").over(whole).alias("_total")
     )
@@ -183,7 +199,9 @@ def bounded_order_statistics(
         here = (rank >= F.col("_lo")) & (rank < F.col("_lo") + F.col("_n"))
         return F.max(F.when(here, F.col("_v"))).alias(name)
 
-    return placed.groupBy(*keys).agg(*[pick(name, fn) for name, fn in ranks.items()])
+    totals = [F.sum(f"_c_{out}").alias(out) for out in extra]
+    found = placed.groupBy(*keys).agg(*[pick(name, fn) for name, fn in ranks.items()], *totals)
+    return found if extra else found.where(F.coalesce(*[F.col(n) for n in ranks]).isNotNull())
 
 
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

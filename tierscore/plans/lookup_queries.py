@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierscore.functions import bins as B
@@ -22,6 +25,12 @@ CUTS = tuple(
 CUT_SQL = "[" + ", ".join(q.list_of(c) for c in CUTS) + "]"
 
 
+def after_stale(side: DataFrame, **wrong: Column) -> DataFrame:
+    """A side table whose keys all had other values in earlier rows: the last row of a key must win."""
+    now = side if "ord" in side.columns else side.withColumn("ord", F.lit(0))
+    return now.unionByName(now.withColumns({"ord": F.col("ord") - 1_000, **{c: v.cast(dict(side.dtypes)[c]) for c, v in wrong.items()}}))
+
+
 @query(
     "feature_ranks", "txn_id:l, feature:l, rank:l, missing:l",
     q.with_(q.TXN)
@@ -108,28 +117,30 @@ def score_bands(spark, d):
 
 
 @query(
-    "validation_report", "feature_rows:l, meta_rows:l, without_meta:l, without_features:l, wrong_width:l, first_offender:l",
-    """SELECT count(f) AS feature_rows, count(m) AS meta_rows, sum(CASE WHEN m IS NULL THEN 1 ELSE 0 END) AS without_meta,
-  sum(CASE WHEN f IS NULL THEN 1 ELSE 0 END) AS without_features, 0 AS wrong_width, min(CASE WHEN f IS NULL OR m IS NULL THEN id END) AS first_offender
-FROM (SELECT coalesce(f, m) AS id, f, m FROM (SELECT o_orderkey AS f FROM orders) FULL JOIN (SELECT DISTINCT l_orderkey AS m FROM lineitem) ON f = m)""",
+    "validation_report", "feature_rows:l, meta_rows:l, without_meta:l, without_features:l, wrong_width:l, repeated_features:l, repeated_meta:l, first_offender:l",
+    """SELECT count(f) AS feature_rows, sum(coalesce(n, 0)) AS meta_rows, sum(CASE WHEN n IS NULL THEN 1 ELSE 0 END) AS without_meta,
+  sum(CASE WHEN f IS NULL THEN n ELSE 0 END) AS without_features, 0 AS wrong_width, 0 AS repeated_features,
+  sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS repeated_meta, min(CASE WHEN f IS NULL OR n IS NULL OR n > 1 THEN id END) AS first_offender
+FROM (SELECT coalesce(f, m) AS id, f, n FROM (SELECT o_orderkey AS f FROM orders) FULL JOIN (SELECT l_orderkey AS m, count(*) AS n FROM lineitem GROUP BY 1) ON f = m)""",
 )
 def validation_report(spark, d):
-    """Orders with features against order ids that have line items."""
-    meta = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("txn_id")).distinct()
+    """Orders with features against the order ids of all line items, most of them repeated."""
+    meta = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("txn_id"))
     return C.validation_report(fx.transactions(spark, d), meta, 8)
 
 
-@query("row_meta_join", "txn_id:l, fold_id:l, active:l, f0:d", q.with_(q.TXN) + "SELECT txn_id, fold_id, active, features[1] AS f0 FROM txn")
+@query("row_meta_join", "txn_id:l, fold_id:l, active:l, " + ", ".join(f"f{i}:d" for i in range(8)), q.with_(q.TXN) + "SELECT txn_id, fold_id, active, " + ", ".join(f"features[{i + 1}] AS f{i}" for i in range(8)) + " FROM txn")
 def row_meta_join(spark, d):
     feats = fx.transactions(spark, d).select("txn_id", "features")
     joined = L.join_row_meta(feats, fx.route_meta(spark, d))
-    return joined.select("txn_id", "fold_id", "active", F.get("features", F.lit(0)).alias("f0"))
+    return joined.select("txn_id", "fold_id", "active", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(8)])
 
 
 @query("resolve_tau", "txn_id:l, fold_used:l, tau:d", q.with_("t2 AS (SELECT o_orderkey AS txn_id, o_orderkey % 3 + 1 AS fold_id, o_orderkey % 5 AS seg_prod_amtbin, CASE WHEN o_orderkey % 7 = 0 THEN 0.25 END AS l2_tau_used FROM orders)", TAU_SQL) + "SELECT * FROM tau2")
 def resolve_tau(spark, d):
     meta = fx.route_meta(spark, d).withColumn("seg_key", F.col("seg_prod_amtbin").cast("string"))
-    return L.resolve_tau(meta, fx.segment_tau(spark), fx.global_tau(spark))
+    seg, fold = (after_stale(t, tau=F.lit(9.5)) for t in (fx.segment_tau(spark), fx.global_tau(spark)))
+    return L.resolve_tau(meta, seg, fold)
 
 
 def long_prefix(spark, d):
@@ -146,7 +157,8 @@ def long_prefix(spark, d):
 )
 def band_lookup(spark, d):
     rows = long_prefix(spark, d).withColumn("gap", F.col("tau") - F.col("score"))
-    return L.lookup_bands(rows, fx.calibration(spark))
+    cal = fx.calibration(spark)
+    return L.lookup_bands(rows, replace(cal, bands=after_stale(cal.bands, ref_hi=F.lit(7.0), rej_lo=F.lit(-7.0))))
 
 
 CLUSTER = q.cluster_expr("(tau - score)", "dp", "0")
@@ -193,8 +205,8 @@ def rescue_route(spark, d):
         key.alias("txn_id"), (key % 3 + 1).cast("int").alias("fold_id"), ((key % 9 - 2) / F.lit(16.0)).cast("float").alias("tau"),
         ((key % 37 - 18) / F.lit(32.0)).cast("float").alias("prefix"), F.lit(8).alias("anchor"),
     )
-    actions = inline_table(spark, fx.RESCUE_ROW_SCHEMA, fx.RESCUE_ROWS)
-    defaults = inline_table(spark, fx.RESCUE_DEFAULT_SCHEMA, fx.RESCUE_DEFAULTS)
+    actions = after_stale(inline_table(spark, fx.RESCUE_ROW_SCHEMA, fx.RESCUE_ROWS), action=F.lit("stale"))
+    defaults = after_stale(inline_table(spark, fx.RESCUE_DEFAULT_SCHEMA, fx.RESCUE_DEFAULTS), action=F.lit("stale"))
     out = L.lookup_rescue(rows, actions, defaults, fx.TAU_EDGES, fx.RESCUE_GAP_EDGES)
     return out.withColumn("code", L.rescue_code(F.col("action")))
 
@@ -235,16 +247,22 @@ def packet_choice(spark, d):
         (c("l_suppkey") % 3).cast("int").alias("tau_bin"), (c("l_partkey") % 4).cast("int").alias("gap_bin"),
         (c("l_orderkey") % 2).cast("int").alias("delta_bin"), (c("l_partkey") % 5).cast("int").alias("u"),
     ).distinct()
-    ranked = L.rank_packets(rows, fx.packet_policy(spark))
+    policy = fx.packet_policy(spark)
+    ranked = L.rank_packets(rows, replace(policy, rows=after_stale(policy.rows, ranking=F.array(F.lit(9)), row_count=F.lit(99))))
     packets = F.array(*[F.lit(i) for i in range(4)])
     return ranked.select("id", L.choose_packet(F.col("ranking"), F.array("u"), packets).alias("packet"))
 
 
-@query("sidecar_join", "txn_id:l, side_idx:l, f0:d", q.with_(q.TXN) + "SELECT t.txn_id, t.txn_id % 97 AS side_idx, s.features[1] AS f0 FROM txn t LEFT JOIN txn s ON s.txn_id = t.txn_id % 97")
+SIDE_IDX = "(t.txn_id * 7 + 3) % (SELECT count(*) FROM txn)"
+
+
+@query("sidecar_join", "txn_id:l, side_idx:l, f0:d", q.with_(q.TXN) + f"SELECT t.txn_id, {SIDE_IDX} AS side_idx, s.features[1] AS f0 FROM txn t LEFT JOIN txn s ON s.txn_id = {SIDE_IDX}")
 def sidecar_join(spark, d):
-    rows = fx.transactions(spark, d).select("txn_id", F.col("txn_id").alias("row_idx"))
-    side = fx.transactions(spark, d).where("txn_id < 97").select(F.col("txn_id").alias("side_idx"), "features")
-    return L.sidecar_features(rows, side, 97).select("txn_id", "side_idx", F.get("side_features", F.lit(0)).alias("f0"))
+    """Every order paired with the features of another one: the whole table is the side."""
+    rows = fx.transactions(spark, d).select("txn_id", (F.col("txn_id") * 7 + 3).alias("row_idx"))
+    side = fx.transactions(spark, d).select(F.col("txn_id").alias("side_idx"), "features")
+    out = L.sidecar_features(rows, side, fx.table(spark, d, "orders").count())
+    return out.select("txn_id", "side_idx", F.get("side_features", F.lit(0)).alias("f0"))
 
 
 @query("missing_meta", "row_idx:l", "SELECT o_orderkey AS row_idx FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AND o_orderkey < (SELECT count(*) FROM orders)")

@@ -425,21 +425,23 @@ def cascade_approx(spark, d):
     return rows.groupBy("decision").agg(F.count("*").alias("rows"), F.sum(F.col("l1_score").cast("double")).alias("l1_sum"))
 
 
-N_SIDE = 97
+SIDE_OF = "(txn.txn_id * 7 + 3) % (SELECT count(*) FROM txn)"
 
 
 @query(
     "cascade_sidecar", "txn_id:l, used_l2:l, l2_score:d, decision:s",
-    q.with_(q.TXN, L1_SCORES, f"side AS (SELECT txn_id % {N_SIDE} AS side_idx, features FROM txn WHERE txn_id < {N_SIDE})",
-            "sv AS (SELECT txn.txn_id, txn.l2_tau_used AS own, side.features, txn.tau FROM txn JOIN s1 USING (txn_id) JOIN side ON side.side_idx = txn.txn_id % 97 WHERE s1.score < 0.125)",
+    q.with_(q.TXN, L1_SCORES, "side AS (SELECT txn_id AS side_idx, features FROM txn)",
+            f"sv AS (SELECT txn.txn_id, txn.l2_tau_used AS own, side.features, txn.tau FROM txn JOIN s1 USING (txn_id) JOIN side ON side.side_idx = {SIDE_OF} WHERE s1.score < 0.125)",
             q.nodes("seg_b"), q.leaves("seg_b", "sv", "c2"), q.route("seg_b", "c2", "sv", "tau", "r"))
     + """SELECT txn.txn_id, CASE WHEN r.txn_id IS NULL THEN 0 ELSE 1 END AS used_l2, r.score AS l2_score,
   CASE WHEN r.txn_id IS NULL THEN 'allow' WHEN r.pass = 1 THEN 'deny' ELSE 'manual_review' END AS decision FROM txn LEFT JOIN r USING (txn_id)""",
 )
 def cascade_sidecar(spark, d):
-    rows = txn(spark, d).withColumn("row_idx", F.col("txn_id")).withColumn("l2_tau_used", F.col("tau"))
-    side = fx.transactions(spark, d).where(F.col("txn_id") < N_SIDE).select((F.col("txn_id") % N_SIDE).alias("side_idx"), "features")
-    return C.cascade_sidecar(rows.drop("tau"), fx.model(spark, "l1"), fx.L1_THRESHOLD, fx.model(spark, "seg_b"), side, N_SIDE)
+    """Tier-two vectors from another order: the whole table is the side."""
+    rows = txn(spark, d).withColumn("row_idx", F.col("txn_id") * 7 + 3).withColumn("l2_tau_used", F.col("tau"))
+    side = fx.transactions(spark, d).select(F.col("txn_id").alias("side_idx"), "features")
+    n_side = fx.table(spark, d, "orders").count()
+    return C.cascade_sidecar(rows.drop("tau"), fx.model(spark, "l1"), fx.L1_THRESHOLD, fx.model(spark, "seg_b"), side, n_side)
 
 
 def _dispatch_sql() -> str:

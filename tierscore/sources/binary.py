@@ -10,6 +10,8 @@ ranges and yields Arrow batches. Files of a folder are ordered by name and numbe
 from __future__ import annotations
 
 import struct
+import time
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
@@ -180,10 +182,16 @@ class FileWritten(WriterCommitMessage):
 
 
 class BinaryWriter(DataSourceArrowWriter):
-    """Writes one file per task, under a temporary name until the job commits."""
+    """Writes one file per task, under a temporary name until the job commits.
 
-    def __init__(self, options: dict, schema: StructType):
+    File names begin with the time of their job and a number of its own, so jobs that append never
+    meet and their files keep the order of the jobs. Overwriting removes the earlier files after the
+    new ones are in place.
+    """
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.path, self.kind, self.schema = options["path"], options.get("kind", "dense"), schema
+        self.overwrite, self.job = overwrite, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -191,8 +199,8 @@ class BinaryWriter(DataSourceArrowWriter):
         ctx = TaskContext.get()
         fs, inner = open_fs(self.path)
         fs.create_dir(inner, recursive=True)
-        final = f"{inner}/part-{ctx.partitionId():06d}.bin"
-        part = f"{inner}/_part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
+        final = f"{inner}/part-{self.job}-{ctx.partitionId():06d}.bin"
+        part = f"{inner}/_part-{self.job}-{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
         rows = 0
         if self.kind == "dense":
             with fs.open_output_stream(part) as out:
@@ -208,12 +216,18 @@ class BinaryWriter(DataSourceArrowWriter):
         return FileWritten(part, final, rows)
 
     def commit(self, messages: list[FileWritten | None]) -> None:
-        fs, _ = open_fs(self.path)
+        fs, inner = open_fs(self.path)
+        old = []
+        if self.overwrite:
+            entries = fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
+            old = [e.path for e in entries if e.type == pafs.FileType.File and e.base_name.startswith("part-")]
         for m in messages:
             if m is not None and m.rows:
                 fs.move(m.part, m.final)
             elif m is not None:
                 fs.delete_file(m.part)
+        for path in old:
+            fs.delete_file(path)
 
     def abort(self, messages: list[FileWritten | None]) -> None:
         fs, _ = open_fs(self.path)
@@ -262,7 +276,7 @@ class TierBinary(DataSource):
         return BinaryReader(dict(self.options), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return BinaryWriter(dict(self.options), schema)
+        return BinaryWriter(dict(self.options), schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -291,9 +305,14 @@ def read_row_meta(spark: SparkSession, path: str, kind: str = "route_meta") -> D
     return spark.read.format(FORMAT).option("kind", kind).load(path)
 
 
-def write_binary(df: DataFrame, path: str, kind: str) -> None:
-    """Write ``df`` in its partition order; range-partition and sort it first to fix row order."""
+def write_binary(df: DataFrame, path: str, kind: str, mode: str = "append") -> None:
+    """Write ``df`` in its partition order; range-partition and sort it first to fix row order.
+
+    ``mode``: ``append`` keeps what the folder holds, ``overwrite`` replaces it.
+    """
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"unknown mode: {mode}")
     register(df.sparkSession)
-    df.write.format(FORMAT).option("kind", kind).mode("append").save(path)
+    df.write.format(FORMAT).option("kind", kind).mode(mode).save(path)
 
 

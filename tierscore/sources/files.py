@@ -121,9 +121,9 @@ def read_model_base_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def read_feature_names(spark: SparkSession, path: str) -> list[str]:
     """Feature names of one model: a JSON array of strings (a few hundred at most)."""
-    text = spark.read.text(path, wholetext=True).limit(1)
-    row = text.select(F.from_json("value", "array<string>").alias("names")).first()
-    if row is None or not row["names"]:
+    text = spark.read.text(path, wholetext=True)
+    row = only_document(text.select(F.from_json("value", "array<string>").alias("names")), path)
+    if not row["names"]:
         raise ValueError(f"empty feature names: {path}")
     return list(row["names"])
 
@@ -294,12 +294,20 @@ MLP_SCHEMA = (
 )
 
 
+def only_document(docs: DataFrame, path: str):
+    """The one document of a path; none or several fail."""
+    found = docs.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} document: {path}")
+    return found[0]
+
+
 def read_mlp(spark: SparkSession, path: str, multi_line: bool = True):
     """The network of one file; its shapes are checked by the returned object."""
     from tierscore.operators.certify import Mlp
 
-    row = spark.read.schema(MLP_SCHEMA).option("multiLine", multi_line).json(path).first()
-    if row is None or row["format"] != "L2PrefixCalMlpV1":
+    row = only_document(spark.read.schema(MLP_SCHEMA).option("multiLine", multi_line).json(path), path)
+    if row["format"] != "L2PrefixCalMlpV1":
         raise ValueError(f"unsupported certifier file: {path}")
     return Mlp(
         tuple(row["checkpoint_values"]), tuple(row["fold_values"]), tuple(row["tau_edges"]), row["checkpoint_limit"],
@@ -419,9 +427,7 @@ def read_approx_policy(spark: SparkSession, path: str, multi_line: bool = True):
     """Early-exit policy; the compacted ``used_*`` lists win, and reject limits over pass limits."""
     from tierscore.operators.trees import ApproxPolicy
 
-    row = spark.read.schema(APPROX_SCHEMA).option("multiLine", multi_line).json(path).first()
-    if row is None:
-        raise ValueError(f"empty policy: {path}")
+    row = only_document(spark.read.schema(APPROX_SCHEMA).option("multiLine", multi_line).json(path), path)
     used = "used_" if any(row[c] for c in ("used_checkpoints", "used_tau_ref", "used_tau_pass", "used_tau_reject")) else ""
     pos = row[f"{used}tau_reject"] or row[f"{used}tau_pass"] or []
     return ApproxPolicy(tuple(row[f"{used}checkpoints"] or ()), tuple(row[f"{used}tau_ref"] or ()), tuple(pos), row["k_hot"] or 0)
