@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tierscore.functions.scalars import at_least, decision_label, segment_key
 from tierscore.operators import lookups as L
 from tierscore.operators.certify import Bundle, prefix_cascade
-from tierscore.operators.trees import ApproxPolicy, TreeModel, score_exact, score_route
+from tierscore.operators.trees import ApproxPolicy, TreeModel, rows_where, score_exact, score_route
 
 # Feature names that stand for the tier-one score.
 L1_SCORE_NAMES = ("l1_1_oof_score", "l1_oof_score", "l1_score", "l1_margin")
@@ -41,7 +41,7 @@ def tier_one(df: DataFrame, model: TreeModel, threshold: float, policy: ApproxPo
 
 def l1_survivors(df: DataFrame) -> DataFrame:
     """Rows that tier one did not pass."""
-    return df.where(~F.col("l1.pass"))
+    return rows_where(df, "l1", lambda l1: ~l1["pass"])
 
 
 def cascade(

@@ -243,14 +243,14 @@ def prefix_certify(
     start = _f(model.base) if initial is None else initial.cast("float")
     rows = rows.withColumn(f"_{out}_first", start)
     if bundle.mlp is not None:
-        splits = prefix_splits(F.when(F.col(f"_{out}_open"), F.col("features")), model, cal.checkpoints)
+        splits = prefix_splits(F.when(F.col(f"_{out}_open"), F.col("features")), model, cal.checkpoints, pinned=True)
         rows = rows.withColumn(f"_{out}_splits", splits)
     slot_64 = cal.checkpoints.index(DELTA_CHECKPOINT) if DELTA_CHECKPOINT in cal.checkpoints else -1
     at_64, done, last, stages, certs = None, 0, F.col(f"_{out}_first"), [], []
     for begin, end in stage_slices(cal.checkpoints, stage_trees):
         stage, found = f"_{out}_s{begin}", f"_{out}_c{begin}"
         wanted = F.when(F.col(f"_{out}_open"), F.col("features"))
-        rows = rows.withColumn(stage, prefix_scores(wanted, model, cal.checkpoints[begin:end], last, start=done))
+        rows = rows.withColumn(stage, prefix_scores(wanted, model, cal.checkpoints[begin:end], last, start=done, pinned=True))
         # The wide band arrays join after the UDF, so they never pass through Python.
         rows = L.attach_bands(rows, cal, limits)
         if bundle.atlas is not None:
@@ -299,7 +299,7 @@ def prefix_cascade(
         rows = rows.withColumn("_exact", F.lit(None).cast("struct<score: float, pass: boolean, visited: int>"))
     else:
         left = F.when(F.col("_open"), F.col("features"))
-        rows = rows.withColumn("_exact", score_route(left, F.col("tau"), bundle.model, start=end, initial=F.col("p_last")))
+        rows = rows.withColumn("_exact", score_route(left, F.col("tau"), bundle.model, start=end, initial=F.col("p_last"), pinned=True))
     return _prefix_result(rows, df.columns, end)
 
 
@@ -380,7 +380,7 @@ def anchor_rescue(
     rows = rows.withColumn("_r_ok", F.when(~wrong, F.col("_r")))
     rows = rows.withColumn("_cert", F.coalesce("a_cert", "_r_ok"))
     rows = rows.withColumn("_open", F.col("_run") & F.col("_cert").isNull())
-    rows = rows.withColumn("_leaves", tree_leaves(F.when(F.col("_open"), F.col("features")), anchor.model))
+    rows = rows.withColumn("_leaves", tree_leaves(F.when(F.col("_open"), F.col("features")), anchor.model, pinned=True))
     everything = F.sequence(F.lit(0), F.lit(anchor.model.n_trees - 1))
     executed = F.concat(F.sequence(F.lit(0), F.lit(end - 1)), F.coalesce("_used", F.array().cast("array<int>")))
     remaining = F.array_except(everything, executed)
@@ -427,7 +427,7 @@ def packet_cascade(
         raise ValueError(f"{len(cal.checkpoints)} band tables for {policy.max_steps} packet steps")
     run = F.lit(True) if active is None else active
     rows = L.attach_bands(df.withColumn("_run", run), cal, "_limits")
-    rows = rows.withColumn("_leaves", tree_leaves(F.when(F.col("_run"), F.col("features")), bundle.model))
+    rows = rows.withColumn("_leaves", tree_leaves(F.when(F.col("_run"), F.col("features")), bundle.model, pinned=True))
     ids = F.array(*[F.lit(int(p)) for p, _ in packets])
     members = F.create_map(
         *[c for p, trees in packets for c in (F.lit(int(p)), F.array(*[F.lit(int(t)) for t in trees]))]
@@ -509,7 +509,7 @@ def dispatch_experts(
             raise ValueError(f"unsupported threshold mode: {mode}")
         limit = F.col("tau") if mode == "tau" else F.lit(0.0)
         mine = F.when(F.col("_run") & (F.col("slot_id") == slot), F.col("features"))
-        rows = rows.withColumn(f"_e{slot}", score_route(mine, limit, model))
+        rows = rows.withColumn(f"_e{slot}", score_route(mine, limit, model, pinned=True))
         parts.append(F.col(f"_e{slot}"))
     best = F.coalesce(*parts)
     return rows.select(
@@ -523,12 +523,12 @@ def dispatch_experts(
 def certify_long(df: DataFrame, bundle: Bundle) -> DataFrame:
     """Certifier outcome at every checkpoint in long form, for analysis: one row per checkpoint."""
     cps = bundle.calibration.checkpoints
-    rows = df.withColumn("_s", prefix_scores(F.col("features"), bundle.model, cps))
+    rows = df.withColumn("_s", prefix_scores(F.col("features"), bundle.model, cps, pinned=True))
     rows = L.attach_bands(rows, bundle.calibration, "_limits")
     if bundle.atlas is not None:
         rows = L.attach_atlas(rows, bundle.atlas, "_cells")
     if bundle.mlp is not None:
-        rows = rows.withColumn("_splits", prefix_splits(F.col("features"), bundle.model, cps))
+        rows = rows.withColumn("_splits", prefix_splits(F.col("features"), bundle.model, cps, pinned=True))
     scan = certify_scan(
         bundle, 0, len(cps), F.col("tau"), F.col("fold_id"), F.col("_s"), _f(bundle.model.base), None, F.col("_limits"),
         F.col("_cells") if bundle.atlas is not None else None,

@@ -132,16 +132,17 @@ def order_statistics(
     value: str,
     ranks: dict[str, Callable[[Column], Column]],
     width: int = CHUNK,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact values at given 0-based ranks per group, for an integer-valued column.
 
     Equal values are counted first (combined before the shuffle). Bins of ``width`` values are
     summed, the bin holding a rank is found from those sums, and only the distinct values of
-    that bin are ordered, so no task sees more than ``width`` values of one group.
+    that bin are ordered, so no task sees more than ``width`` values of one group. ``weight`` is the
+    number of rows that a row stands for.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count("*").alias("_n")
-    )
+    times = F.sum(weight) if weight else F.count("*")
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(times.alias("_n"))
     counted = counted.withColumn("_bin", F.floor(F.col("_v") / F.lit(width)).cast("bigint"))
     bins = counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
     whole = Window.partitionBy(*keys)

@@ -38,10 +38,32 @@ def visit_histogram(df: DataFrame, n_trees: int, keys: Sequence[str] = (), visit
 
 
 def visit_percentiles(
-    df: DataFrame, qs: Sequence[float] = (0.5, 0.9, 0.99), keys: Sequence[str] = (), visited: str = "visited"
+    df: DataFrame,
+    qs: Sequence[float] = (0.5, 0.9, 0.99),
+    keys: Sequence[str] = (),
+    visited: str = "visited",
+    weight: str | None = None,
 ) -> DataFrame:
     ranks = {f"p{round(q * 100)}": nearest_rank(q) for q in qs}
-    return order_statistics(df, keys, visited, ranks)
+    return order_statistics(df, keys, visited, ranks, weight=weight)
+
+
+ROWS = "_rows"
+
+
+def counted(df: DataFrame, by: Sequence[str | Column]) -> DataFrame:
+    """Rows per combination of small columns, in ``ROWS``.
+
+    Everything a summary needs comes from this one aggregate: the plan reuses its exchange, so the
+    rows are scored once however many statistics follow.
+    """
+    return df.groupBy(*by).agg(F.count("*").alias(ROWS))
+
+
+def _rows(when: Column | None = None, value: Column | None = None) -> Column:
+    """Number of rows that meet a condition, or the sum of a value over them."""
+    amount = F.col(ROWS) if value is None else F.col(ROWS) * value
+    return F.coalesce(F.sum(amount if when is None else F.when(when, amount)), F.lit(0))
 
 
 def _rate(count: Column, n: Column) -> Column:
@@ -62,21 +84,22 @@ def infer_stats(df: DataFrame, n_trees: int, keys: Sequence[str] = ()) -> DataFr
     Rates are over all rows. Inactive rows count as zero visited trees in the average, as in
     the per-row output, and are left out of the percentiles.
     """
-    on = F.col("active")
-    n = F.count("*")
-    early = on & (F.col("exit_idx") >= 0)
-    stats = df.groupBy(*keys).agg(
+    early = F.coalesce(F.col("exit_idx") >= 0, F.lit(False)).alias("early")
+    small = counted(df, [*keys, "active", "pass", "visited", early])
+    on, n = F.col("active"), _rows()
+    quick = on & F.col("early")
+    stats = small.groupBy(*keys).agg(
         n.alias("n_rows"),
-        _rate(F.count_if(on & F.col("pass")), n).alias("pass_rate"),
-        _rate(F.count_if(on), n).alias("active_rate"),
-        _rate(F.sum(F.when(on, F.col("visited")).otherwise(0)), n).alias("avg_visited"),
-        _rate(F.count_if(on & (F.col("visited") == n_trees)), n).alias("full_eval_rate"),
-        _rate(F.count_if(early), n).alias("approx_coverage"),
-        _rate(F.count_if(early & F.col("pass")), n).alias("approx_pass_rate"),
-        _rate(F.count_if(early & ~F.col("pass")), n).alias("approx_refer_rate"),
-        _rate(n - F.count_if(early), n).alias("approx_fallback_rate"),
+        _rate(_rows(on & F.col("pass")), n).alias("pass_rate"),
+        _rate(_rows(on), n).alias("active_rate"),
+        _rate(_rows(on, F.col("visited")), n).alias("avg_visited"),
+        _rate(_rows(on & (F.col("visited") == n_trees)), n).alias("full_eval_rate"),
+        _rate(_rows(quick), n).alias("approx_coverage"),
+        _rate(_rows(quick & F.col("pass")), n).alias("approx_pass_rate"),
+        _rate(_rows(quick & ~F.col("pass")), n).alias("approx_refer_rate"),
+        _rate(n - _rows(quick), n).alias("approx_fallback_rate"),
     )
-    return _attach(stats, visit_percentiles(df.where(on), keys=keys), keys)
+    return _attach(stats, visit_percentiles(small.where(on), keys=keys, weight=ROWS), keys)
 
 
 def exit_counts(df: DataFrame, checkpoint: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -86,16 +109,16 @@ def exit_counts(df: DataFrame, checkpoint: Column, keys: Sequence[str] = ()) ->
 
 def dispatch_stats(df: DataFrame) -> DataFrame:
     """Per expert slot and in total (``slot_id`` NULL), over active rows."""
-    on = df.where("active")
+    on = counted(df.where("active"), ["slot_id", "reject", "visited_trees"])
     base = on.rollup("slot_id").agg(
-        F.count("*").alias("rows"),
-        _rate(F.sum("visited_trees"), F.count("*")).alias("avg_visited"),
-        _rate(F.count_if("reject"), F.count("*")).alias("reject_rate"),
+        _rows().alias("rows"),
+        _rate(_rows(value=F.col("visited_trees")), _rows()).alias("avg_visited"),
+        _rate(_rows(F.col("reject")), _rows()).alias("reject_rate"),
     )
-    by_slot = visit_percentiles(on, keys=["slot_id"], visited="visited_trees")
-    total = visit_percentiles(on, visited="visited_trees").withColumn("slot_id", F.lit(None).cast("int"))
+    by_slot = visit_percentiles(on, keys=["slot_id"], visited="visited_trees", weight=ROWS)
+    total = visit_percentiles(on, visited="visited_trees", weight=ROWS).withColumn("slot_id", F.lit(None).cast("int"))
     pct = by_slot.unionByName(total).withColumnRenamed("slot_id", "_slot")
-    return base.join(F.broadcast(pct), F.col("slot_id").eqNullSafe(F.col("_slot")), "left").drop("_slot")
+    return base.join(pct, F.col("slot_id").eqNullSafe(F.col("_slot")), "left").drop("_slot")
 
 
 def interval_result(df: DataFrame, shadow_only: bool = False) -> DataFrame:
@@ -117,41 +140,43 @@ def interval_result(df: DataFrame, shadow_only: bool = False) -> DataFrame:
 
 def interval_stats(df: DataFrame) -> DataFrame:
     """Rates of an interval run over active rows; exact visits over fallback rows."""
-    on = df.where("active")
-    n, back = F.count("*"), F.count_if("fallback_used")
+    on = counted(df.where("active"), ["shadow_reject", "final_reject", "fallback_used", "exact_visits"])
+    fell, shadow = F.col("fallback_used"), F.col("shadow_reject")
+    n, back = _rows(), _rows(fell)
     stats = on.agg(
         n.alias("active_rows"),
-        _rate(F.count_if("shadow_reject"), n).alias("shadow_reject_rate"),
-        _rate(F.count_if("final_reject"), n).alias("final_reject_rate"),
-        _rate(F.count_if("shadow_reject"), n).alias("direct_reject_rate"),
-        _rate(F.count_if(~F.col("fallback_used") & ~F.col("shadow_reject")), n).alias("direct_refer_rate"),
+        _rate(_rows(shadow), n).alias("shadow_reject_rate"),
+        _rate(_rows(F.col("final_reject")), n).alias("final_reject_rate"),
+        _rate(_rows(shadow), n).alias("direct_reject_rate"),
+        _rate(_rows(~fell & ~shadow), n).alias("direct_refer_rate"),
         _rate(back, n).alias("fallback_rate"),
-        _rate(F.sum("exact_visits"), back).alias("exact_avg_visits"),
+        _rate(_rows(value=F.col("exact_visits")), back).alias("exact_avg_visits"),
     )
-    p99 = visit_percentiles(on.where("fallback_used"), (0.99,), visited="exact_visits")
+    p99 = visit_percentiles(on.where(fell), (0.99,), visited="exact_visits", weight=ROWS)
     return _attach(stats, p99.withColumnRenamed("p99", "exact_p99_visits"), ())
 
 
 def prefix_stats(df: DataFrame, n_trees: int) -> DataFrame:
     """Summary of a prefix run over active rows."""
-    on = df.where("active")
-    n, back = F.count("*"), F.count_if("fallback_used")
-    direct = ~F.col("fallback_used")
-    total = df.agg(F.count("*").alias("n_rows"), _rate(F.count_if("active"), F.count("*")).alias("active_rate"))
+    small = counted(df, ["active", "shadow_reject", "final_reject", "fallback_used", "prefix_trees_used", "exact_visits"])
+    on = small.where("active")
+    fell, shadow = F.col("fallback_used"), F.col("shadow_reject")
+    n, back = _rows(), _rows(fell)
+    total = small.agg(_rows().alias("n_rows"), _rate(_rows(F.col("active")), _rows()).alias("active_rate"))
     stats = on.agg(
         n.alias("active_rows"),
-        _rate(F.count_if("shadow_reject"), n).alias("shadow_reject_rate"),
-        _rate(F.count_if("final_reject"), n).alias("final_reject_rate"),
-        _rate(F.count_if(direct & F.col("shadow_reject")), n).alias("direct_reject_rate"),
-        _rate(F.count_if(direct & ~F.col("shadow_reject")), n).alias("direct_refer_rate"),
-        _rate(F.count_if(direct), n).alias("direct_decision_rate"),
+        _rate(_rows(shadow), n).alias("shadow_reject_rate"),
+        _rate(_rows(F.col("final_reject")), n).alias("final_reject_rate"),
+        _rate(_rows(~fell & shadow), n).alias("direct_reject_rate"),
+        _rate(_rows(~fell & ~shadow), n).alias("direct_refer_rate"),
+        _rate(_rows(~fell), n).alias("direct_decision_rate"),
         _rate(back, n).alias("fallback_rate"),
-        _rate(F.sum("prefix_trees_used"), n).alias("avg_prefix_trees"),
-        _rate(F.sum("exact_visits"), back).alias("exact_avg_visits"),
-        F.sum("prefix_trees_used").alias("prefix_trees"),
+        _rate(_rows(value=F.col("prefix_trees_used")), n).alias("avg_prefix_trees"),
+        _rate(_rows(value=F.col("exact_visits")), back).alias("exact_avg_visits"),
+        F.sum(F.col(ROWS) * F.col("prefix_trees_used")).alias("prefix_trees"),
         F.lit(n_trees).alias("n_trees"),
     )
-    p99 = visit_percentiles(on.where("fallback_used"), (0.99,), visited="exact_visits")
+    p99 = visit_percentiles(on.where(fell), (0.99,), visited="exact_visits", weight=ROWS)
     stats = _attach(stats, p99.withColumnRenamed("p99", "exact_p99_visits"), ())
     return _attach(total, stats, ())
 

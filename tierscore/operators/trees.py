@@ -8,7 +8,7 @@ limited to undecided rows without a second scan or a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -205,14 +205,20 @@ def _spread_lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), mask=pa.array(~present))
 
 
-def batch_udf(returns: str):
-    """An Arrow UDF that is evaluated exactly where it is written.
+def batch_udf(returns: str, pinned: bool = False):
+    """An Arrow UDF over batches of vectors.
 
-    Marking it non-deterministic keeps the optimizer from copying the call into a filter or an
-    aggregate above it, which would walk the trees twice. So add the column first and aggregate
-    or filter by it afterwards.
+    It is deterministic, so filters on other columns reach the scan and rows they drop are not scored.
+    A filter on the score itself would be moved below the column and walk the trees twice: keep such
+    rows with :func:`rows_where`. ``pinned``: evaluated exactly where it is written; the stages of a
+    cascade need that, as their conditions must not be copied into array functions.
     """
-    return lambda fn: F.arrow_udf(fn, returns).asNondeterministic()
+    return lambda fn: F.arrow_udf(fn, returns).asNondeterministic() if pinned else F.arrow_udf(fn, returns)
+
+
+def rows_where(df: DataFrame, column: str, keep: Callable[[Column], Column]) -> DataFrame:
+    """Rows whose computed ``column`` meets ``keep``, with the column computed once."""
+    return df.withColumn(column, F.explode(F.filter(F.array(F.col(column)), keep)))
 
 
 def score_exact(features: Column, model: TreeModel) -> Column:
@@ -230,10 +236,10 @@ def score_exact(features: Column, model: TreeModel) -> Column:
     return tree_score(features)
 
 
-def tree_leaves(features: Column, model: TreeModel) -> Column:
+def tree_leaves(features: Column, model: TreeModel, pinned: bool = False) -> Column:
     """The leaf value of every tree in plan order, as an array."""
 
-    @batch_udf("array<float>")
+    @batch_udf("array<float>", pinned)
     def tree_leaf_values(batch: pa.Array) -> pa.Array:
         x, rows = _vectors(batch, model.dim)
         out = np.empty((len(x), model.n_trees), dtype=np.float32)
@@ -251,6 +257,7 @@ def prefix_scores(
     checkpoints: Sequence[int],
     initial: Column | None = None,
     start: int = 0,
+    pinned: bool = False,
 ) -> Column:
     """Running score after each checkpoint number of trees, starting from base or ``initial``.
 
@@ -260,7 +267,7 @@ def prefix_scores(
     if cps[0] <= start and start:
         raise ValueError(f"checkpoint {cps[0]} is not beyond the {start} trees already done")
 
-    @batch_udf("array<float>")
+    @batch_udf("array<float>", pinned)
     def tree_prefix(batch: pa.Array, first: pa.Array) -> pa.Array:
         x, rows = _vectors(batch, model.dim)
         begin = np.asarray(first.to_numpy(zero_copy_only=False), dtype=np.float32)[rows]
@@ -277,7 +284,7 @@ def prefix_scores(
     return tree_prefix(features, begin_score)
 
 
-def prefix_splits(features: Column, model: TreeModel, checkpoints: Sequence[int]) -> Column:
+def prefix_splits(features: Column, model: TreeModel, checkpoints: Sequence[int], pinned: bool = False) -> Column:
     """Splits evaluated up to each checkpoint: the work a row has cost so far."""
     cps = check_checkpoints(checkpoints, model.n_trees)
     # Splits above a node: the walk to a leaf passes one per level.
@@ -290,7 +297,7 @@ def prefix_splits(features: Column, model: TreeModel, checkpoints: Sequence[int]
                 level[first + child[node] : first + child[node] + 2] = level[first + node] + 1
     counted = replace(model, leaf=level.astype(np.float32))
 
-    @batch_udf("array<int>")
+    @batch_udf("array<int>", pinned)
     def tree_splits(batch: pa.Array) -> pa.Array:
         x, rows = _vectors(batch, counted.dim)
         out = np.empty((len(x), len(cps)), dtype=np.int32)
@@ -346,6 +353,7 @@ def score_route(
     policy: ApproxPolicy | None = None,
     start: int = 0,
     initial: Column | None = None,
+    pinned: bool = False,
 ) -> Column:
     """Score until the decision is certain; a struct of score, pass, visited trees, exit index.
 
@@ -360,7 +368,7 @@ def score_route(
     open_ref = [None if v is None else f32(v) for v in policy.tau_ref] if policy else []
     open_pos = [None if v is None else f32(v) for v in policy.tau_pos] if policy else []
 
-    @batch_udf(ROUTE_TYPE)
+    @batch_udf(ROUTE_TYPE, pinned)
     def tree_route(batch: pa.Array, limit: pa.Array, first: pa.Array) -> pa.Array:
         x, rows = _vectors(batch, model.dim)
         n = len(x)
