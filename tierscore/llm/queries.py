@@ -82,6 +82,25 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * inter >= 80 * (x.n + y.n - inter)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS low FROM documents UNION SELECT e.b, r.low FROM reach r JOIN edges e ON e.a = r.id)
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, min(low) AS component_id, id = min(low) AS kept
+FROM reach LEFT JOIN sizes ON sizes.doc_id = id GROUP BY id, n
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_counts(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "closed")
 
@@ -106,4 +125,4 @@ QUERIES = {
         op10_toxicity,
     )
 }
-SQL = {"op7_chat": OP7_SQL}
+SQL = {"op7_chat": OP7_SQL, "op8_near_duplicates": OP8_SQL}
