@@ -94,10 +94,8 @@ def _id_ranges(ids: DataFrame, rows_per_range: int, max_ranges: int) -> list[int
     ranges = int(min(max_ranges, max(1, ids.count() // rows_per_range)))
     if ranges == 1:
         return []
-    at = F.array(*[F.lit(k / ranges) for k in range(1, ranges)]) if ranges <= 64 else F.transform(
-        F.sequence(F.lit(1), F.lit(ranges - 1)), lambda k: k / F.lit(float(ranges))
-    )
-    found = ids.agg(F.percentile_approx("place", at, F.lit(20 * ranges))).first()[0]
+    shares = F.split(F.lit(",".join(repr(k / ranges) for k in range(1, ranges))), ",").cast("array<double>")
+    found = ids.agg(F.percentile_approx("place", shares, F.lit(20 * ranges))).first()[0]
     return sorted(set(found or []))
 
 
