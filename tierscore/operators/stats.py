@@ -54,8 +54,7 @@ ROWS = "_rows"
 def counted(df: DataFrame, by: Sequence[str | Column]) -> DataFrame:
     """Rows per combination of small columns, in ``ROWS``.
 
-    Everything a summary needs comes from this one aggregate: the plan reuses its exchange, so the
-    rows are scored once however many statistics follow.
+    Everything a summary needs comes from this one small aggregate.
     """
     return df.groupBy(*by).agg(F.count("*").alias(ROWS))
 
