@@ -10,8 +10,11 @@ Equal sets are one class, stood for by its smallest id; classes are joined:
    alike classes. The rows of a level never outgrow the level before by more than a quarter.
 3. Comparing means estimating on the tokens with a margin. Small nodes and some blocks of large ones
    first give a spanning forest of their likely pairs; these are confirmed on full sets and joined to
-   components. Then every likely pair between different components, of all nodes, is confirmed as
-   well. Pairs inside a component change nothing.
+   components.
+4. A node that is still large at the deepest level is compared in full on full sets: its classes
+   outside the node's largest component against all of the node, block against block across tasks.
+5. Then every likely pair between different components, of all nodes, is confirmed as well. Pairs
+   inside a component change nothing.
 
 Ids are expected to name one text. Rows with null ids are linked with nothing and kept; null or empty
 texts have empty sets and are linked with nothing; repeated rows get equal results; an empty table
@@ -33,6 +36,9 @@ from tierscore.session import materialise
 
 SKETCH = 64
 SIGNED = "doc_id bigint, digest binary, n_shingles bigint, roots array<int>, sketch binary"
+BLOCK_CLASSES = 4_096  # of a block of a large node, or
+BLOCK_SHINGLES = 1_000_000
+TILE = 512
 SURVIVE = 4  # at a similarity of 0.8 a path splits one time in four: 0.8 * 1.25 = 1
 
 
@@ -110,7 +116,10 @@ def _branch(big: DataFrame) -> DataFrame:
 
 
 def tree_nodes(classes: DataFrame, roots: int, node_limit: int, levels: int) -> DataFrame:
-    """``node, block, rep, sketch, n, probe`` of all nodes that are compared, of all trees and levels."""
+    """``node, block, rep, sketch, n, probe, large`` of all nodes that are compared, of all trees and levels.
+
+    ``large``: the node is too large for one block and branches no further.
+    """
     keys = F.transform("roots", lambda token, at: F.xxhash64(at, token))
     first = _counted(classes.select("rep", F.explode(keys).alias("node")))
     rows = materialise(first.join(classes.select("rep", "sketch", "n"), "rep").select("node", "rep", "sketch", "n", "members"), "nodes")
@@ -120,8 +129,9 @@ def tree_nodes(classes: DataFrame, roots: int, node_limit: int, levels: int) ->
         block = F.pmod(F.xxhash64("rep", "node", F.lit(level)), blocks)
         # Random blocks of a few large nodes are enough to connect what is alike throughout.
         probe = (F.col("members") <= node_limit) | (F.pmod(F.xxhash64("node"), F.lit(4)) == 0) & F.lit(level == 0)
+        large = (F.col("members") > node_limit) & F.lit(level == levels)
         compared = rows.select(
-            F.xxhash64("node", F.lit(level)).alias("node"), block.alias("block"), "rep", "sketch", "n", probe.alias("probe")
+            F.xxhash64("node", F.lit(level)).alias("node"), block.alias("block"), "rep", "sketch", "n", probe.alias("probe"), large.alias("large")
         )
         found = compared if found is None else found.unionByName(compared)
         big = rows.where(F.col("members") > node_limit)
@@ -222,6 +232,125 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _meetings(large: DataFrame) -> DataFrame:
+    """``node, i, j, own, rep, sketch, n, comp``: rows of every two blocks ``i <= j`` of a node that must meet.
+
+    Classes of the node's largest component meet only the others, so a node of one component has no rows.
+    """
+    sizes = large.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    per = sizes.groupBy("node").agg(F.max(F.struct("c", "comp", "s")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+
+    def blocks(c: Column, s: Column) -> Column:
+        return F.ceil(F.greatest(c / BLOCK_CLASSES, s / BLOCK_SHINGLES)).cast("int")
+
+    top, others = blocks(F.col("top.c"), F.col("top.s")), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s"))
+    per = per.where("c > top.c").select("node", F.col("top.comp").alias("main"), top.alias("tops"), others.alias("others"))
+    rows, dealt = large.join(per, "node"), F.xxhash64("rep", "node", F.lit("block"))
+    main = F.col("comp") == F.col("main")
+    own = F.when(main, F.col("others") + F.pmod(dealt, F.col("tops"))).otherwise(F.pmod(dealt, F.col("others"))).cast("int")
+    met = F.sequence(F.lit(0), F.col("others") - 1 + F.when(main, 0).otherwise(F.col("tops")))
+    rows = rows.select("node", own.alias("own"), F.explode(met).alias("met"), "rep", "sketch", "n", "comp")
+    return rows.select("node", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "rep", "sketch", "n", "comp")
+
+
+def _sides(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the two blocks of each group of ``t``; equal for a block against itself."""
+    cols = [t.column(n).to_numpy(zero_copy_only=False) for n in ("node", "i", "j", "own")]
+    bounds = runs(*cols[:3])
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = cols[3][lo:hi]
+        left = lo + np.flatnonzero(own == cols[1][lo])
+        yield left, left if cols[1][lo] == cols[2][lo] else lo + np.flatnonzero(own == cols[2][lo])
+
+
+def _tiles(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, len(left), TILE):
+        for to in range(at if left is right else 0, len(right), TILE):
+            yield left[at : at + TILE], right[to : to + TILE]
+
+
+MET = "node bigint, i int, j int, own int, rep bigint, comp bigint"
+
+
+def _with_partners(meetings: DataFrame, share: float, margin: float) -> DataFrame:
+    """MET rows that have a likely pair with another component among the blocks that meet."""
+    need = int(SKETCH * (share - margin))
+    names = [c.split()[0] for c in MET.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["node", "i", "j"]):
+            n, comp = (t.column(c).to_numpy(zero_copy_only=False) for c in ("n", "comp"))
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+            marked = np.zeros(len(n), dtype=bool)
+            for left, right in _sides(t):
+                for a, b in _tiles(left, right):
+                    same = np.zeros((len(a), len(b)), dtype=np.uint8)
+                    for x, y in zip(sketch[a].T, sketch[b].T, strict=True):
+                        same += x[:, None] == y
+                    small, big = np.minimum(n[a][:, None], n[b]), np.maximum(n[a][:, None], n[b])
+                    likely = (same >= need) & (comp[a][:, None] != comp[b]) & (small >= share * big - 1e-9)
+                    marked[a] |= likely.any(axis=1)
+                    marked[b] |= likely.any(axis=0)
+            yield from t.select(names).filter(pa.array(marked)).to_batches()
+
+    return meetings.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(run, MET)
+
+
+def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, columns: int = 8_192) -> np.ndarray:
+    """Sizes of the intersections of the sets ``a`` with the sets ``b``."""
+    flat = [np.concatenate([sets[k] for k in side]) for side in (a, b)]
+    row = [np.repeat(np.arange(len(side)), [len(sets[k]) for k in side]) for side in (a, b)]
+    both = np.intersect1d(*flat)
+    held = []
+    for values, of in zip(flat, row, strict=True):
+        at = np.searchsorted(both, values)
+        known = at < len(both)
+        known[known] = both[at[known]] == values[known]
+        at, of = at[known], of[known]
+        order = np.argsort(at, kind="stable")
+        held.append((at[order], of[order]))
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    for lo in range(0, len(both), columns):
+        ones = []
+        for (at, of), side in zip(held, (a, b), strict=True):
+            x, y = np.searchsorted(at, (lo, lo + columns))
+            ones.append(np.zeros((len(side), min(columns, len(both) - lo)), dtype=np.float32))
+            ones[-1][of[x:y], at[x:y] - lo] = 1
+        out += (ones[0] @ ones[1].T).astype(np.int64)
+    return out
+
+
+def full_links(met: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``a, b`` on full sets: a spanning forest of all pairs of different components of the blocks that meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = WordHash()
+        for t in whole_groups(batches, ["node", "i", "j"], 2_000):
+            rep, comp = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp"))
+            sets = [_shingles(number, text.as_py(), shingle) for text in t.column("text")]
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            for left, right in _sides(t):
+                label, out = comp.copy(), []
+                rows = np.union1d(left, right)
+                for a, b in _tiles(left, right):
+                    apart = label[a][:, None] != label[b]
+                    if not apart.any():
+                        continue
+                    both = _shared(sets, a, b)
+                    linked = 100 * both >= percent * (n[a][:, None] + n[b] - both)
+                    while (open_ := linked & (label[a][:, None] != label[b])).any():
+                        for x in np.flatnonzero(open_.any(axis=1)).tolist():
+                            p, q = a[x], b[open_[x].argmax()]
+                            if label[p] != label[q]:
+                                label[rows[label[rows] == label[q]]] = label[p]
+                                out.append((min(rep[p], rep[q]), max(rep[p], rep[q])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = met.join(texts, "rep").select("node", "i", "j", "own", "rep", "comp", "text")
+    return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -246,11 +375,22 @@ def near_duplicates(
     first = materialise(likely_pairs(nodes, percent / 100, margin, True), "pairs")
     wanted = first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).distinct()
     wanted = materialise(wanted, "wanted")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), whole_text().alias("text")).join(wanted, "rep", "left_semi")
-    texts = materialise(texts.dropDuplicates(["rep"]), "texts")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("rep"), whole_text().alias("text"))
+
+    def texts_of(reps: DataFrame) -> DataFrame:
+        return materialise(source.join(reps, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+
+    texts = texts_of(wanted)
     probes = first.where("probe").select("a", "b")
     links = materialise(confirm(probes, texts, shingle, percent), "links")
     found = components(links)
+    large = nodes.where("large").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    large = large.select("node", "rep", "sketch", "n", F.coalesce("component", "rep").alias("comp"))
+    met = materialise(_with_partners(_meetings(large), percent / 100, margin), "met")
+    if not met.isEmpty():
+        full = materialise(full_links(met, texts_of(met.select("rep").distinct()), shingle, percent), "links")
+        links = links.unionByName(full)
+        found = materialise(components(links), "components")
     named = nodes.join(wanted, "rep", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("comp", F.coalesce("component", "rep")).drop("component")
     rest = likely_pairs(named, percent / 100, margin, False).join(probes, ["a", "b"], "left_anti").select("a", "b")
