@@ -18,6 +18,15 @@ def test_counts_equal_the_tokenizer(spark):
         assert all(r.closed for r in got)
 
 
+def test_special_tokens_in_texts_are_plain(spark):
+    rows = [*awkward(), (70_001, "a<|endoftext|>b"), (70_002, "<|endoftext|>" * 3), (70_003, "after it")]
+    whole = Tokenizer.from_file(vocabulary()[0])
+    whole.encode_special_tokens = True
+    want = sorted((i if i is not None else -9, len(whole.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    got = C.document_counts(spark, documents(spark, rows).repartition(3), block_tokens=1000).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -9, r.n_tokens) for r in got) == want
+
+
 def test_scan_of_foreign_files(spark, tmp_path):
     streams = {"a": [9, 9, 0, 0, 5, 5, 5], "b": [], "c": [0], "d": [1] * 50 + [0] + [2] * 3 + [0], "e": [3, 3]}
     for name, ids in streams.items():

@@ -9,7 +9,8 @@ documents that cross block borders. No task needs more than one block.
 
 ``write_flat`` writes such files from token arrays: one per task, under a name of its own, so a task
 that runs again leaves an unreferenced file and never a doubled one; its result names the files that
-count. Null texts count as empty (one end id); tokens after the last end id are reported as an open
+count. Special tokens inside a text are plain characters, so only ends have the end id. Null texts
+count as empty (one end id); tokens after the last end id are reported as an open
 document; an empty file or table gives no rows; extra columns are ignored.
 """
 
@@ -52,7 +53,9 @@ def write_flat(
                 fs.create_dir(inner, recursive=True)
                 out = fs.open_output_stream(f"{inner}/{name}")
             for text in batch.column(1):
-                ids = codec.ids(text.as_py())
+                ids = codec.plain_ids(text.as_py())
+                if (ids == end_id).any():
+                    raise ValueError(f"a text holds the end id {end_id}")
                 if len(ids) and int(ids.max()) >> (8 * width):
                     raise ValueError(f"an id needs more than {width} bytes")
                 out.write(ids.astype(kind).tobytes() + end)

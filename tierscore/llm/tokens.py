@@ -40,4 +40,10 @@ class Codec:
             return np.zeros(0, dtype="<u4")
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return self.plain_ids(text)
+
+    def plain_ids(self, text: str | None) -> np.ndarray:
+        """Ids of the text with special tokens read as plain characters."""
+        if not text:
+            return np.zeros(0, dtype="<u4")
         return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
