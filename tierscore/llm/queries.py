@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tierscore.llm import chat, decontamination, fingerprints, html_text, near_dups, packing, sharding, token_counts, toxicity, warc
+from tierscore.llm import (
+    chat,
+    decontamination,
+    fingerprints,
+    html_text,
+    importance,
+    near_dups,
+    packing,
+    periodic_runs,
+    secrets,
+    sharding,
+    token_counts,
+    toxicity,
+    warc,
+)
 from tierscore.llm.common import table
 
 SHARDS = 16
@@ -110,6 +126,105 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _with_planted_period(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: the words of one document in ten go on periodically from some word on."""
+    blank = " \t\n\x0b\f\r"
+    df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    trimmed = F.btrim(F.col("text"), F.lit(blank))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    df = df.withColumn("h", F.when((h % 10 == 0) & (trimmed != ""), h))
+    words = F.when(F.col("h").isNotNull(), F.split(trimmed, "[ \\t\\n\\x0B\\f\\r]+"))
+    g = F.floor(F.col("h") / 10)
+    df = df.withColumn("words", words).withColumn("n", F.size("words")).withColumn("a", F.pmod(g, F.col("n")))
+    df = df.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    source = F.transform("words", lambda w, i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    planted = F.array_join(F.transform(source, lambda i: F.get("words", i.cast("int"))), " ")
+    return df.select("doc_id", F.when(F.col("h").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def _sha256_hex(value: bytes) -> str:
+    return hashlib.sha256(value).hexdigest()
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_planted_period(table(spark, sf_dir, "documents"))
+    found = periodic_runs.periodic_runs(docs, render=_sha256_hex)
+    order = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"], r["period"].alias("period")))
+    best = F.array_max(order)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best)).withColumn("lines", F.array_join(lines, ""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != secrets.KINDS.index("live"))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *[number(k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.size(F.filter("spans", lambda s: s["example"])).cast("bigint").alias("n_examples"),
+        F.sha2(secrets.as_string(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.as_string(F.col("spans")).alias("spans"),
+    )
+
+
+# Matches are cut out of the text per kind; lengths along the text give their places.
+OP12_SQL = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS repo, coalesce(source, '') AS owner, coalesce(text, '') AS text
+  FROM documents
+), patterns(kind, p) AS (VALUES
+  (0, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']? *[:=] *["'']?[A-Za-z0-9+/_.=-]+'),
+  (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]+'), (3, '[A-Za-z0-9+/_=-]+')
+), cut AS (
+  SELECT row, repo, owner, kind, regexp_extract_all(text, p) AS m, regexp_split_to_array(text, p) AS b FROM rows, patterns
+), each AS (
+  SELECT row, repo, owner, kind, unnest(range(1, len(m) + 1)) AS nth, unnest(m) AS m, unnest(b[1:len(m)]) AS gap FROM cut WHERE len(m) > 0
+), placed AS (
+  SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY row, kind ORDER BY nth) AS BIGINT) AS stop,
+    CASE kind WHEN 0 THEN regexp_replace(m, '^[A-Za-z_]+["'']? *[:=] *["'']?', '') ELSE m END AS v
+  FROM each
+), good AS (
+  SELECT row, repo, owner, kind, stop - length(m) AS start, stop, v FROM placed
+  WHERE CASE kind WHEN 0 THEN length(v) >= 6 WHEN 1 THEN length(v) >= 20 WHEN 2 THEN length(v) >= 24
+    ELSE length(v) >= 20 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8 END
+), owned AS (SELECT v, count(DISTINCT owner) AS owners FROM good GROUP BY v),
+known AS (SELECT good.*, owners >= 3 AS example FROM good JOIN owned USING (v)),
+kept AS (
+  SELECT * FROM known k WHERE kind < 3 OR NOT example AND NOT EXISTS (
+    SELECT 1 FROM known b WHERE b.row = k.row AND b.kind < 3 AND b.start < k.stop AND b.stop > k.start)
+), named AS (
+  SELECT *, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || stop AS s FROM kept
+), told AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    count(*) FILTER (kind = 3) AS n_live, count(*) FILTER (example) AS n_examples,
+    string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans
+  FROM named GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live,
+  coalesce(n_examples, 0) AS n_examples, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM rows LEFT JOIN told USING (row)
+"""
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +238,9 @@ QUERIES = {
         op8_near_duplicates,
         op9_token_counts,
         op10_toxicity,
+        op11_periodic_runs,
+        op12_secrets,
+        op13_importance,
     )
 }
-SQL = {"op7_chat": OP7_SQL, "op8_near_duplicates": OP8_SQL}
+SQL = {"op7_chat": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op12_secrets": OP12_SQL}
