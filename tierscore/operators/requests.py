@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierscore.functions.bins import let
 from tierscore.functions.scalars import OTHER_BUCKET, decision_bucket
 from tierscore.operators.skew import bounded_order_statistics, top_n_per_group
 from tierscore.operators.stats import reached_rank
@@ -199,35 +200,147 @@ def batch_completion(replies: DataFrame, seals: DataFrame) -> DataFrame:
     return done.join(seals, "batch_id").where(F.col("replies") == F.col("expected")).drop("expected")
 
 
+# --- outcomes and latencies as one histogram: (metric, bin) -> count, merged by adding up ------
+
+OUTCOME, OVER_RANGE = "outcome", -1
+OK, OTHER_ERROR, TOO_MANY, SERVER_ERROR, TIMEOUT = range(1, 6)
+
+
+def outcome_code() -> Column:
+    """Drops, outcome, tier-two use and decision bucket of a request as one small number."""
+    failed = ~F.col("timeout") & ~F.col("status_code").between(200, 299)
+    kind = (
+        F.when(is_2xx(), OK)
+        .when(F.col("timeout"), TIMEOUT)
+        .when(failed & (F.col("status_code") == 429), TOO_MANY)
+        .when(failed & (F.col("status_code") >= 500), SERVER_ERROR)
+        .when(failed, OTHER_ERROR)
+        .otherwise(0)
+    )
+    flag = lambda c, v: F.when(F.col(c), v).otherwise(0)
+    code = flag("dropped", 1) + flag("drop_inflight", 2) + flag("used_l2", 4) + kind * 8
+    return (code + decision_bucket(F.col("decision")) * 64).cast("bigint")
+
+
+def measure(name: str, us: Column) -> Column:
+    """One latency as ``metric, bin``; bin ``OVER_RANGE`` beyond the recorded range, NULL for none."""
+    seen = F.coalesce(recorded_latency(us), F.lit(OVER_RANGE)).cast("bigint")
+    return F.when(us.isNotNull(), F.struct(F.lit(name).alias("metric"), seen.alias("bin")))
+
+
+def measures(log: DataFrame, keep: Sequence[str] = (), stages: Sequence[str] = STAGES) -> DataFrame:
+    """``keep, metric, bin``: the outcome of every request and the latencies of those that were sent.
+
+    Stage timings count only where some stage is above zero; rows without ``dropped`` (heartbeats of a
+    stream) measure nothing.
+    """
+    staged = F.lit(False)
+    for s in STAGES:
+        staged = staged | (F.col(f"stage.{s}") > 0)
+    sent = ~F.col("dropped")
+    outcome = F.when(F.col("dropped").isNotNull(), F.struct(F.lit(OUTCOME).alias("metric"), outcome_code().alias("bin")))
+    times = [F.when(sent, measure(m, F.col(m))) for m in LATENCIES]
+    times += [F.when(sent & staged, measure(s, F.col(f"stage.{s}"))) for s in stages]
+    rows = log.select(*keep, F.explode(F.array_compact(F.array(outcome, *times))).alias("m"))
+    return rows.select(*keep, "m.metric", "m.bin")
+
+
+ENTRY = ("metric", "bin", "n")
+
+
+def total(entries: Column, wanted) -> Column:
+    """Sum of the counts of the entries that are ``wanted``."""
+    return F.aggregate(entries, F.lit(0).cast("bigint"), lambda acc, e: acc + F.when(wanted(e), e["n"]).otherwise(0))
+
+
+def outcome_totals(entries: Column) -> dict[str, Column]:
+    """Attempts, drops, outcomes, tier-two use and decision buckets from ``metric, bin, n`` entries."""
+    bit = lambda e, b: F.floor(e["bin"] / b) % 2 == 1
+    kind = lambda e: F.floor(e["bin"] / 8) % 8
+    among = lambda wanted: total(entries, lambda e: (e["metric"] == OUTCOME) & wanted(e))
+    sent = lambda *kinds: among(lambda e: ~bit(e, 1) & kind(e).isin(*kinds))
+    return {
+        "attempted": among(lambda e: ~bit(e, 1)),
+        "dropped": among(lambda e: bit(e, 1) | bit(e, 2)),
+        "drop_inflight_cap": among(lambda e: bit(e, 2)),
+        "drop_conn_queue_full": among(lambda e: bit(e, 1)),
+        "ok": sent(OK),
+        "err": sent(OTHER_ERROR, TOO_MANY, SERVER_ERROR),
+        "timeout": sent(TIMEOUT),
+        "http_2xx": sent(OK),
+        "http_429": sent(TOO_MANY),
+        "http_5xx": sent(SERVER_ERROR),
+        "used_l2": among(lambda e: ~bit(e, 1) & bit(e, 4)),
+        **{f"bucket_{b}": among(lambda e, b=b: ~bit(e, 1) & (F.floor(e["bin"] / 64) == b)) for b in range(OTHER_BUCKET + 1)},
+    }
+
+
+def entry_quantiles(entries: Column, metric: str, qs: Sequence[float]) -> Column:
+    """Values of one metric whose cumulative count first reaches ``q n``; NULL without measurements."""
+    own = F.filter(entries, lambda e: (e["metric"] == metric) & (e["bin"] != OVER_RANGE))
+    own = F.array_sort(F.transform(own, lambda e: F.struct(e["bin"].alias("bin"), e["n"].alias("n"))))
+
+    def of(bins: Column) -> Column:
+        n = F.aggregate(bins, F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
+
+        def found(count: Column) -> Column:
+            ranks = [reached_rank(q)(count) for q in qs]
+            none = F.lit(None).cast("bigint")
+            start = F.struct(F.lit(0).cast("bigint").alias("seen"), *[none.alias(f"q{i}") for i in range(len(qs))])
+
+            def step(acc: Column, e: Column) -> Column:
+                seen = acc["seen"] + e["n"]
+                hit = [F.coalesce(acc[f"q{i}"], F.when(seen > r, e["bin"])).alias(f"q{i}") for i, r in enumerate(ranks)]
+                return F.struct(seen.alias("seen"), *hit)
+
+            return F.aggregate(bins, start, step)
+
+        return let(n, found)
+
+    return let(own, of)
+
+
+# Window column of each p99 latency, ``batch`` being whole batches.
+WINDOW_P99 = {
+    "queue_delay_us": "queue_p99_us", "send_delay_us": "send_p99_us", "server_rtt_us": "server_rtt_p99_us",
+    "e2e_us": "e2e_p99_us", "batch": "batch_e2e_p99_us", "router": "stage_router_p99_us", "l1": "stage_l1_p99_us",
+    "l2": "stage_l2_p99_us",
+}
+WINDOW_STAGES = [m for m in WINDOW_P99 if m in STAGES]
+WINDOW_TOTALS = ("attempted", "dropped", "drop_inflight_cap", "drop_conn_queue_full", "ok", "err", "timeout", "http_2xx", "http_429", "http_5xx")
+
+
+def over_range(entries: Column) -> Column:
+    return total(entries, lambda e: e["bin"] == OVER_RANGE)
+
+
+def window_rows(counted: DataFrame, w: str) -> DataFrame:
+    """One row per window from ``w, entries``: totals, p99 latencies (0 for none) and ``over_range``."""
+    entries = F.col("entries")
+    totals = outcome_totals(entries)
+    p99 = [F.coalesce(entry_quantiles(entries, m, (0.99,))["q0"], F.lit(0)).alias(c) for m, c in WINDOW_P99.items()]
+    return counted.select(
+        F.floor(F.unix_millis(F.col(w))).cast("bigint").alias("t_ms"),
+        *[totals[c].alias(c) for c in WINDOW_TOTALS],
+        *p99,
+        over_range(entries).alias("over_range"),
+    )
+
+
 def window_metrics(log: DataFrame, batches: DataFrame, window: str, ts: str = "t_sched") -> DataFrame:
     """Per tumbling window: attempts, outcomes, drops and p99 latencies (windows with events).
 
-    ``over_range`` counts the measurements beyond the recorded latencies.
+    One pass over the log counts outcomes and recorded latencies alike; a window then has at most some
+    18,000 counts per metric. ``over_range`` counts the measurements beyond the recorded latencies.
     """
     start = lambda col: F.window(F.col(col), window)["start"]
-    rows = log.withColumn("w", start(ts))
-    sent = rows.where(~F.col("dropped"))
-    counts = rows.groupBy("w").agg(
-        F.count_if(~F.col("dropped")).alias("attempted"),
-        F.count_if(F.col("dropped") | F.col("drop_inflight")).alias("dropped"),
-        F.count_if("drop_inflight").alias("drop_inflight_cap"),
-        F.count_if("dropped").alias("drop_conn_queue_full"),
-        *outcome_columns(~F.col("dropped")),
-    )
-    measures = metric_rows(sent, ["w"]).unionByName(stage_rows(sent, ["w"]))
-    done = metric_rows(batches.withColumn("w", start("closed_at")).withColumnRenamed("latency_us", "batch"), ["w"], ["batch"])
-    p99 = latency_quantiles(measures.unionByName(done), ["w"], (0.99,))
-    names = {
-        "queue_delay_us": "queue_p99_us", "send_delay_us": "send_p99_us", "server_rtt_us": "server_rtt_p99_us",
-        "e2e_us": "e2e_p99_us", "batch": "batch_e2e_p99_us", "router": "stage_router_p99_us", "l1": "stage_l1_p99_us",
-        "l2": "stage_l2_p99_us",
-    }
-    wide = p99.groupBy("w").agg(
-        *[F.coalesce(F.max(F.when(F.col("metric") == m, F.col("p99"))), F.lit(0)).alias(out) for m, out in names.items()],
-        F.sum("over_range").alias("over_range"),
-    )
-    full = counts.join(wide, "w", "left").na.fill(0, [*names.values(), "over_range"])
-    return full.withColumn("t_ms", F.floor(F.unix_millis("w")).cast("bigint")).drop("w")
+    rows = measures(log.withColumn("w", start(ts)), ["w"], WINDOW_STAGES)
+    done = batches.select(start("closed_at").alias("w"), measure("batch", F.col("latency_us")).alias("m"))
+    rows = rows.unionByName(done.where("m is not null").select("w", "m.metric", "m.bin"))
+    counts = rows.groupBy("w", "metric", "bin").agg(F.count("*").alias("n"))
+    full = window_rows(counts.groupBy("w").agg(F.collect_list(F.struct(*ENTRY)).alias("entries")), "w")
+    # A window that only holds the end of a batch has no events.
+    return full.where("attempted + dropped > 0")
 
 
 def rate_budget(log: DataFrame, per_second: int, ts: str = "t_sched", key: str = "event_id") -> DataFrame:

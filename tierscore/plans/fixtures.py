@@ -16,7 +16,7 @@ from tierscore.operators.certify import Mlp
 from tierscore.operators.lookups import Atlas, AtlasCheckpoint, Calibration, PacketPolicy, cell_decision
 from tierscore.operators.skew import inline_table
 from tierscore.operators.trees import ApproxPolicy, TreeModel
-from tierscore.session import spread
+from tierscore.session import scratch_path, spread
 
 # Fixed values: (name, trees, depth, leaf offset in 1/64) of the rule-based models.
 MODELS = {
@@ -48,11 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """One row per order: id, label, priority and the eight features (NULL = missing).
 
     Line items are aggregated before the join and customers are joined by their unique key; both
-    sides of each join keep one row per key, so neither has a hot key.
+    sides of each join keep one row per key, so neither has a hot key. ``orders``: these orders
+    instead of the table's, for instance those of one trigger of a stream.
     """
     li = (
         table(spark, sf_dir, "lineitem")
@@ -66,7 +67,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_if(F.col("l_returnflag") == "R").alias("r"),
         )
     )
-    orders = table(spark, sf_dir, "orders").select(
+    orders = (table(spark, sf_dir, "orders") if orders is None else orders).select(
         F.col("o_orderkey").alias("txn_id"), "o_custkey", "o_totalprice", "o_orderpriority"
     )
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
@@ -300,6 +301,14 @@ def packet_policy(spark: SparkSession) -> PacketPolicy:
     return PacketPolicy(3, TAU_EDGES, STEP_GAP_EDGES, STEP_DELTA_EDGES, inline_table(spark, schema, rows))
 
 
+def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream with one event time beyond all events of the table."""
+    path = scratch_path(spark, "beats")
+    last = table(spark, sf_dir, "events").agg((F.max("ts") + F.expr("INTERVAL 40 DAYS")).alias("ts"))
+    last.write.parquet(path)
+    return spark.readStream.schema(last.schema).parquet(path)
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_requests(table(spark, sf_dir, "events"))
 

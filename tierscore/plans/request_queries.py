@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tierscore.operators import requests as R
+from tierscore.operators.cascade import cascade
 from tierscore.plans import fixtures as fx
 from tierscore.plans import sql as q
 from tierscore.plans.registry import query
+from tierscore.plans.scoring import CASCADE
 from tierscore.plans.stats_queries import BUCKETS
+from tierscore.session import scratch_path
 from tierscore.streaming import streams as ST
+from tierscore.streaming.policies import PolicyStore, score_available
 
 LOG = q.REQUESTS
 OUTCOME_COLS = "ok:l, err:l, timeout:l, http_2xx:l, http_429:l, http_5xx:l"
@@ -156,7 +160,7 @@ def batch_completion(spark, d):
     return closed_batches(fx.request_log(spark, d))
 
 
-def _window_sql() -> str:
+def _window_sql(replies: str = f"{REPLIES},\n{BATCHES}") -> str:
     p99 = {"queue_delay_us": "queue_p99_us", "send_delay_us": "send_p99_us", "server_rtt_us": "server_rtt_p99_us", "e2e_us": "e2e_p99_us",
            "batch": "batch_e2e_p99_us", "router": "stage_router_p99_us", "l1": "stage_l1_p99_us", "l2": "stage_l2_p99_us"}
     sent = "(SELECT date_trunc('hour', t_sched) AS w, * FROM log WHERE NOT dropped)"
@@ -164,7 +168,7 @@ def _window_sql() -> str:
     wide = ", ".join(f"coalesce(max(CASE WHEN metric = '{m}' THEN p99 END), 0) AS {c}" for m, c in p99.items())
     cols = ", ".join(f"coalesce(x.{c}, 0) AS {c}" for c in p99.values())
     return (
-        q.with_(LOG, REPLIES, BATCHES, f"m AS ({measures})", "mq AS (" + quantile_sql("(SELECT * FROM m WHERE us IS NOT NULL)", "w, metric", (0.99,)) + ")",
+        q.with_(LOG, replies, f"m AS ({measures})", "mq AS (" + quantile_sql("(SELECT * FROM m WHERE us IS NOT NULL)", "w, metric", (0.99,)) + ")",
                 f"x AS (SELECT w, {wide} FROM mq GROUP BY w)", f"oc AS (SELECT date_trunc('hour', t_sched) AS w, {q.OUTCOMES} FROM log WHERE NOT dropped GROUP BY 1)",
                 """ct AS (SELECT date_trunc('hour', t_sched) AS w, count(*) FILTER (NOT dropped) AS attempted, count(*) FILTER (dropped OR drop_inflight) AS dropped,
    count(*) FILTER (drop_inflight) AS drop_inflight_cap, count(*) FILTER (dropped) AS drop_conn_queue_full FROM log GROUP BY 1)""")
@@ -210,24 +214,68 @@ def events_stream(spark, d):
     return ST.read_file_stream(spark, d, "events.parquet", schema)
 
 
-STREAM_P99 = {"queue_delay_us": "queue_p99_us", "send_delay_us": "send_p99_us", "server_rtt_us": "server_rtt_p99_us", "e2e_us": "e2e_p99_us"}
+def live_log(spark, d):
+    """The request log as a stream that heartbeats bring to its end."""
+    return fx.shape_requests(ST.with_heartbeats(events_stream(spark, d), fx.heartbeats(spark, d), "ts"))
 
 
-@query(
-    "stream_windows", "t_ms:l, attempted:l, " + OUTCOME_COLS + ", queue_p99_us:l, send_p99_us:l, server_rtt_p99_us:l, e2e_p99_us:l",
-    q.with_(LOG, "st AS (SELECT date_trunc('hour', t_sched) AS w, * FROM log WHERE NOT dropped)", f"m AS ({metric_sql('st', 'w')})",
-            "mq AS (" + quantile_sql("(SELECT * FROM m WHERE us IS NOT NULL)", "w, metric", (0.99,)) + ")",
-            "x AS (SELECT w, " + ", ".join(f"max(CASE WHEN metric = '{m}' THEN p99 END) AS {c}" for m, c in STREAM_P99.items()) + " FROM mq GROUP BY w)",
-            f"oc AS (SELECT w, count(*) AS attempted, {q.OUTCOMES} FROM st GROUP BY w)") + "SELECT epoch_ms(w) AS t_ms, * FROM oc JOIN x USING (w)",
-)
+DEADLINE_MS = 12 * 3_600_000
+
+
+def single_replies(log):
+    """Replies of one row each to batches of 128; those dropped late never arrive."""
+    issued = F.unix_micros("t_sched")
+    return log.where(~F.coalesce("dropped_late", F.lit(False))).select(
+        "batch_id", F.col("t_sched").alias("done_at"), F.when(F.col("batch_id").isNotNull(), 1).cast("bigint").alias("rows"),
+        (F.col("event_id") % 50 != 0).cast("bigint").alias("ok_rows"), "status_code", "timeout", "used_l2", "decision",
+        F.lit(128).cast("bigint").alias("expected"), issued.alias("issued_us"), (issued + F.col("e2e_us")).alias("done_us"),
+    )
+
+
+SINGLE_REPLIES = f"""rep AS (SELECT *, 1 AS rows, CASE WHEN event_id % 50 <> 0 THEN 1 ELSE 0 END AS ok_rows, t_sched AS issued_at, t_sched + to_microseconds(e2e_us) AS done_at FROM log WHERE NOT dropped_late),
+all_bat AS (
+  SELECT batch_id, count(*) AS replies, count(*) AS rows, epoch_us(max(done_at)) - epoch_us(min(issued_at)) AS latency_us, max(done_at) AS closed_at,
+    sum(CASE WHEN {GOOD} THEN ok_rows ELSE 0 END) AS ok, sum(CASE WHEN {GOOD} THEN rows - ok_rows ELSE 0 END) AS lost, sum(CASE WHEN {FAILED} THEN rows ELSE 0 END) AS err,
+    sum(CASE WHEN timeout THEN rows ELSE 0 END) AS timeout, sum(CASE WHEN {FAILED} AND status_code = 429 THEN rows ELSE 0 END) AS http_429,
+    sum(CASE WHEN {FAILED} AND status_code >= 500 THEN rows ELSE 0 END) AS http_5xx, sum(CASE WHEN NOT timeout AND used_l2 THEN rows ELSE 0 END) AS used_l2,
+    {q.buckets("CASE WHEN timeout THEN 4 ELSE decision END", "rows")} FROM rep GROUP BY batch_id),
+bat AS (SELECT * FROM all_bat WHERE replies = 128)"""
+
+
+@query("stream_windows", "t_ms:l, attempted:l, dropped:l, drop_inflight_cap:l, drop_conn_queue_full:l, " + OUTCOME_COLS + ", queue_p99_us:l, send_p99_us:l, "
+       "server_rtt_p99_us:l, e2e_p99_us:l, batch_e2e_p99_us:l, stage_router_p99_us:l, stage_l1_p99_us:l, stage_l2_p99_us:l", _window_sql(SINGLE_REPLIES))
 def stream_windows(spark, d):
-    sdf = ST.stream_windows(fx.shape_requests(events_stream(spark, d)), "1 hour", "1 hour")
-    return ST.run_to_table(sdf, "complete", "stream-windows")
+    ST.use_rocksdb(spark)
+    sdf = ST.stream_windows(live_log(spark, d), single_replies(live_log(spark, d)), "1 hour", "1 hour", DEADLINE_MS)
+    return ST.run_to_table(sdf, "append", "stream-windows")
+
 
+TOTAL_LATENCIES = (*R.LATENCIES, *R.STAGES)
 
-@query("stream_totals", "attempted:l, " + OUTCOME_COLS, q.with_(LOG) + f"SELECT count(*) AS attempted, {q.OUTCOMES} FROM log WHERE NOT dropped")
+
+def _totals_sql() -> str:
+    stages = stage_sql("sent", "1 AS one")
+    rows = f"({metric_sql('sent', '1 AS one')} UNION ALL {stages})"
+    wide = ", ".join(f"max(CASE WHEN metric = '{m}' THEN p{p} END) AS {m}_p{p}" for m in TOTAL_LATENCIES for p in (50, 95, 99))
+    over = " + ".join(f"count_if(CAST({m} AS BIGINT) > {R.LATENCY_CEILING_US})" for m in R.LATENCIES)
+    return (
+        q.with_(LOG, "sent AS (SELECT * FROM log WHERE NOT dropped)", f"m AS {rows}", "mq AS (" + quantile_sql("(SELECT * FROM m WHERE us IS NOT NULL)", "metric") + ")",
+                f"x AS (SELECT {wide} FROM mq)", f"oc AS (SELECT count(*) AS attempted, {q.OUTCOMES}, count_if(used_l2) AS used_l2, {q.buckets('decision')}, {over} AS over_range FROM sent)",
+                "dr AS (SELECT count_if(dropped OR drop_inflight) AS dropped, count_if(drop_inflight) AS drop_inflight_cap, count_if(dropped) AS drop_conn_queue_full FROM log)")
+        + "SELECT * FROM oc, dr, x"
+    )
+
+
+TOTAL_COLS = (
+    "attempted:l, dropped:l, drop_inflight_cap:l, drop_conn_queue_full:l, " + OUTCOME_COLS + ", used_l2:l, bucket_0:l, bucket_1:l, bucket_2:l, bucket_3:l, bucket_4:l, over_range:l, "
+    + ", ".join(f"{m}_p{p}:l" for m in TOTAL_LATENCIES for p in (50, 95, 99))
+)
+
+
+@query("stream_totals", TOTAL_COLS, _totals_sql())
 def stream_totals(spark, d):
-    return ST.run_to_table(ST.stream_totals(fx.shape_requests(events_stream(spark, d))), "complete", "stream-totals")
+    counters = ST.run_updates(ST.stream_totals(live_log(spark, d)), ST.COUNTER_KEYS, "stream-totals")
+    return ST.totals_row(counters)
 
 
 @query("stream_decisions", "t_ms:l, " + BUCKETS, q.with_(LOG) + f"SELECT epoch_ms(date_trunc('hour', t_sched)) AS t_ms, count(*) AS rows, sum(CASE WHEN used_l2 THEN 1 ELSE 0 END) AS used_l2, {q.buckets('decision')} FROM log GROUP BY 1")
@@ -236,39 +284,31 @@ def stream_decisions(spark, d):
     return ST.run_to_table(sdf, "complete", "stream-decisions")
 
 
-@query(
-    "stream_score", "event_id:l, score:d",
-    q.with_("ev AS (SELECT event_id AS txn_id, [CAST(value * 1000 AS FLOAT), CAST(user_id % 12 AS FLOAT), CAST(event_id % 256 AS FLOAT), CAST(0.0625 AS FLOAT), CAST(value * 256 AS FLOAT), CAST(user_id % 32 AS FLOAT), NULL, CAST(event_id % 9000 AS FLOAT)] AS features FROM events)",
-            q.nodes("l1"), q.leaves("l1", "ev", "c"), q.scores("c", "s")) + "SELECT txn_id AS event_id, score FROM s",
-)
+@query("stream_score", "txn_id:l, tau:d, l1_score:d, l2_score:d, final_score:d, used_l2:l, decision:s, policy_version:l",
+       q.with_(CASCADE) + "SELECT txn_id, tau, l1_score, l2_score, final_score, used_l2, decision, 2 AS policy_version FROM cas")
 def stream_score(spark, d):
-    """The Arrow scorer over a stream of events."""
-    from tierscore.operators.trees import score_exact
+    """Both tiers over a stream of orders, under the newer of two published policies."""
+    store = PolicyStore(spark, scratch_path(spark, "policies"))
+    store.publish(1, fx.global_tau(spark).withColumn("tau", F.lit(0.5).cast("float")), fx.segment_tau(spark))
+    store.publish(2, fx.global_tau(spark), fx.segment_tau(spark))
+    orders = ST.read_file_stream(spark, d, "orders.parquet", fx.table(spark, d, "orders").schema)
 
-    m, c = fx.model(spark, "l1"), F.col
-    vec = F.array(
-        *[x.cast("float") for x in (c("value") * 1000, c("user_id") % 12, c("event_id") % 256, F.lit(0.0625), c("value") * 256, c("user_id") % 32, F.lit(None), c("event_id") % 9000)]
-    )
-    sdf = ST.stream_score(events_stream(spark, d), lambda s: s.select("event_id", score_exact(vec, m).alias("score")))
-    return ST.run_to_table(sdf, "append", "stream-score")
+    def decide(rows, global_tau, segment_tau):
+        txn = fx.with_route_meta(fx.transactions(spark, d, rows))
+        l1, l2 = fx.model(spark, "l1"), fx.model(spark, "l2")
+        done = cascade(txn, l1, fx.L1_THRESHOLD, l2, fx.TXN_FEATURES, fx.L2_FEATURES, global_tau, segment_tau)
+        return done.select("txn_id", "tau", "l1_score", "l2_score", "final_score", "used_l2", "decision")
 
+    return score_available(orders, decide, store)
 
-@query("stream_batches", "batch_id:l, replies:l, rows:l, ok:l, lost:l, err:l, timeout:l, latency_us:l, closed:s",
-       q.with_(LOG, """one AS (SELECT batch_id, count(*) AS replies, count(*) AS rows, count(*) FILTER (NOT timeout AND status_code BETWEEN 200 AND 299 AND event_id % 50 <> 0) AS ok,
-  count(*) FILTER (NOT timeout AND status_code BETWEEN 200 AND 299 AND event_id % 50 = 0) AS lost, count(*) FILTER (NOT timeout AND status_code NOT BETWEEN 200 AND 299) AS err,
-  count(*) FILTER (timeout) AS timeout, max(epoch_us(t_sched) + e2e_us) - min(epoch_us(t_sched)) AS latency_us FROM log GROUP BY batch_id)""")
-       + "SELECT *, CASE WHEN replies = 128 THEN 'complete' ELSE 'deadline' END AS closed FROM one WHERE replies = 128")
+
+@query("stream_batches", "batch_id:l, replies:l, rows:l, ok:l, lost:l, err:l, timeout:l, http_429:l, http_5xx:l, used_l2:l, bucket_0:l, bucket_1:l, bucket_2:l, bucket_3:l, bucket_4:l, latency_us:l, closed:s",
+       q.with_(LOG, SINGLE_REPLIES) + "SELECT * EXCLUDE (closed_at), CASE WHEN replies = 128 THEN 'complete' ELSE 'deadline' END AS closed FROM all_bat")
 def stream_batches(spark, d):
-    """Batches of 128 single-row replies, closed by state."""
+    """Batches of 128 single-row replies, closed by state: by their last reply or at a deadline."""
     ST.use_rocksdb(spark)
-    log = fx.shape_requests(events_stream(spark, d))
-    issued = F.unix_micros("t_sched")
-    rows = log.select(
-        "batch_id", F.col("t_sched").alias("done_at"), F.lit(1).cast("bigint").alias("rows"), (F.col("event_id") % 50 != 0).cast("bigint").alias("ok_rows"),
-        "status_code", "timeout", F.lit(128).cast("bigint").alias("expected"), issued.alias("issued_us"), (issued + F.col("e2e_us")).alias("done_us"),
-    )
-    out = ST.run_to_table(ST.stream_batch_completion(rows, "1 hour", 30 * 86_400_000), "append", "stream-batches")
-    return out.where("closed = 'complete'")
+    sdf = ST.stream_batch_completion(single_replies(live_log(spark, d)), "1 hour", DEADLINE_MS)
+    return ST.run_to_table(sdf, "append", "stream-batches")
 
 
 @query("stream_budget", "event_id:l, second:l",
