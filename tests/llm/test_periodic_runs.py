@@ -70,7 +70,8 @@ def test_long_runs_of_every_scale():
 
 
 def test_z_function():
-    assert pr.z_function([1, 1, 2, 1, 1, 2, 1]) == [0, 1, 0, 4, 1, 0, 1]
+    assert pr.z_function(np.array([1, 1, 2, 1, 1, 2, 1])).tolist() == [0, 1, 0, 4, 1, 0, 1]
+    assert pr.z_function(np.full(100, 3)).tolist() == [0, *range(99, 0, -1)]
 
 
 def contract(doc_id, text):

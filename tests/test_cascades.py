@@ -80,8 +80,9 @@ def test_packets_by_brute_force(spark, rows):
 def test_stages_do_not_change_the_result(spark, rows, kind):
     bundle = Q.bundle(spark, kind)
     one = X.prefix_cascade(rows, bundle, F.col("active")).select("txn_id", *X.PREFIX_COLUMNS)
-    many = X.prefix_cascade(rows, bundle, F.col("active"), stage_trees=1).select("txn_id", *X.PREFIX_COLUMNS)
-    assert one.exceptAll(many).count() == 0
+    for trees in (1, 1000):
+        many = X.staged_cascade(rows, bundle, F.col("active"), stage_trees=trees).select("txn_id", *X.PREFIX_COLUMNS)
+        assert one.exceptAll(many).count() == 0
     assert one.where("direct_checkpoint = 4").count() > 0 and one.where("fallback_used").count() > 0
 
 
@@ -110,9 +111,11 @@ def test_delta_checkpoint_feeds_later_checkpoints(spark, sf_dir):
     cells = cells.unionByName(cells.withColumn("tau_bin", F.lit(2))).unionByName(cells.withColumn("tau_bin", F.lit(1)))
     bundle = X.Bundle(m, cal, L.Atlas(fx.TAU_EDGES, shape, cells))
     vec = fx.vectors(spark, sf_dir).select(F.col("vec_id").alias("txn_id"), "features", F.lit(0.25).cast("float").alias("tau"), F.lit(9).alias("fold_id"))
-    one = X.prefix_cascade(vec, bundle, stage_trees=1000).select("txn_id", *X.PREFIX_COLUMNS)
-    many = X.prefix_cascade(vec, bundle, stage_trees=1).select("txn_id", *X.PREFIX_COLUMNS)
-    assert one.exceptAll(many).count() == 0
+    one = X.prefix_cascade(vec, bundle).select("txn_id", *X.PREFIX_COLUMNS)
+    for trees in (1, 1000):
+        many = X.staged_cascade(vec, bundle, F.lit(True), stage_trees=trees).select("txn_id", *X.PREFIX_COLUMNS)
+        assert one.exceptAll(many).count() == 0
+    assert one.where("direct_checkpoint > 64").count() > 0
 
 
 def test_unknown_slot_and_bin_fail(spark, rows):

@@ -1,14 +1,16 @@
 """Calibrated certifiers and the prefix cascades that use them.
 
-All of it is row-local: prefix scores come from one Arrow UDF per stage, bands and cells arrive
-with one broadcast lookup per row, and decisions are column expressions. The exact fallback only
-sees the vectors of rows that no checkpoint decided.
+All of it is row-local. Where bands and cells are of a checked size, one Arrow step walks the trees,
+looks up bands and decides, rows leaving it as they are decided (``forest``). Larger tables are joined
+stage by stage: prefix scores from one Arrow UDF per stage, decisions as column expressions, and an
+exact fallback that only sees the vectors of rows that no checkpoint decided.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from tierscore.functions.bins import bin_by_edges, float_array, let
 from tierscore.functions.scalars import at_least
 from tierscore.operators import lookups as L
+from tierscore.operators.forest import Forest, Slots, forest_cascade, forest_certify, forest_route
 from tierscore.operators.trees import TreeModel, prefix_scores, prefix_splits, score_route, tree_leaves
 
 NUDGE = 1e-6  # fixed value: how far a certified score lies from the threshold
@@ -46,7 +49,7 @@ def checkpoint_features(df: DataFrame, key: str = "txn_id", initial: float = 0.0
     )
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Mlp:
     """Two hidden layers and a logit; at most a few thousand numbers, shipped as literals."""
 
@@ -87,7 +90,8 @@ class Mlp:
 def certifier_vector(mlp: Mlp, s: Column) -> Column:
     """One-hot checkpoint, fold and tau bin, then eight numbers; standardised.
 
-    ``s`` is a struct of ``checkpoint, fold, tau, prefix, gap, dp, d64, evals``.
+    ``s`` is a struct of ``checkpoint, fold, tau, prefix, gap, dp, d64, evals, resolved``; the last two are
+    the work and the early resolved trees of the row so far, per tree.
     """
 
     def one_hot(values: Sequence[int], x: Column) -> Column:
@@ -96,7 +100,7 @@ def certifier_vector(mlp: Mlp, s: Column) -> Column:
     tau_bin = bin_by_edges(s["tau"], mlp.tau_edges) if len(mlp.tau_edges) >= 2 else F.lit(0)
     numbers = F.array(
         s["prefix"], s["gap"], F.abs(s["gap"]), s["dp"], s["d64"], s["evals"],
-        (s["checkpoint"] / F.lit(TREES_PER_UNIT)).cast("float"), _f(1.0),
+        (s["checkpoint"] / F.lit(TREES_PER_UNIT)).cast("float"), s["resolved"],
     )
     raw = F.concat(
         one_hot(mlp.checkpoint_values, s["checkpoint"]),
@@ -124,7 +128,7 @@ def mlp_probability(mlp: Mlp, inputs: Column) -> Column:
     return (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit.cast("double")))).cast("float")
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Bundle:
     """A model in its tree order with its calibration and, optionally, a second certifier."""
 
@@ -133,13 +137,36 @@ class Bundle:
     atlas: L.Atlas | None = None
     mlp: Mlp | None = None
 
+    @property
+    def small(self) -> bool:
+        """Whether bands and cells are of a checked size that may be sent to every task."""
+        return self.calibration.small and (self.atlas is None or self.atlas.small)
+
+
+CONSTANTS = (("nudge", NUDGE), ("trees_per_unit", TREES_PER_UNIT), ("delta_checkpoint", DELTA_CHECKPOINT))
+
+
+@lru_cache(maxsize=32)
+def _slots(parts: tuple) -> Slots:
+    checkpoints = parts[0][1].checkpoints
+    clusters = [None if atlas is None else atlas.tables(checkpoints) for _, _, atlas, _ in parts]
+    bands = [cal.tables for _, cal, _, _ in parts]
+    return Slots(Forest([p[0] for p in parts]), checkpoints, bands, clusters, [p[3] for p in parts], dict(CONSTANTS))
+
+
+def slots_of(bundles: Sequence[Bundle]) -> Slots:
+    """The bundles as slots of one forest; they share a list of checkpoints."""
+    if len({b.calibration.checkpoints for b in bundles}) != 1:
+        raise ValueError("the bundles of a forest need the same checkpoints")
+    return _slots(tuple((b.model, b.calibration, b.atlas, b.mlp) for b in bundles))
+
 
 CERT_TYPE = "struct<reject: boolean, route_score: float, checkpoint: int, prefix: float>"
 
 
 def certify_scan(
     bundle: Bundle, begin: int, end: int, tau: Column, fold: Column, scores: Column, before: Column, at_64: Column | None,
-    limits: Column, cells: Column | None = None, splits: Column | None = None, first_delta: Column | None = None,
+    limits: Column, cells: Column | None = None, work: tuple[Column, Column] | None = None, first_delta: Column | None = None,
 ) -> Column:
     """Decisions at the checkpoints ``begin..end-1`` as an array of ``CERT_TYPE``, NULL where open.
 
@@ -163,7 +190,7 @@ def certify_scan(
             base = at_64 if slot_64 < begin and at_64 is not None else F.get(scores, F.lit(slot_64 - begin))
             delta_64 = F.when(i + begin > slot_64, score - base).otherwise(_f(0.0))
         checkpoint = F.get(all_cps, i + begin)
-        evals = _f(0.0) if splits is None else (F.get(splits, i + begin) / checkpoint).cast("float")
+        share = lambda k: _f(0.0) if work is None else (F.get(work[k], i + begin) / checkpoint).cast("float")
         return F.struct(
             (i + begin).alias("slot"),
             checkpoint.alias("checkpoint"),
@@ -173,7 +200,8 @@ def certify_scan(
             (tau.cast("float") - score).alias("gap"),
             ((score - step) if first_delta is None else first_delta).alias("dp"),
             delta_64.alias("d64"),
-            evals.alias("evals"),
+            share(0).alias("evals"),
+            share(1).alias("resolved"),
         )
 
     def cert(s: Column, reject: bool, score: Column) -> Column:
@@ -243,8 +271,9 @@ def prefix_certify(
     start = _f(model.base) if initial is None else initial.cast("float")
     rows = rows.withColumn(f"_{out}_first", start)
     if bundle.mlp is not None:
-        splits = prefix_splits(F.when(F.col(f"_{out}_open"), F.col("features")), model, cal.checkpoints, pinned=True)
-        rows = rows.withColumn(f"_{out}_splits", splits)
+        own = F.when(F.col(f"_{out}_open"), F.col("features"))
+        for k in (0, 1):
+            rows = rows.withColumn(f"_{out}_work{k}", prefix_splits(own, model, cal.checkpoints, pinned=True, resolved=k == 1))
     slot_64 = cal.checkpoints.index(DELTA_CHECKPOINT) if DELTA_CHECKPOINT in cal.checkpoints else -1
     at_64, done, last, stages, certs = None, 0, F.col(f"_{out}_first"), [], []
     for begin, end in stage_slices(cal.checkpoints, stage_trees):
@@ -258,7 +287,7 @@ def prefix_certify(
         scan = certify_scan(
             bundle, begin, end, F.col("tau"), F.col("fold_id"), F.col(stage), last, at_64, F.col(limits),
             F.col(cells) if bundle.atlas is not None else None,
-            F.col(f"_{out}_splits") if bundle.mlp is not None else None,
+            (F.col(f"_{out}_work0"), F.col(f"_{out}_work1")) if bundle.mlp is not None else None,
         )
         rows = rows.withColumn(found, first_of(scan)).drop(limits, cells)
         rows = rows.withColumn(f"_{out}_open", F.col(f"_{out}_open") & F.col(found).isNull())
@@ -290,8 +319,33 @@ def prefix_cascade(
     df: DataFrame, bundle: Bundle, active: Column | None = None, shadow_only: bool = False,
     stage_trees: int = STAGE_TREES,
 ) -> DataFrame:
-    """First certifying checkpoint decides; open rows go on exactly from the last checkpoint."""
+    """First certifying checkpoint decides; open rows go on exactly from the last checkpoint.
+
+    One Arrow step does it all where the tables of the bundle may be sent to every task; larger
+    calibrations are joined stage by stage.
+    """
     run = F.lit(True) if active is None else active
+    if bundle.small:
+        return _forest_cascade(df, [bundle], F.lit(0), run, shadow_only)
+    return staged_cascade(df, bundle, run, shadow_only, stage_trees)
+
+
+def _forest_cascade(df: DataFrame, bundles: Sequence[Bundle], slot: Column, run: Column, shadow_only: bool = False) -> DataFrame:
+    done = forest_cascade(F.when(run, F.col("features")), F.col("tau"), F.col("fold_id"), slot, slots_of(bundles), shadow_only)
+    rows = df.withColumn("_done", done)
+    return rows.select(*df.columns, *_filled(F.col("_done")))
+
+
+def _filled(done: Column) -> list[Column]:
+    """Result columns with the values of a row that was not run."""
+    empty = {"prefix_score": None, "route_score": None, "shadow_reject": False, "final_reject": False, "fallback_used": False}
+    return [
+        (done[c] if empty.get(c, 0) is None else F.coalesce(done[c], F.lit(empty.get(c, 0)))).alias(c) for c in PREFIX_COLUMNS
+    ]
+
+
+def staged_cascade(df: DataFrame, bundle: Bundle, run: Column, shadow_only: bool = False, stage_trees: int = STAGE_TREES) -> DataFrame:
+    """The prefix cascade by joins: every stage gets the bands of its rows next to them."""
     rows = prefix_certify(df.withColumn("_run", run), bundle, F.col("_run"), "p", stage_trees=stage_trees)
     end = bundle.calibration.checkpoints[-1]
     rows = rows.withColumn("_open", F.col("_run") & F.col("p_cert").isNull())
@@ -307,7 +361,6 @@ def _prefix_result(rows: DataFrame, keep: Sequence[str], end: int) -> DataFrame:
     cert, exact, on, open_ = F.col("p_cert"), F.col("_exact"), F.col("_run"), F.col("_open")
     return rows.select(
         *keep,
-        "p_scores",
         F.when(on, F.coalesce(cert["prefix"], F.col("p_last"))).alias("prefix_score"),
         F.when(on, F.coalesce(cert["checkpoint"], F.lit(end))).otherwise(0).alias("prefix_trees_used"),
         F.coalesce(cert["reject"], F.lit(False)).alias("shadow_reject"),
@@ -325,24 +378,36 @@ def multi_order(
 ) -> DataFrame:
     """The prefix cascade with the tree order assigned to each row's tau bin.
 
-    Every bundle is offered the same rows but only scores its own, so the input is scanned once.
+    The bundles are slots of one forest, so the plan does not grow with their number.
     """
     run = F.lit(True) if active is None else active
     rows = L.route_by_tau(df, routes, tau_edges).withColumn("_on", run)
-    base = rows.columns
+    base = [c for c in rows.columns if c != "_on"]
+    if all(b.small for b in bundles):
+        return _forest_cascade(rows, bundles, F.col("route"), F.col("_on")).drop("_on")
     for i, bundle in enumerate(bundles):
         mine = F.col("_on") & (F.col("route") == i)
-        part = prefix_cascade(rows, bundle, mine)
-        packed = F.when(mine, F.struct(*PREFIX_COLUMNS)).alias(f"_b{i}")
-        rows = part.select(*rows.columns, packed)
+        part = staged_cascade(rows, bundle, mine)
+        rows = part.select(*rows.columns, F.when(mine, F.struct(*PREFIX_COLUMNS)).alias(f"_b{i}"))
     chosen = F.coalesce(*[F.col(f"_b{i}") for i in range(len(bundles))])
-    rows = rows.select(*[c for c in base if c != "_on"], chosen.alias("_b"))
-    empty = {"prefix_score": None, "route_score": None, "shadow_reject": False, "final_reject": False, "fallback_used": False}
-    filled = [
-        (F.col(f"_b.{c}") if empty.get(c, 0) is None else F.coalesce(F.col(f"_b.{c}"), F.lit(empty.get(c, 0)))).alias(c)
-        for c in PREFIX_COLUMNS
-    ]
-    return rows.select(*[c for c in base if c != "_on"], *filled)
+    return rows.select(*base, chosen.alias("_b")).select(*base, *_filled(F.col("_b")))
+
+
+def certified(
+    df: DataFrame, bundles: Sequence[Bundle], slot: Column, run: Column, out: str, initial: Column | None = None
+) -> DataFrame:
+    """Adds ``<out>_cert`` and ``<out>_last`` of the slot of each row that runs, starting from ``initial``."""
+    if all(b.small for b in bundles) and len({b.calibration.checkpoints for b in bundles}) == 1:
+        both = forest_certify(F.when(run, F.col("features")), F.col("tau"), F.col("fold_id"), slot, slots_of(bundles), initial)
+        rows = df.withColumn("_both", both)
+        return rows.select(*df.columns, F.col("_both.cert").alias(f"{out}_cert"), F.col("_both.last").alias(f"{out}_last"))
+    rows, parts = df.withColumns({"_slot": slot, "_mine": run}), []
+    for i, bundle in enumerate(bundles):
+        mine = F.col("_mine") & (F.col("_slot") == i)
+        rows = prefix_certify(rows, bundle, mine, f"_s{i}", initial).drop(f"_s{i}_scores")
+        parts.append(F.when(mine, F.struct(F.col(f"_s{i}_cert").alias("cert"), F.col(f"_s{i}_last").alias("last"))))
+    rows = rows.withColumn("_both", F.coalesce(*parts))
+    return rows.select(*df.columns, F.col("_both.cert").alias(f"{out}_cert"), F.col("_both.last").alias(f"{out}_last"))
 
 
 def anchor_rescue(
@@ -356,26 +421,24 @@ def anchor_rescue(
     """
     run = F.lit(True) if active is None else active
     end = anchor.calibration.checkpoints[-1]
-    rows = prefix_certify(df.withColumn("_run", run), anchor, F.col("_run"), "a")
+    rows = certified(df.withColumn("_run", run), [anchor], F.lit(0), F.col("_run"), "a")
     rows = rows.withColumn("anchor", F.lit(end)).withColumn("prefix", F.col("a_last"))
     rows = L.lookup_rescue(rows, actions, defaults, tau_edges, gap_edges)
     open_ = F.col("_run") & F.col("a_cert").isNull()
     rows = rows.select(*df.columns, "_run", "a_cert", "a_last", F.when(open_, F.col("action")).alias("action"))
     plan = {t: i for i, t in enumerate(anchor.model.tree_ids)}
-    certs, used, ends = [], [], []
-    for name, bundle in ((L.REJECT_RESCUE, reject), (L.REFER_RESCUE, refer)):
-        short = "j" if name == L.REJECT_RESCUE else "f"
-        mine = F.coalesce(F.col("action") == name, F.lit(False))
-        rows = prefix_certify(rows, bundle, mine, short, F.col("a_last")).drop(f"{short}_scores")
-        stop = F.coalesce(F.col(f"{short}_cert.checkpoint"), F.lit(bundle.calibration.checkpoints[-1]))
-        places = F.array(*[F.lit(plan[t]) for t in bundle.model.tree_ids])
-        certs.append(F.when(mine, F.col(f"{short}_cert")))
-        used.append(F.when(mine, F.slice(places, F.lit(1), stop)))
-        ends.append(F.when(mine, F.coalesce(F.col(f"{short}_cert.prefix"), F.col(f"{short}_last"))))
+    names, bundles = (L.REJECT_RESCUE, L.REFER_RESCUE), (reject, refer)
+    mine = F.coalesce(F.col("action").isin(*names), F.lit(False))
+    slot = F.when(F.col("action") == names[1], 1).otherwise(0)
+    rows = certified(rows, bundles, slot, mine, "_r", F.col("a_last"))
+    orders = F.array(*[F.array(*[F.lit(plan[t]) for t in b.model.tree_ids]) for b in bundles])
+    lasts = F.array(*[F.lit(b.calibration.checkpoints[-1]) for b in bundles])
+    stop = F.coalesce(F.col("_r_cert.checkpoint"), F.get(lasts, slot))
     rows = rows.select(
-        *df.columns, "_run", "a_cert", "a_last", "action",
-        F.coalesce(*certs).alias("_r"), F.coalesce(*used).alias("_used"), F.coalesce(*ends).alias("_end"),
-    )
+        *df.columns, "_run", "a_cert", "a_last", "action", F.col("_r_cert").alias("_r"),
+        F.when(mine, F.slice(F.get(orders, slot), F.lit(1), stop)).alias("_used"),
+        F.when(mine, F.coalesce(F.col("_r_cert.prefix"), F.col("_r_last"))).alias("_end"),
+    )
     wrong = (F.col("action") == L.REJECT_RESCUE) != F.col("_r.reject")
     rows = rows.withColumn("_r_ok", F.when(~wrong, F.col("_r")))
     rows = rows.withColumn("_cert", F.coalesce("a_cert", "_r_ok"))
@@ -500,19 +563,18 @@ def dispatch_experts(
     active row fails the job.
     """
     run = F.lit(True) if active is None else active
-    known = F.col("slot_id").isin(list(range(len(experts))))
+    known = F.col("slot_id").between(0, len(experts) - 1)
     message = F.concat(F.lit("unknown dispatch slot "), F.col("slot_id").cast("string"))
     rows = df.withColumn("_run", L.fail_when(run & ~F.coalesce(known, F.lit(False)), message, run, "boolean"))
-    parts = []
-    for slot, (model, mode) in enumerate(experts):
-        if mode not in ("tau", "zero"):
-            raise ValueError(f"unsupported threshold mode: {mode}")
-        limit = F.col("tau") if mode == "tau" else F.lit(0.0)
-        mine = F.when(F.col("_run") & (F.col("slot_id") == slot), F.col("features"))
-        rows = rows.withColumn(f"_e{slot}", score_route(mine, limit, model, pinned=True))
-        parts.append(F.col(f"_e{slot}"))
-    best = F.coalesce(*parts)
-    return rows.select(
+    modes = [mode for _, mode in experts]
+    if unknown := set(modes) - {"tau", "zero"}:
+        raise ValueError(f"unsupported threshold mode: {min(unknown)}")
+    # Slots in a short list; the others keep the threshold of the row.
+    zero = F.array(*[F.lit(i) for i, mode in enumerate(modes) if mode == "zero"]).cast("array<int>")
+    limit = F.when(F.array_contains(zero, F.col("slot_id").cast("int")), F.lit(0.0)).otherwise(F.col("tau"))
+    routed = forest_route(F.when(F.col("_run"), F.col("features")), limit, F.col("slot_id"), _experts(tuple(m for m, _ in experts)))
+    best = F.col("_routed")
+    return rows.withColumn("_routed", routed).select(
         *df.columns,
         best["score"].alias("route_score"),
         F.coalesce(best["pass"], F.lit(False)).alias("reject"),
@@ -520,6 +582,11 @@ def dispatch_experts(
     )
 
 
+@lru_cache(maxsize=32)
+def _experts(models: tuple[TreeModel, ...]) -> Forest:
+    return Forest(models)
+
+
 def certify_long(df: DataFrame, bundle: Bundle) -> DataFrame:
     """Certifier outcome at every checkpoint in long form, for analysis: one row per checkpoint."""
     cps = bundle.calibration.checkpoints
@@ -528,11 +595,12 @@ def certify_long(df: DataFrame, bundle: Bundle) -> DataFrame:
     if bundle.atlas is not None:
         rows = L.attach_atlas(rows, bundle.atlas, "_cells")
     if bundle.mlp is not None:
-        rows = rows.withColumn("_splits", prefix_splits(F.col("features"), bundle.model, cps, pinned=True))
+        for k in (0, 1):
+            rows = rows.withColumn(f"_work{k}", prefix_splits(F.col("features"), bundle.model, cps, pinned=True, resolved=k == 1))
     scan = certify_scan(
         bundle, 0, len(cps), F.col("tau"), F.col("fold_id"), F.col("_s"), _f(bundle.model.base), None, F.col("_limits"),
         F.col("_cells") if bundle.atlas is not None else None,
-        F.col("_splits") if bundle.mlp is not None else None,
+        (F.col("_work0"), F.col("_work1")) if bundle.mlp is not None else None,
     )
     marks = F.array(*[F.lit(int(c)) for c in cps])
     zipped = F.arrays_zip(marks.alias("checkpoint"), F.col("_s").alias("score"), scan.alias("cert"))

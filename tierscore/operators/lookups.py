@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierscore.functions.bins import bin_by_edges, count_in_long, every_stride, float_array, guard_bins, let
+from tierscore.operators.forest import Bands, Clusters
+from tierscore.operators.forest import band_limits as band_limits_of
 from tierscore.operators.skew import is_small, last_per_key, lookup_join, salted_join
 from tierscore.session import materialise
 
@@ -82,7 +84,7 @@ def resolve_tau(
 # --- calibration bands --------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Calibration:
     """Bands per checkpoint. ``bands`` is long: ``checkpoint, fold_id, tau_bin, gap_bin, ref_hi,
     rej_lo`` with NULL fold for the global level and NULL tau bin for the fold level."""
@@ -113,6 +115,18 @@ class Calibration:
         """The resolved bands, written once so that later stages only read them."""
         return materialise(bands_by_route(self), "bands")
 
+    @cached_property
+    def tables(self) -> Bands:
+        """The bands as arrays, for tables that are small enough to send to every task."""
+        cells = last_per_key(self.bands, ["checkpoint", "fold_id", "tau_bin", "gap_bin"], ["ref_hi", "rej_lo"])
+        cells = cells.orderBy("checkpoint", "fold_id", "tau_bin", "gap_bin").toArrow()
+        rows, keys = {}, zip(*(cells[c].to_pylist() for c in ("checkpoint", "fold_id", "tau_bin")), strict=True)
+        for i, key in enumerate(keys):
+            rows.setdefault(key, []).append(i)
+        limits = [cells[c].fill_null(float("nan")).to_numpy().astype("float32") for c in ("ref_hi", "rej_lo")]
+        found = [(*key, *(v[at] for v in limits)) for key, at in rows.items()]
+        return Bands(self.checkpoints, self.gap_edges, self.tau_edges, self.folds, found)
+
     def join(self, left: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
         """Left join to a table packed from the bands, which has fewer rows than they have."""
         return left.join(F.broadcast(side), list(on), "left") if self.small else salted_join(left, side, on)
@@ -170,6 +184,9 @@ def lookup_bands(df: DataFrame, cal: Calibration) -> DataFrame:
     The most specific table that exists wins: (fold, tau bin), else fold, else global. Over the
     guard bins the larger ``ref_hi`` and the smaller ``rej_lo`` count.
     """
+    if cal.small:
+        found = band_limits_of(F.col("checkpoint"), F.col("fold_id"), F.col("tau"), F.col("gap"), cal.tables)
+        return df.withColumn("_f", found).select(*df.columns, "_f.*")
     slot = F.array_position(F.array(*[F.lit(int(c)) for c in cal.checkpoints]), F.col("checkpoint").cast("int")) - 1
     rows = attach_bands(df.withColumn("tau_bin", cal.tau_bin(F.col("tau"))), cal, "_limits")
     found = band_limits(F.get("_limits", slot.cast("int")), F.col("gap"))
@@ -226,7 +243,7 @@ class AtlasCheckpoint:
     gap_edges: tuple[float, ...] = ()
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Atlas:
     """Cluster geometry per checkpoint (a handful of numbers) and the decision cells as a table
     ``checkpoint, tau_bin, cluster_id, gap_bin, cell`` with cell 1 = refer, 2 = reject, 0 = none."""
@@ -238,6 +255,22 @@ class Atlas:
     def tau_bin(self, tau: Column) -> Column:
         return bin_by_edges(tau, self.tau_edges) if len(self.tau_edges) >= 2 else F.lit(0)
 
+    @cached_property
+    def deciding(self) -> DataFrame:
+        cells = last_per_key(self.cells, ["checkpoint", "tau_bin", "cluster_id", "gap_bin"], ["cell"])
+        return cells.where("cell > 0")
+
+    @cached_property
+    def small(self) -> bool:
+        """Whether the deciding cells are few enough to send to every task (checked once)."""
+        return is_small(self.deciding)
+
+    def tables(self, checkpoints: Sequence[int]) -> Clusters:
+        by_cp = {a.checkpoint: a for a in self.checkpoints}
+        shapes = [(a.mean, a.inv_std, a.centroids, a.gap_edges) for a in (by_cp[c] for c in checkpoints)]
+        rows = self.deciding.select("checkpoint", "tau_bin", "cluster_id", "gap_bin", "cell").collect()
+        return Clusters(checkpoints, self.tau_edges, shapes, [tuple(r) for r in rows])
+
 
 def nearest_cluster(at: AtlasCheckpoint, gap: Column, delta_prev: Column, delta_64: Column) -> Column:
     """Cluster whose centroid is nearest to the four standardised inputs; first one on a tie.

@@ -27,12 +27,15 @@ MAX_NODES = 4_000_000
 TILE_ROWS = 4096
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class TreeModel:
     """Node arrays in plan order, small enough to ship with a task.
 
     Nodes of a tree lie together, root first, and the right child follows the left one; all node
-    numbers are relative to the tree. A leaf is its own child and has a NaN threshold.
+    numbers are relative to the tree. A leaf is its own child and has a NaN threshold. ``work`` has two
+    numbers per leaf: what a row has cost that ends there, and whether its tree then counts as resolved
+    early. The node table may bring them (``evals``, ``resolved``); else they are the splits above the
+    leaf and 1 for every tree with a split.
     """
 
     name: str
@@ -48,6 +51,7 @@ class TreeModel:
     tree_ids: tuple[int, ...]
     suffix_min: np.ndarray
     suffix_max: np.ndarray
+    work: np.ndarray
 
     @property
     def n_trees(self) -> int:
@@ -70,7 +74,8 @@ class TreeModel:
     ) -> TreeModel:
         """Read a checked-size node table of one model; larger ones go to the relational scorer."""
         fields = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
-        t = nodes.select(*fields[1:]).limit(MAX_NODES + 1).orderBy("tree_id", "node_id").toArrow()
+        own_work = {"evals", "resolved"} <= set(nodes.columns)
+        t = nodes.select(*fields[1:], *(("evals", "resolved") if own_work else ())).limit(MAX_NODES + 1).orderBy("tree_id", "node_id").toArrow()
         if t.num_rows > MAX_NODES:
             raise ValueError("model too large to ship with a task: use operators.relational")
         if t.num_rows == 0:
@@ -123,6 +128,11 @@ class TreeModel:
         least = np.minimum.reduceat(np.where(leafy, leaf, np.float32(np.inf)), offset[:-1])
         most = np.maximum.reduceat(np.where(leafy, leaf, np.float32(-np.inf)), offset[:-1])
         step = (miss != left)[rows] if missing == "learned" else np.ones(len(rows), bool)
+        child = np.where(leafy, here, place[left[rows]]).astype(np.intp)
+        if own_work:
+            work = np.stack([np.where(leafy, t[c].fill_null(0).to_numpy()[rows], 0) for c in ("evals", "resolved")]).astype(np.int64)
+        else:
+            work = np.stack([_levels(child, offset), (depth > 0)[owner].astype(np.int64)])
         return cls(
             name=name,
             dim=dim,
@@ -131,15 +141,30 @@ class TreeModel:
             depth=depth,
             fidx=fidx[rows],
             thr=np.where(leafy, np.nan, t["thr"].fill_null(0).to_numpy()[rows]).astype(np.float32),
-            child=np.where(leafy, here, place[left[rows]]).astype(np.intp),
+            child=child,
             missing_step=step & ~leafy,
             leaf=leaf,
             tree_ids=tuple(plan),
             suffix_min=_suffix(least),
             suffix_max=_suffix(most),
+            work=work,
         )
 
 
+def _levels(child: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Splits above each node; nodes of a tree lie level by level, children after their parent."""
+    start = np.repeat(offset[:-1], np.diff(offset))
+    level = np.zeros(len(child), np.int64)
+    row = np.arange(len(child))
+    at = np.flatnonzero(child + start != row)
+    front = offset[:-1][child[offset[:-1]] != 0]
+    while len(front):
+        kids = np.concatenate([child[front] + start[front], child[front] + start[front] + 1])
+        level[kids] = np.concatenate([level[front], level[front]]) + 1
+        front = kids[np.isin(kids, at)]
+    return level
+
+
 def _suffix(values: np.ndarray) -> np.ndarray:
     back = np.add.accumulate(values[::-1], dtype=np.float32)[::-1]
     return np.append(back, np.float32(0))
@@ -284,18 +309,12 @@ def prefix_scores(
     return tree_prefix(features, begin_score)
 
 
-def prefix_splits(features: Column, model: TreeModel, checkpoints: Sequence[int], pinned: bool = False) -> Column:
-    """Splits evaluated up to each checkpoint: the work a row has cost so far."""
+def prefix_splits(
+    features: Column, model: TreeModel, checkpoints: Sequence[int], pinned: bool = False, resolved: bool = False
+) -> Column:
+    """The work a row has cost up to each checkpoint, or the trees that were resolved early until then."""
     cps = check_checkpoints(checkpoints, model.n_trees)
-    # Splits above a node: the walk to a leaf passes one per level.
-    level = np.zeros(len(model.child), np.int32)
-    for pos in range(model.n_trees):
-        first, last = model.offset[pos], model.offset[pos + 1]
-        child = model.child[first:last]
-        for node in range(last - first):
-            if child[node] != node:
-                level[first + child[node] : first + child[node] + 2] = level[first + node] + 1
-    counted = replace(model, leaf=level.astype(np.float32))
+    counted = replace(model, leaf=model.work[1 if resolved else 0].astype(np.float32))
 
     @batch_udf("array<int>", pinned)
     def tree_splits(batch: pa.Array) -> pa.Array:
@@ -379,6 +398,7 @@ def score_route(
         for at_rows, tile, has_nan in _tiles(x):
             live = np.arange(at_rows.start, at_rows.stop)
             thr, acc = thr_all[at_rows], begin_all[at_rows].copy()
+            here = np.ones(len(live), bool)
             for pos in range(start, model.n_trees):
                 acc += _tree_leaf(model, pos, tile, has_nan)
                 end, idx = pos + 1, -1
@@ -397,16 +417,20 @@ def score_route(
                     no = wide + float(model.suffix_max[end]) < ((thr - margin[0]) - margin[1]).astype(np.float64)
                 if yes is None:
                     continue
-                out = yes | no
+                out = (yes | no) & here
                 if out.any():
                     gone = live[out]
                     score[gone], passed[gone], visited[gone], exit_idx[gone] = acc[out], yes[out], end, idx
-                    keep = ~out
-                    live, acc, thr = live[keep], acc[keep], thr[keep]
-                    if not len(live):
+                    here &= ~out
+                    left = int(here.sum())
+                    if not left:
                         break
-                    tile = np.ascontiguousarray(tile[:, keep])
-            score[live], passed[live] = acc, acc >= thr
+                    # Decided rows walk along until half of the tile has left.
+                    if 2 * left <= len(here):
+                        live, acc, thr, tile = live[here], acc[here], thr[here], np.ascontiguousarray(tile[:, here])
+                        here = np.ones(left, bool)
+            rest = live[here]
+            score[rest], passed[rest] = acc[here], (acc >= thr)[here]
         fields = {"score": score, "pass": passed, "visited": visited, "exit_idx": exit_idx}
         return _spread_struct(fields, rows, len(batch))
 

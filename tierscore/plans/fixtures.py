@@ -148,14 +148,21 @@ def model_nodes(spark: SparkSession, name: str) -> DataFrame:
 _LOADED: dict[tuple, TreeModel] = {}
 
 
+def leaf_work(nodes: DataFrame) -> DataFrame:
+    """Work and early resolution of every leaf, by rule."""
+    t, n = F.col("tree_id"), F.col("node_id")
+    return nodes.withColumns({"evals": (t + n) % 3 + 1, "resolved": (t * 3 + n) % 2})
+
+
 def model(
-    spark: SparkSession, name: str, order: Sequence[int] | None = None, max_trees: int | None = None
+    spark: SparkSession, name: str, order: Sequence[int] | None = None, max_trees: int | None = None, work: bool = False
 ) -> TreeModel:
-    """A rule-based model, loaded once per order."""
-    key = (name, tuple(order) if order is not None else None, max_trees)
+    """A rule-based model, loaded once per order; ``work``: with the work of its leaves."""
+    key = (name, tuple(order) if order is not None else None, max_trees, work)
     if key not in _LOADED:
         dim = VEC_DIM if name.startswith("vec") else 9 if name == "l2" else 8
-        _LOADED[key] = TreeModel.load(model_nodes(spark, name), dim, order=order, max_trees=max_trees, name=name)
+        nodes = model_nodes(spark, name)
+        _LOADED[key] = TreeModel.load(leaf_work(nodes) if work else nodes, dim, order=order, max_trees=max_trees, name=name)
     return _LOADED[key]
 
 

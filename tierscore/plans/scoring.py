@@ -35,7 +35,7 @@ def tier_two(spark: SparkSession, d: str) -> DataFrame:
 
 def bundle(spark: SparkSession, kind: str = "table", order: int = 0, checkpoints=fx.CHECKPOINTS) -> X.Bundle:
     return X.Bundle(
-        fx.model(spark, "l2", fx.order(order)),
+        fx.model(spark, "l2", fx.order(order), work=kind == "mlp"),
         fx.calibration(spark, checkpoints),
         fx.atlas(spark) if kind == "atlas" else None,
         fx.mlp() if kind == "mlp" else None,
@@ -148,7 +148,7 @@ P2 = ",\n".join([BASE2, q.prefix("c2", fx.CHECKPOINTS, "p0"), "p AS (SELECT p0.*
 
 
 def _certify_sql(kind: str) -> str:
-    extra = [q.atlas_cells()] if kind == "atlas" else []
+    extra = [q.atlas_cells()] if kind == "atlas" else [q.leaf_work("c2", fx.CHECKPOINTS)] if kind == "mlp" else []
     return (
         q.with_(P2, *extra, q.certified("p", "k", kind))
         + "SELECT txn_id, checkpoint, score, CASE outcome WHEN 1 THEN 'reject' WHEN 0 THEN 'refer' ELSE 'open' END AS outcome, route_score FROM k"
@@ -212,10 +212,16 @@ def prefix_cascade(spark, d):
     return prefix_run(spark, d)
 
 
+@query("prefix_cascade_mlp", PREFIX_COLS, q.with_(P2, q.leaf_work("c2", fx.CHECKPOINTS), q.certified("p", "k", "mlp"), cascade_sql()) + "SELECT * FROM f")
+def prefix_cascade_mlp(spark, d):
+    """With the network behind the bands; its inputs count work and early resolved trees."""
+    return X.prefix_cascade(tier_two(spark, d), bundle(spark, "mlp"), F.col("active"))
+
+
 @query("prefix_cascade_atlas", PREFIX_COLS, q.with_(P2, q.atlas_cells(), q.certified("p", "k", "atlas"), cascade_sql()) + "SELECT * FROM f")
 def prefix_cascade_atlas(spark, d):
-    """With cluster cells behind the bands, one checkpoint per stage."""
-    return X.prefix_cascade(tier_two(spark, d), bundle(spark, "atlas"), F.col("active"), stage_trees=1)
+    """With cluster cells behind the bands."""
+    return X.prefix_cascade(tier_two(spark, d), bundle(spark, "atlas"), F.col("active"))
 
 
 def _multi_order_sql() -> str:

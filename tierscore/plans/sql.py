@@ -58,7 +58,7 @@ def leaves(name: str, source: str, out: str, pos: str = "t") -> str:
         )
     parts.append(
         f"""{out} AS (
-  SELECT w.txn_id, w.t, w.pos, m.leaf
+  SELECT w.txn_id, w.t, w.n, w.pos, m.leaf
   FROM (SELECT *, {pos} AS pos FROM {out}_{depth}) w JOIN nodes_{name} m ON m.t = w.t AND m.n = w.n)"""
     )
     return ",\n".join(parts)
@@ -122,6 +122,14 @@ def prefix(leaf_table: str, checkpoints: tuple[int, ...], out: str) -> str:
   GROUP BY l.txn_id, c.slot, c.checkpoint)"""
 
 
+def leaf_work(leaf_table: str, checkpoints: tuple[int, ...]) -> str:
+    """Work and early resolved trees per tree up to each checkpoint: ``wk(txn_id, checkpoint, evals, resolved)``."""
+    values = ", ".join(f"({c})" for c in checkpoints)
+    return f"""wk AS (
+  SELECT l.txn_id, c.checkpoint, sum((t + n) % 3 + 1) / c.checkpoint AS evals, sum((t * 3 + n) % 2) / c.checkpoint AS resolved
+  FROM {leaf_table} l JOIN (VALUES {values}) c(checkpoint) ON l.pos < c.checkpoint GROUP BY l.txn_id, c.checkpoint)"""
+
+
 def list_of(values) -> str:
     return "[" + ", ".join(f"{float(v)!r}" for v in values) + "]::DOUBLE[]"
 
@@ -193,6 +201,7 @@ def certified(rows: str, out: str, kind: str = "table", initial: str = "0") -> s
     AND a.cluster_id = {cluster_expr("x.gap", "x.dp", "0")}"""
         score = "WHEN a.cell = 1 THEN 0 WHEN a.cell = 2 THEN 1"
     elif kind == "mlp":
+        extra = "JOIN wk ON wk.txn_id = x.txn_id AND wk.checkpoint = x.checkpoint"
         p = mlp_expr()
         cases = []
         for cp, (ref, rej) in fx.MLP_THRESHOLDS.items():
@@ -213,12 +222,12 @@ def certified(rows: str, out: str, kind: str = "table", initial: str = "0") -> s
 
 
 def mlp_expr() -> str:
-    """Reject probability at a row of ``x(checkpoint, fold_id, tau, tau_bin, score, gap, dp)``."""
+    """Reject probability at a row of ``x(checkpoint, fold_id, tau, tau_bin, score, gap, dp)`` and ``wk(evals, resolved)``."""
     m = fx.MLP_SHAPE
     hot = [f"CASE WHEN x.checkpoint = {c} THEN 1 ELSE 0 END" for c in m["checkpoint_values"]]
     hot += [f"CASE WHEN x.fold_id = {f} THEN 1 ELSE 0 END" for f in m["fold_values"]]
     hot += [f"CASE WHEN x.tau_bin = {i} THEN 1 ELSE 0 END" for i in range(3)]
-    nums = ["x.score", "x.gap", "abs(x.gap)", "x.dp", "0", "3", "x.checkpoint / 2048e0", "1"]
+    nums = ["x.score", "x.gap", "abs(x.gap)", "x.dp", "0", "wk.evals", "x.checkpoint / 2048e0", "wk.resolved"]
     z = [f"(({v}) - {mu}) * {s}" for v, mu, s in zip(hot + nums, m["mean"], m["inv_std"])]
 
     def dot(w, b, xs):
