@@ -4,8 +4,9 @@ A run has smallest period ``q``, at least ``max(least, 2 q)`` words, and no neig
 it. Periods are solved by octaves ``[P, 2P)``, each with overlapping tiles of its own scale:
 
 1. Every tile stands around a boundary, ``reach`` words to its left and ``2P + reach`` to its right.
-   Boundaries lie so close that a run has a whole block between two of them that comes back one
-   period later; hashes of such blocks say which tiles can hold a run of the octave at all.
+   Boundaries lie so close that every run has one after which a window of ``3P/4`` words comes back one
+   period later; hashes of windows say which tiles can hold a run of the octave at all. Short octaves
+   are searched at every place instead.
 2. Those tiles are solved on their own: a Z-function to the right and one over the reversed tile tell
    for every period how far the words around the boundary agree with the words one period later.
    Stretches with a smaller period are left out by the same numbers.
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierscore.llm.common import MIX, mix, whole_text
+from tierscore.llm.common import MIX, mix, runs, whole_text
 from tierscore.session import materialise
 
 FOUND = "row bigint, doc_id bigint, n_words bigint, fragments array<struct<period:bigint,start:bigint,stop:bigint>>, text string, collapsed string"
@@ -40,24 +41,36 @@ FRAGMENT = pa.struct([("period", pa.int64()), ("start", pa.int64()), ("stop", pa
 DONE = "doc_id bigint, n_words bigint, runs array<struct<start:bigint,period:bigint,length:bigint>>, collapsed string"
 
 
-def z_function(s: list[int]) -> list[int]:
-    """For every place how many items from there on equal the first ones; 0 at place 0."""
+def _agree(s: np.ndarray, a: int, b: int) -> int:
+    """How many items from ``a`` and from ``b > a`` on are equal, compared in growing pieces."""
+    k, n, step = 0, len(s) - b, 16
+    while k < n:
+        size = min(step, n - k)
+        differ = s[a + k : a + k + size] != s[b + k : b + k + size]
+        at = int(differ.argmax())
+        if differ[at]:
+            return k + at
+        k, step = k + size, 2 * step
+    return k
+
+
+def z_function(s: np.ndarray, skipped: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """For every place how many items from there on equal the first ones; 0 at place 0.
+
+    Only places that hold the first item are walked; all others have 0. Places in the range ``skipped``
+    are not asked for; what a later one may look up must lie before it.
+    """
     n = len(s)
-    z = [0] * n
+    z = np.zeros(n, dtype=np.int64)
+    at = np.flatnonzero(s[1:] == s[:1]) + 1
     left = right = 0
-    for i in range(1, n):
-        k = 0
-        if i < right:
-            k = z[i - left]
-            if k < right - i:
-                z[i] = k
-                continue
-            k = right - i
-        while i + k < n and s[k] == s[i + k]:
-            k += 1
-        z[i] = k
-        if i + k > right:
-            left, right = i, i + k
+    for i in at[(at < skipped[0]) | (at >= skipped[1])].tolist():
+        known = min(int(z[i - left]), right - i) if i < right else 0
+        if i + known >= right:
+            if i + known < n:
+                known += _agree(s, known, i + known)
+            left, right = i, i + known
+        z[i] = known
     return z
 
 
@@ -78,98 +91,157 @@ def _part_periods(octave: int) -> np.ndarray:
     return parts[:, : max(1, int(used.max()))]
 
 
-@lru_cache(maxsize=256)
-def _block(octave: int, least: int) -> int:
-    """Distance of boundaries: every run of the octave agrees with its next period on a whole block."""
-    q = np.arange(octave, min(2 * octave, octave + least))
-    agree = int(np.maximum(least - q, q).min())
-    block = 1
-    while 4 * block - 1 <= agree:
-        block *= 2
-    return block
-
-
-def _block_hashes(words: np.ndarray) -> Callable[[int], np.ndarray]:
-    """Hashes of all stretches of a power of two of words, each from those of half the length."""
-    held = {1: mix(words.astype(np.uint64) + MIX)}
-
-    def of(block: int) -> np.ndarray:
-        size = max(k for k in held if k <= block)
-        while size < block:
-            h = held[size]
-            held[2 * size] = mix(h[:-size] * MIX + h[size:]) if len(h) > size else h[:0]
-            size *= 2
-        for small in [k for k in held if 8 < k < block]:
-            del held[small]
-        return held[block]
-
-    return of
-
-
-def _boundaries(hashes: np.ndarray, n: int, octave: int, block: int) -> np.ndarray:
-    """Boundaries whose block comes back ``octave`` to ``2 octave - 1`` words later."""
-    rows = (n - octave - block) // block + 1
-    if rows <= 0:
-        return np.empty(0, dtype=np.int64)
-    later = hashes[octave : octave + (rows - 1) * block + octave]
-    later = np.append(later, np.zeros((rows - 1) * block + octave - len(later), dtype=np.uint64))
-    item = later.itemsize
-    windows = np.lib.stride_tricks.as_strided(later, (rows, octave), (block * item, item), writeable=False)
-    found = np.zeros(rows, dtype=bool)
-    step = max(1, 4_000_000 // octave)
-    for at in range(0, rows, step):
-        own = hashes[at * block : (min(rows, at + step) - 1) * block + 1 : block]
-        found[at : at + step] = (windows[at : at + step] == own[:, None]).any(axis=1)
-    return np.flatnonzero(found) * block
-
-
-def solve_tile(words: list[int], at: int, octave: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``period, start, stop`` of the stretches around place ``at`` of a tile, for periods of the octave."""
+BASE = 0x9E3779B97F4A7C15 | 1
+FINE = 16  # octaves below are searched at every place, the others at boundaries
+SHORTEST_REACH = 256  # so that a long run of a short period needs few tiles
+
+
+class Windows:
+    """Sums of hashed words times powers of BASE: equal stretches of any length are told by one product."""
+
+    powers = np.ones(1, dtype=np.uint64)
+    inverse = np.ones(1, dtype=np.uint64)
+
+    def __init__(self, words: np.ndarray):
+        self.n = len(words)
+        if len(Windows.powers) <= self.n:
+            size = 1 << (self.n + 1).bit_length()
+            for name, base in (("powers", BASE), ("inverse", pow(BASE, -1, 1 << 64))):
+                steps = np.full(size, base, dtype=np.uint64)
+                steps[0] = 1
+                setattr(Windows, name, np.multiply.accumulate(steps))
+        self.sums = np.zeros(self.n + 1, dtype=np.uint64)
+        np.cumsum(mix(words.astype(np.uint64) + MIX) * Windows.powers[: self.n], out=self.sums[1:])
+
+    def of(self, size: int) -> np.ndarray:
+        """One number per stretch of ``size`` words; equal stretches have equal numbers."""
+        return (self.sums[size:] - self.sums[:-size]) * Windows.inverse[: self.n - size + 1]
+
+
+def _fine_returns(windows: Windows, octave: int, least: int) -> tuple[list, list, np.ndarray, int]:
+    """As ``_returns`` for a short octave: exactly where a stretch agrees long enough, every ``octave`` words."""
+    sizes = np.maximum(least - np.arange(octave, 2 * octave), np.arange(octave, 2 * octave))
+    places, periods = [], []
+    for q, size in enumerate(sizes.tolist(), octave):
+        if windows.n < q + size:
+            continue
+        own = windows.of(size)
+        at = np.flatnonzero(own[: len(own) - q] == own[q:])
+        if len(at):
+            first = np.append(True, np.diff(at) > 1)
+            at = at[(at - at[first][np.cumsum(first) - 1]) % octave == 0]
+            places.append(at)
+            periods.append(np.full(len(at), q))
+    return places, periods, sizes, octave
+
+
+def _returns(windows: Windows, octave: int, least: int) -> tuple[list, list, np.ndarray, int]:
+    """``places, periods``: where words come back ``octave`` to ``2 octave - 1`` words later.
+
+    Then the number of words that agree, per period of the octave, and the distance of the boundaries: a
+    run agrees with its next period for ``octave`` words at least, so it holds the window of a boundary.
+    """
+    if octave < FINE or octave < least:
+        return _fine_returns(windows, octave, least)
+    size, step = 3 * octave // 4, octave // 4
+    rows = (windows.n - octave - size) // step + 1
+    places, periods = [], []
+    if rows > 0:
+        own = windows.of(size)
+        later = own[octave : octave + (rows - 1) * step + octave]
+        later = np.append(later, np.zeros((rows - 1) * step + octave - len(later), dtype=np.uint64))
+        item = later.itemsize
+        ahead = np.lib.stride_tricks.as_strided(later, (rows, octave), (step * item, item), writeable=False)
+        part = max(1, 4_000_000 // octave)
+        for at in range(0, rows, part):
+            here = own[at * step : (min(rows, at + part) - 1) * step + 1 : step]
+            row, q = np.nonzero(ahead[at : at + part] == here[:, None])
+            if len(row):
+                places.append((at + row) * step)
+                periods.append(octave + q)
+    return places, periods, np.full(octave, size), step
+
+
+def solve_tile(words: np.ndarray, at: int, octave: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``period, start, stop`` of the stretches around place ``at`` of a tile, for periods of the octave.
+
+    Last, how far the words from ``at`` on agree with those one period later, for each of its periods.
+    """
     width = 2 * octave
-    after = z_function(words[at:])
-    back = words[::-1]
+    after = z_function(words[at:], (width, len(words)))
     head = words[:at][::-1]
-    before = z_function([*head, -1, *back])
+    before = z_function(np.concatenate([head, [-1], words[::-1]]), (at, at + 2 + len(words) - at - width))
     known = min(width, len(words) - at)
     ahead, behind = np.zeros((2, width), dtype=np.int64)
     ahead[:known] = after[:known]
-    d = np.arange(1, known)
-    behind[1:known] = np.asarray(before, dtype=np.int64)[at + 1 + len(words) - at - d]
-    q = np.arange(octave, width)
-    left, right = behind[octave:], ahead[octave:]
-    q_ok = (left + right >= np.maximum(least - q, q)) & (q < known)
-    if not q_ok.any():
-        return q[:0], q[:0], q[:0]
-    q, left, right, parts = q[q_ok], left[q_ok], right[q_ok], _part_periods(octave)[q_ok]
+    behind[1:known] = before[at + 1 + len(words) - at - np.arange(1, known)]
+    q, left, right = np.arange(octave, width), behind[octave:], ahead[octave:]
+    long_enough = np.flatnonzero((left + right >= np.maximum(least - q, q)) & (q < known))
+    q, left, agreed, parts = q[long_enough], left[long_enough], right[long_enough], _part_periods(octave)[long_enough]
     # A stretch of two periods that also repeats with a part of its period has a smaller one.
     need = 2 * q[:, None] - parts - left[:, None]
     smaller = (parts > 0) & (behind[parts] >= left[:, None]) & (ahead[parts] >= need)
     whole = ~smaller.any(axis=1)
-    q, left, right = q[whole], left[whole], right[whole]
-    return q, at - left, at + right + q
+    q, left, agreed = q[whole], left[whole], agreed[whole]
+    return q, at - left, at + agreed + q, right
+
+
+def _joined(pieces: list[tuple[int, int, int]]) -> np.ndarray:
+    """Columns ``period, start, stop`` of the stretches that the pieces of one document add up to."""
+    out: list[list[int]] = []
+    for period, start, stop in sorted(pieces):
+        if out and out[-1][0] == period and start <= out[-1][2] - period:
+            out[-1][2] = max(stop, out[-1][2])
+        else:
+            out.append([period, start, stop])
+    return np.array(out, dtype=np.int64).reshape(-1, 3).T
+
+
+def _inside_smaller(places: np.ndarray, periods: np.ndarray, known: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which returns only repeat a part of their period: two periods around them lie in such a stretch."""
+    out = np.zeros(len(places), dtype=bool)
+    shortest = 2 * int(periods.min())
+    for d, start, stop in _joined(known).T.tolist():
+        if stop - start >= shortest:
+            fits = (periods % d == 0) & (2 * periods <= stop - start)
+            out |= fits & (places >= start) & (places + periods <= stop)
+    return out
 
 
 def fragments(words: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """``(period, start, stop)`` of all tiles of all octaves of a document."""
+    """``(period, start, stop)`` of the tiles of all octaves of a document."""
     n, found, octave = len(words), [], 1
-    hashes, as_list = _block_hashes(words), None
+    windows = Windows(words)
     while max(least, 2 * octave) <= n:
-        block, reach = _block(octave, least), max(least, 2 * octave)
-        own = hashes(block)
-        for b in _boundaries(own, n, octave, block).tolist():
-            low, high = max(0, b - reach), min(n, b + 2 * octave + reach)
-            # Where the block returns sooner with all of the tile, only smaller periods are left.
-            sooner = np.flatnonzero(own[b + 1 : b + octave] == own[b])[:1] + 1
-            if len(sooner) and np.array_equal(words[low : high - sooner[0]], words[low + sooner[0] : high]):
-                continue
-            if as_list is None:
-                as_list = words.tolist()
-            q, start, stop = solve_tile(as_list[low:high], b - low, octave, least)
-            found += zip(q.tolist(), (start + low).tolist(), (stop + low).tolist(), strict=True)
+        places, periods, sizes, step = _returns(windows, octave, least)
+        if places:
+            places, periods = np.concatenate(places), np.concatenate(periods)
+            left = ~_inside_smaller(places, periods, found)
+            places, periods = places[left], periods[left]
+            order = np.argsort(places, kind="stable")
+            found += _solve_octave(words, places[order], periods[order] - octave, sizes, step, octave, least)
         octave *= 2
     return found
 
 
+def _solve_octave(words, places, periods, sizes, step, octave, least) -> list[tuple[int, int, int]]:
+    """Pieces of one octave; a boundary whose windows lie in what earlier tiles have seen needs no tile."""
+    n, reach, found = len(words), max(least, 2 * octave, SHORTEST_REACH) + octave, []
+    seen = np.full(octave, -1, dtype=np.int64)
+    bounds = runs(places)
+    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+        b, q = int(places[x]), periods[x:y]
+        if (seen[q] >= b + sizes[q]).all():
+            continue
+        low, high = max(0, b - reach), min(n, b + 2 * octave + reach)
+        period, start, stop, agreed = solve_tile(words[low:high], b - low, octave, least)
+        # What the tile's end cuts off is left to the last boundary whose window is still inside.
+        cut = (b + agreed + np.arange(octave, 2 * octave) == high) & (high < n)
+        seen = np.maximum(seen, b + agreed - np.where(cut, step, 0))
+        found += zip(period.tolist(), (start + low).tolist(), (stop + low).tolist(), strict=True)
+    return found
+
+
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
@@ -253,8 +325,8 @@ def periodic_runs(docs: DataFrame, least: int = 12, render: Callable[[bytes], st
     found = materialise(find_fragments(docs, least, render), "fragments")
     pieces = found.select("row", F.inline("fragments"))
     run = F.struct("start", "period", "length")
-    runs = stitch(pieces).groupBy("row").agg(F.sort_array(F.collect_list(run)).alias("runs"))
-    repeated = found.where("text is not null").select("row", "doc_id", "n_words", "text").join(runs, "row")
+    of_row = stitch(pieces).groupBy("row").agg(F.sort_array(F.collect_list(run)).alias("runs"))
+    repeated = found.where("text is not null").select("row", "doc_id", "n_words", "text").join(of_row, "row")
     repeated = repeated.select("doc_id", "n_words", "runs", "text").mapInArrow(_collapsed(render), DONE)
     none = F.array().cast("array<struct<start:bigint,period:bigint,length:bigint>>")
     clean = found.where("text is null").select("doc_id", "n_words", none.alias("runs"), "collapsed")
