@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from corpus import awkward, documents, prose
 
 from tierscore.llm import near_dups as N
@@ -90,6 +91,23 @@ def test_full_links_equal_brute_force(spark, monkeypatch):
             assert linked.get(i, i) == want[i][1]
 
 
+def test_one_id_with_several_texts_is_one_document(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (2, b), (3, a), (3, b), (5, f"{b} x"), (4, prose(3, 60)), (2, b)]
+    got = sorted(tuple(r) for r in N.near_duplicates(documents(spark, rows), shingle=4).collect())
+    assert [(i, c, k) for i, _, c, k in got] == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (5, 1, False)]
+
+
+def test_group_of_near_copies_does_not_branch(spark, monkeypatch):
+    """A group that its roots connect has no rows in deeper levels."""
+    rng, base = random.Random(3), prose(31, 200)
+    rows = [(k, edited(base, rng, 0.01)) for k in range(600)] + [(1000 + k, prose(500 + k, 50)) for k in range(50)]
+    levels = []
+    monkeypatch.setattr(N, "branches", lambda rows, *a: levels.append(rows) or pytest.fail("branched"))
+    got = N.near_duplicates(documents(spark, rows), shingle=4).collect()
+    assert {r.component_id for r in got if r.doc_id < 1000} == {0} and not levels
+
+
 def test_star_of_separately_edited_copies(spark):
     rng, words = random.Random(9), [f"w{k}" for k in range(300)]
     rows = [(0, " ".join(words))]

@@ -1,24 +1,29 @@
 """Near-duplicate documents by a chosen-path set similarity join, confirmed on full shingle sets.
 
 A document's set holds its distinct shingles of ``shingle`` words (lower-case A-Z, ASCII white space).
-Equal sets are one class, stood for by its smallest id; classes are joined:
+Equal sets are one class, numbered by their digest; classes are joined:
 
 1. Every class gets minwise tokens. ``trees`` independent trees start at the root by one token each,
    now and then two, so that a pair at the threshold is expected to survive as one path.
-2. A node with at most ``node_limit`` classes is compared exhaustively. A larger node is compared in
-   random blocks and branches again by tokens that its path chooses; deeper nodes hold ever more
-   alike classes. The rows of a level never outgrow the level before by more than a quarter.
-3. Comparing means estimating on the tokens with a margin. Small nodes and some blocks of large ones
-   first give a spanning forest of their likely pairs; these are confirmed on full sets and joined to
-   components.
+2. The classes of a root are compared: in one block if there are at most ``node_limit``, else in random
+   blocks. Comparing means estimating on the tokens with a margin. A spanning forest of the likely
+   pairs of each block is confirmed on full sets, and the links give components.
+3. Nodes whose classes are all in one component are done. The large ones of the rest branch again by
+   tokens that their path chooses, level by level; deeper nodes hold ever more alike classes, and the
+   rows of a level never outgrow the level before by more than a quarter. Their blocks are settled
+   like those of the roots.
 4. A node that is still large at the deepest level is compared in full on full sets: its classes
-   outside the node's largest component against all of the node, block against block across tasks.
-5. Then every likely pair between different components, of all nodes, is confirmed as well. Pairs
-   inside a component change nothing.
+   outside the node's largest component against all of the node, block against block across tasks. So
+   is a large root node of which at most ``node_limit`` classes are still outside.
 
-Ids are expected to name one text. Rows with null ids are linked with nothing and kept; null or empty
-texts have empty sets and are linked with nothing; repeated rows get equal results; an empty table
-gives no rows; extra columns are ignored.
+A small node whose forest was not confirmed as a whole is compared again: all its likely pairs between
+different components are confirmed. Pairs inside a component change nothing. Every class asks one
+partner at first, so a text is sent about once, whatever the number of trees that propose its pairs.
+
+Rows with null ids are linked with nothing and kept; null or empty texts have empty sets and are linked
+with nothing; repeated rows get equal results; rows with one id and different texts are one document,
+linked with whatever one of its texts is linked with; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,50 +40,59 @@ from tierscore.llm.components import components
 from tierscore.session import materialise
 
 SKETCH = 64
-SIGNED = "doc_id bigint, digest binary, n_shingles bigint, roots array<int>, sketch binary"
+SIGNED = "doc_id bigint, digest binary, n_shingles bigint, roots array<bigint>, sketch binary"
 BLOCK_CLASSES = 4_096  # of a block of a large node, or
 BLOCK_SHINGLES = 1_000_000
 TILE = 512
 SURVIVE = 4  # at a similarity of 0.8 a path splits one time in four: 0.8 * 1.25 = 1
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    import hashlib
+
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _shingles(number: WordHash, text: str, size: int) -> np.ndarray:
     return shingle_hashes(number.of(ascii_words(text)), size)
 
 
-def minwise(sets: list[np.ndarray], count: int) -> np.ndarray:
-    """``count`` minwise tokens of 32 bits for each non-empty set."""
+def minwise(sets: list[np.ndarray], roots: int, sketch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minwise tokens of each non-empty set: ``roots`` of 64 bits, which name their shingle, and ``sketch`` of 8."""
     flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    seeds = mix(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out = np.empty((len(sets), count), dtype=np.uint32)
+    seeds = mix(np.arange(1, 2 * (roots + sketch) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    named = np.empty((len(sets), roots), dtype=np.uint64)
+    short = np.empty((len(sets), sketch), dtype=np.uint8)
+    low = flat & np.uint64(0xFFFFFFFF)
     with np.errstate(over="ignore"):
-        for j in range(count):
-            values = ((flat ^ seeds[2 * j]) * (seeds[2 * j + 1] | np.uint64(1))) >> np.uint64(32)
-            out[:, j] = np.minimum.reduceat(values.astype(np.uint32), starts)
-    return out
+        for j in range(roots + sketch):
+            values = (flat ^ seeds[2 * j]) * (seeds[2 * j + 1] | np.uint64(1))
+            if j < roots:
+                # The least of many values is small; the shingle itself keeps strangers apart.
+                named[:, j] = np.minimum.reduceat(values >> np.uint64(32) << np.uint64(32) | low, starts)
+            else:
+                short[:, j - roots] = np.minimum.reduceat((values >> np.uint64(32)).astype(np.uint32), starts)
+    return named, short
 
 
 def sign(docs: DataFrame, shingle: int, roots: int) -> DataFrame:
     """SIGNED rows of all documents; an empty set has no digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         number = WordHash()
 
         def emit(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             full = [i for i, s in enumerate(sets) if len(s)]
             rows, sketches, digests = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if full:
-                tokens = minwise([sets[i] for i in full], roots + SKETCH)
-                low = tokens[:, roots:].astype(np.uint8)
+                named, short = minwise([sets[i] for i in full], roots, SKETCH)
                 for k, i in enumerate(full):
-                    rows[i] = tokens[k, :roots].view(np.int32).tolist()
-                    sketches[i] = low[k].tobytes()
-                    digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                    rows[i] = named[k].view(np.int64).tolist()
+                    sketches[i] = short[k].tobytes()
+                    digests[i] = _digest(sets[i])
             sizes = [len(s) for s in sets]
             columns = [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())]
-            columns += [pa.array(rows, pa.list_(pa.int32())), pa.array(sketches, pa.binary())]
+            columns += [pa.array(rows, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_shingles", "roots", "sketch"])
 
         ids, sets, size = [], [], 0
@@ -115,45 +129,61 @@ def _branch(big: DataFrame) -> DataFrame:
     return big.select(F.explode(nodes).alias("node"), "rep", "sketch", "n")
 
 
-def tree_nodes(classes: DataFrame, roots: int, node_limit: int, levels: int) -> DataFrame:
-    """``node, block, rep, sketch, n, probe, large`` of all nodes that are compared, of all trees and levels.
-
-    ``large``: the node is too large for one block and branches no further.
-    """
+def root_nodes(classes: DataFrame, roots: int) -> DataFrame:
+    """``node, rep, sketch, n, members`` of the roots of all trees that hold more than one class."""
     keys = F.transform("roots", lambda token, at: F.xxhash64(at, token))
     first = _counted(classes.select("rep", F.explode(keys).alias("node")))
-    rows = materialise(first.join(classes.select("rep", "sketch", "n"), "rep").select("node", "rep", "sketch", "n", "members"), "nodes")
+    rows = first.join(classes.select("rep", "sketch", "n"), "rep").select("node", "rep", "sketch", "n", "members")
+    return materialise(rows, "nodes")
+
+
+def in_blocks(rows: DataFrame, node_limit: int, level: int) -> DataFrame:
+    """``node, block, rep, sketch, n, whole``: nodes of one level, the large ones in random blocks."""
+    block = F.pmod(F.xxhash64("rep", "node", F.lit(level)), F.ceil(F.col("members") / node_limit))
+    whole = (F.col("members") <= node_limit).alias("whole")
+    return rows.select(F.xxhash64("node", F.lit(level)).alias("node"), block.alias("block"), "rep", "sketch", "n", whole)
+
+
+def with_components(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Adds ``comp``, the component of ``rep``, itself where it has no link yet."""
+    if found is None:
+        return rows.withColumn("comp", F.col("rep"))
+    named = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    return named.withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def unsettled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the groups that hold more than one component."""
+    open_ = rows.groupBy(*keys).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
+    return rows.join(open_.select(*keys), keys, "left_semi")
+
+
+def branches(rows: DataFrame, node_limit: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of all levels below ``rows`` (large nodes), and the nodes that stay large to the end."""
     found = None
-    for level in range(levels + 1):
-        blocks = F.ceil(F.col("members") / node_limit)
-        block = F.pmod(F.xxhash64("rep", "node", F.lit(level)), blocks)
-        # Random blocks of a few large nodes are enough to connect what is alike throughout.
-        probe = (F.col("members") <= node_limit) | (F.pmod(F.xxhash64("node"), F.lit(4)) == 0) & F.lit(level == 0)
-        large = (F.col("members") > node_limit) & F.lit(level == levels)
-        compared = rows.select(
-            F.xxhash64("node", F.lit(level)).alias("node"), block.alias("block"), "rep", "sketch", "n", probe.alias("probe"), large.alias("large")
-        )
-        found = compared if found is None else found.unionByName(compared)
-        big = rows.where(F.col("members") > node_limit)
-        if level == levels or big.isEmpty():
+    for level in range(1, levels + 1):
+        rows = materialise(_counted(_branch(rows)).select("node", "rep", "sketch", "n", "members"), "nodes")
+        blocks = in_blocks(rows, node_limit, level)
+        found = blocks if found is None else found.unionByName(blocks)
+        rows = rows.where(F.col("members") > node_limit)
+        if level < levels and rows.isEmpty():
             break
-        rows = materialise(_counted(_branch(big)).select("node", "rep", "sketch", "n", "members"), "nodes")
-    return found
+    return found, rows
+
+
+PAIRS = "node bigint, block bigint, a bigint, b bigint, same int"
 
 
-def likely_pairs(nodes: DataFrame, share: float, margin: float, forest: bool) -> DataFrame:
-    """``a, b`` of likely pairs in the same block, and whether a node to probe has the pair.
+def likely_pairs(blocks: DataFrame, share: float, margin: float, forest: bool) -> DataFrame:
+    """PAIRS of different ``comp`` that are likely in a block: a spanning forest of its components, or all.
 
-    ``forest``: only a spanning forest of each block, the likeliest pairs first; otherwise all pairs
-    of different ``comp``, a column of ``nodes``.
+    The forest takes the likeliest pairs first. ``same`` counts the tokens that agree.
     """
     need = int(SKETCH * (share - margin))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["node", "block"]):
-            cols = {n: t.column(n).to_numpy(zero_copy_only=False) for n in ("node", "block", "rep", "n")}
-            comp = cols["rep"] if forest else t.column("comp").to_numpy(zero_copy_only=False)
-            probe = t.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+            cols = {n: t.column(n).to_numpy(zero_copy_only=False) for n in ("node", "block", "rep", "n", "comp")}
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
             bounds = runs(cols["node"], cols["block"])
             sizes = np.diff(bounds)
@@ -166,61 +196,73 @@ def likely_pairs(nodes: DataFrame, share: float, margin: float, forest: bool) ->
                     a = (base[:, None] + left).ravel()
                     b = (base[:, None] + right).ravel()
                     n_a, n_b = cols["n"][a], cols["n"][b]
-                    keep = np.minimum(n_a, n_b) >= share * np.maximum(n_a, n_b) - 1e-9
-                    if not forest:
-                        keep &= comp[a] != comp[b]
+                    keep = (np.minimum(n_a, n_b) >= share * np.maximum(n_a, n_b) - 1e-9) & (cols["comp"][a] != cols["comp"][b])
                     a, b = a[keep], b[keep]
                     same = (sketch[a] == sketch[b]).sum(axis=1)
                     likely = same >= need
                     a, b, same = a[likely], b[likely], same[likely]
                     if forest and m > 2 and len(a):
-                        a, b = _forest(a, b, same)
+                        kept = _forest(np.stack([a, b]), _parts(cols["comp"], base, m), same)
+                        a, b, same = a[kept], b[kept], same[kept]
                     if len(a):
                         x, y = cols["rep"][a], cols["rep"][b]
-                        low, high = pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())
-                        yield pa.RecordBatch.from_arrays([low, high, pa.array(probe[a])], names=["a", "b", "probe"])
+                        columns = [cols["node"][a], cols["block"][a], np.minimum(x, y), np.maximum(x, y), same.astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "block", "a", "b", "same"])
 
-    dealt = nodes.repartition("node", "block").sortWithinPartitions("node", "block")
-    found = dealt.mapInArrow(run, "a bigint, b bigint, probe boolean").where("a <> b")
-    return found.groupBy("a", "b").agg(F.max("probe").alias("probe"))
+    dealt = blocks.repartition("node", "block").sortWithinPartitions("node", "block")
+    return dealt.mapInArrow(run, PAIRS).where("a <> b")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parent: dict[int, int] = {}
+def _parts(comp: np.ndarray, starts: np.ndarray, m: int) -> dict[int, int]:
+    """Rows of the blocks at ``starts`` to the first row of their component in the block."""
+    parts = {}
+    for start in starts.tolist():
+        first: dict[int, int] = {}
+        for row in range(start, start + m):
+            parts[row] = first.setdefault(int(comp[row]), row)
+    return parts
 
+
+def _forest(pairs: np.ndarray, parent: dict[int, int], weight: np.ndarray) -> list[int]:
     def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
     kept = []
     for i in np.argsort(-weight, kind="stable").tolist():
-        x, y = root(int(a[i])), root(int(b[i]))
+        x, y = root(int(pairs[0, i])), root(int(pairs[1, i]))
         if x != y:
             parent[x] = y
             kept.append(i)
-    return a[kept], b[kept]
+    return kept
+
+
+PARTNERS = 500  # of a class in one task
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union.
 
-    The partners of a class stream past its own set, which comes first; a class has at most a block of
-    partners for every path, so no key is unbounded.
+    The partners of a class stream past its own set, which comes first; a class with many partners
+    meets them in several tasks.
     """
-    partners = pairs.join(texts.select(F.col("rep").alias("b"), "text"), "b").select("a", "b", "text")
-    own = texts.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
-    rows = partners.unionByName(own.select(F.col("rep").alias("a"), F.lit(None).cast("bigint").alias("b"), "text"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("tasks"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("task"))
+    dealt = materialise(dealt, "asked")
+    partners = dealt.join(texts.select(F.col("rep").alias("b"), "text"), "b").select("a", "task", "b", "text")
+    own = dealt.select(F.col("a").alias("rep"), "task").distinct().join(texts, "rep")
+    rows = partners.unionByName(own.select(F.col("rep").alias("a"), "task", F.lit(None).cast("bigint").alias("b"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, current, mine = WordHash(), None, None
         for batch in batches:
             out = []
-            for a, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, task, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 theirs = _shingles(number, text, shingle)
                 if b is None:
-                    current, mine = a, theirs
-                elif a == current:
+                    current, mine = (a, task), theirs
+                elif (a, task) == current:
                     both = len(np.intersect1d(mine, theirs, assume_unique=True))
                     if 100 * both >= percent * (len(mine) + len(theirs) - both):
                         out.append((a, b))
@@ -228,8 +270,98 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                 [pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"]
             )
 
-    dealt = rows.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    placed = rows.repartition("a", "task").sortWithinPartitions("a", "task", F.col("b").asc_nulls_first())
+    return placed.mapInArrow(run, "a bigint, b bigint")
+
+
+class Join:
+    """Links and components so far; settles blocks of classes with their help."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, shingle: int, percent: int, margin: float):
+        self.classes, self.shingle, self.percent, self.margin = classes, shingle, percent, margin
+        self.source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+        self.links: DataFrame | None = None
+        self.found: DataFrame | None = None
+
+    @property
+    def share(self) -> float:
+        return self.percent / 100
+
+    def texts_of(self, reps: DataFrame) -> DataFrame:
+        """``rep, text``: a text of each class, read under its smallest id."""
+        wanted = self.classes.join(reps, "rep", "left_semi").select("rep", "low", "digest", "mixed")
+        rows = materialise(self.source.join(wanted, F.col("doc_id") == F.col("low")).select("rep", "digest", "mixed", "text"), "texts")
+        plain = rows.where("not mixed").select("rep", "text")
+        of_set = rows.where("mixed").mapInArrow(self._of_digest(), "rep bigint, text string")
+        return plain.unionByName(of_set).dropDuplicates(["rep"])
+
+    def _of_digest(self):
+        """Texts that have the set of their class, for ids with several texts."""
+        size = self.shingle
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = WordHash()
+            for batch in batches:
+                sets = [_shingles(number, t.as_py(), size) for t in batch.column("text")]
+                same = [bool(len(s)) and _digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
+                yield batch.select(["rep", "text"]).filter(pa.array(same, pa.bool_()))
+
+        return run
+
+    def add(self, links: DataFrame) -> None:
+        links = materialise(links, "links")
+        if not links.isEmpty():
+            self.links = links if self.links is None else self.links.unionByName(links)
+            self.found = materialise(components(self.links), "components")
+
+    def _apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of different components, with these."""
+        named = with_components(pairs.withColumnRenamed("a", "rep"), self.found).withColumnsRenamed({"rep": "a", "comp": "comp_a"})
+        named = with_components(named.withColumnRenamed("b", "rep"), self.found).withColumnsRenamed({"rep": "b", "comp": "comp_b"})
+        return named.where("comp_a <> comp_b")
+
+    def ask(self, pairs: DataFrame) -> DataFrame:
+        """Confirm pairs as far as they can still change a component; the pairs that are no links.
+
+        First every class asks its likeliest partner of a smaller id, then every two components that are still apart
+        ask once, then all that is left is asked.
+        """
+        pairs = materialise(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
+        ends = [pairs.select(F.col(c).alias("rep")) for c in ("a", "b")]
+        texts = self.texts_of(materialise(ends[0].unionByName(ends[1]).distinct(), "wanted"))
+        asked = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
+        rest = pairs
+        for step in range(3):
+            asked = materialise(asked, "asked")
+            if asked.isEmpty():
+                break
+            self.add(confirm(asked, texts, self.shingle, self.percent))
+            rest = materialise(self._apart(rest.join(asked, ["a", "b"], "left_anti")).select("a", "b", "same"), "rest")
+            asked = rest.select("a", "b")
+            if step == 0:
+                ways = self._apart(rest).select("a", "b", "same", F.least("comp_a", "comp_b").alias("x"), F.greatest("comp_a", "comp_b").alias("y"))
+                best = ways.groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p"))
+                asked = best.select("p.*")
+        return self._apart(pairs)
+
+    def settle(self, blocks: DataFrame) -> None:
+        """Find the links between components that meet in the blocks ``node, block, rep, sketch, n, whole``."""
+        keys = ["node", "block"]
+        rows = blocks if self.found is None else unsettled(with_components(blocks, self.found), keys)
+        rows = rows if "comp" in rows.columns else with_components(rows, None)
+        pairs = materialise(likely_pairs(rows, self.share, self.margin, True), "pairs")
+        if pairs.isEmpty():
+            return
+        refused = self.ask(pairs.select("a", "b", "same")).select("a", "b")
+        doubtful = materialise(pairs.join(refused, ["a", "b"], "left_semi").select(*keys).distinct(), "doubtful")
+        if doubtful.isEmpty():
+            return
+        # Random blocks of large nodes only connect what is alike throughout; their nodes branch on.
+        again = unsettled(with_components(blocks.where("whole").join(doubtful, keys, "left_semi"), self.found), keys)
+        more = likely_pairs(again, self.share, self.margin, False).join(refused, ["a", "b"], "left_anti")
+        more = materialise(more.select("a", "b", "same"), "pairs")
+        if not more.isEmpty():
+            self.ask(more)
 
 
 def _meetings(large: DataFrame) -> DataFrame:
@@ -365,45 +497,51 @@ def near_duplicates(
     ``margin``: four standard deviations of the estimate on SKETCH tokens.
     """
     roots = trees + trees // SURVIVE
-    signed = materialise(sign(docs, shingle, roots), "signed")
+    signed = materialise(sign(docs, shingle, roots).withColumn("rep", F.xxhash64("digest")), "signed")
     full = signed.where("doc_id is not null and digest is not null")
-    classes = full.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")
-    )
-    classes = materialise(classes, "classes")
-    nodes = tree_nodes(classes, roots, node_limit, levels)
-    first = materialise(likely_pairs(nodes, percent / 100, margin, True), "pairs")
-    wanted = first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).distinct()
-    wanted = materialise(wanted, "wanted")
-    source = docs.select(F.col("doc_id").cast("bigint").alias("rep"), whole_text().alias("text"))
-
-    def texts_of(reps: DataFrame) -> DataFrame:
-        return materialise(source.join(reps, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
-
-    texts = texts_of(wanted)
-    probes = first.where("probe").select("a", "b")
-    links = materialise(confirm(probes, texts, shingle, percent), "links")
-    found = components(links)
-    large = nodes.where("large").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    large = large.select("node", "rep", "sketch", "n", F.coalesce("component", "rep").alias("comp"))
-    met = materialise(_with_partners(_meetings(large), percent / 100, margin), "met")
-    if not met.isEmpty():
-        full = materialise(full_links(met, texts_of(met.select("rep").distinct()), shingle, percent), "links")
-        links = links.unionByName(full)
-        found = materialise(components(links), "components")
-    named = nodes.join(wanted, "rep", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    rest = likely_pairs(named, percent / 100, margin, False).join(probes, ["a", "b"], "left_anti").select("a", "b")
-    more = materialise(confirm(materialise(rest, "pairs"), texts, shingle, percent), "links")
-    if not more.isEmpty():
-        found = materialise(components(links.unionByName(more)), "components")
-    owner = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    owner = owner.select("digest", F.coalesce("component", "rep").alias("component_id"))
-    joined = signed.select("doc_id", "n_shingles", "digest").join(owner, "digest", "left")
+    several = full.groupBy("doc_id").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other")
+    several = materialise(several.select("doc_id", "one"), "several")
+    first = [F.first(c).alias(c) for c in ("roots", "sketch")]
+    classes = full.groupBy("rep", "digest").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), *first)
+    mixed = several.select(F.col("doc_id").alias("low"), F.lit(True).alias("mixed"))
+    classes = materialise(classes.join(mixed, "low", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))), "classes")
+    joined = Join(docs, classes, shingle, percent, margin)
+    joined.add(full.join(several, "doc_id").where("rep <> one").select(F.col("one").alias("a"), F.col("rep").alias("b")).distinct())
+    top = root_nodes(classes, roots)
+    joined.settle(in_blocks(top, node_limit, 0))
+    large = unsettled(with_components(top.where(F.col("members") > node_limit), joined.found), ["node"])
+    large = materialise(large.drop("comp"), "nodes")
+    if not large.isEmpty():
+        blocks, left = branches(large, node_limit, levels)
+        joined.settle(blocks)
+        _compare_large(joined, left)
+        _compare_large(joined, almost_settled(joined, large, node_limit))
+    owner = with_components(classes.select("rep", "low"), joined.found)
+    least = owner.groupBy("comp").agg(F.min("low").alias("component_id"))
+    rows = signed.select("doc_id", "n_shingles", "rep", "digest")
+    named = owner.join(least, "comp").select("rep", "component_id")
+    rows = rows.withColumn("rep", F.when(F.col("digest").isNotNull(), F.col("rep"))).join(named, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select(
+    return rows.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def almost_settled(joined: Join, large: DataFrame, node_limit: int) -> DataFrame:
+    """Large root nodes with few classes outside their largest component: these can meet all of the node."""
+    rows = with_components(large, joined.found)
+    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("c"))
+    nodes = sizes.groupBy("node").agg((F.sum("c") - F.max("c")).alias("others")).where(F.col("others").between(1, node_limit))
+    return rows.join(nodes.select("node"), "node", "left_semi")
+
+
+def _compare_large(joined: Join, left: DataFrame) -> None:
+    """Links on full sets between the components of nodes that stayed large."""
+    rows = unsettled(with_components(left, joined.found), ["node"]).select("node", "rep", "sketch", "n", "comp")
+    met = materialise(_with_partners(_meetings(rows), joined.share, joined.margin), "met")
+    if not met.isEmpty():
+        texts = joined.texts_of(met.select("rep").distinct())
+        joined.add(full_links(met, texts, joined.shingle, joined.percent))
