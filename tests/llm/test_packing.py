@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from corpus import awkward, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,11 +61,27 @@ def check(rows, got, capacity):
 
 def test_all_rows_packed_without_gaps(spark):
     rows = awkward()
-    for options in ({}, {"capacity": 128, "block": 16, "passed": 4, "fan_in": 2}):
+    for options in ({}, {"capacity": 128, "block": 16, "node_bins": 20}):
         df = packing.pack(documents(spark, rows).repartition(7), **options)
         used, tokens = check(rows, df.collect(), options.get("capacity", 2048))
         assert used <= 1.1 * -(-tokens // options.get("capacity", 2048)) + 1
 
 
+@pytest.mark.parametrize("options", [{}, {"node_bins": 200}, {"node_pieces": 150}])
+def test_complements_in_different_tasks_meet(spark, tmp_path, options):
+    """One scan task holds only long documents, the other only short ones that complete them."""
+    codec = Codec(vocabulary())
+    text = lambda n: "a" * 1 + " a" * (n - 2)
+    assert len(codec.ids(text(38))) + 1 == 38
+    parts = [[(1000 * p + i, text(n)) for i in range(900)] for p, n in enumerate((38, 25))]
+    for part in parts:
+        documents(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert docs.rdd.getNumPartitions() == 2
+    used, _ = check(parts[0] + parts[1], packing.pack(docs, capacity=64, slack=1, **options).collect(), 64)
+    alone, _ = check(parts[0] + parts[1], packing.pack(docs.coalesce(1), capacity=64, slack=1).collect(), 64)
+    assert alone == 900 and used <= 1.01 * alone
+
+
 def test_empty_table(spark):
     assert packing.pack(documents(spark, [])).count() == 0

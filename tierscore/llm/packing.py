@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 Every scan task packs its own pieces by best fit (largest first). Bins that are nearly full leave at
-once; the others rise through a tree of tasks, where whole bins are the items of further best-fit
-rounds. After a best-fit pass at most one bin is half empty, so a task passes on only that one and
-the emptiest of the rest: what a node receives is bounded by its children, not by the data. Bins that
-are not passed on are sequences as they stand; nothing is dropped.
+once; all others rise to the nodes of a tree, where whole bins are the items of further best-fit rounds
+(or their pieces, where that needs fewer bins). A level has as many nodes as its bins need to stay within
+``node_bins`` and ``node_pieces`` each; bins are dealt by hash, so every node gets a sample of all fills, and
+what one scan task could not complete meets its complements from the others. A level that is one node is
+the root; levels of several nodes follow each other, dealt anew, until they stop saving bins.
 
 Null texts count as empty, null and repeated ids keep their rows, an empty table gives no rows and
 extra columns are ignored.
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscore.llm.common import whole_text
+from tierscore.llm.common import runs, whole_groups, whole_text
 from tierscore.llm.tokens import Codec, vocabulary
 from tierscore.session import materialise
 
@@ -120,7 +121,7 @@ def _leaf(files: tuple[str, str], end_id: int, capacity: int, slack: int, block:
     return run
 
 
-def _merge(capacity: int, slack: int, passed: int):
+def _merge(capacity: int, slack: int):
     """One level of the tree: rows of a node, best-fit as whole bins, or piece by piece if that needs fewer."""
 
     def node_rows(node: int, bins: list[dict]) -> list[tuple]:
@@ -128,17 +129,14 @@ def _merge(capacity: int, slack: int, passed: int):
         whole = pack_rows([(b["fill"], m) for b, m in zip(bins, members, strict=True)], capacity)
         loose = pack_rows([(m[3], [(*m[:5], 0)]) for inner in members for m in inner], capacity)
         best = loose if len(loose) < len(whole) else whole
-        rows = [_flat_bin(node, b["bin"], parts, capacity, slack) for b, parts in zip(bins, best, strict=False)]
-        rows.sort(key=lambda r: (r[3], r[2]))
-        return [r if i < passed and not r[3] else (*r[:3], True, r[4]) for i, r in enumerate(rows)]
+        return [_flat_bin(node, b["bin"], parts, capacity, slack) for b, parts in zip(bins, best, strict=False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[dict]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["node"], []).append(row)
-        for node in sorted(held):
-            yield from _batches(node_rows(node, sorted(held[node], key=lambda r: r["bin"])))
+        for t in whole_groups(batches, ["node"], 1):
+            bounds = runs(t.column("node").to_numpy())
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                bins = t.slice(lo, hi - lo).to_pylist()
+                yield from _batches(node_rows(bins[0]["node"], bins))
 
     return run
 
@@ -150,39 +148,35 @@ def pack(
     end_id: int = 0,
     slack: int = 8,
     block: int = 65_536,
-    fan_in: int = 16,
-    passed: int = 256,
+    node_bins: int = 4_096,
+    node_pieces: int = 200_000,
+    least_gain: float = 0.001,
 ) -> DataFrame:
     """Pieces of all documents with their sequence and place: MEMBER columns and ``sequence_id``.
 
     ``slack``: a bin with less room than this is full. ``block``: pieces a task packs at a time.
-    ``passed``: underfull bins that a task hands to the next level, the emptiest first.
+    ``least_gain``: share of its bins that a level must save for another one to follow.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     bins = materialise(rows.mapInArrow(_leaf(files or vocabulary(), end_id, capacity, slack, block), BINS), "bins")
-    done = [bins.where("full")]
-    open_bins, first = bins.where("not full"), True
-    nodes = open_bins.agg(F.max("node")).first()[0]
-    while nodes is not None:
-        # The emptiest bins of a leaf rise; a leaf that holds more keeps the others as they are.
-        if first:
-            rank = F.row_number().over(_emptiest())
-            ranked = open_bins.withColumn("rank", rank)
-            done.append(ranked.where(F.col("rank") > passed).drop("rank"))
-            open_bins, first = ranked.where(F.col("rank") <= passed).drop("rank"), False
-        last = nodes < fan_in
-        level = open_bins.withColumn("node", F.floor(F.col("node") / fan_in).cast("bigint"))
-        level = level.repartition(max(1, nodes // fan_in + 1), "node") if nodes >= fan_in else level.coalesce(1)
-        merged = materialise(level.mapInArrow(_merge(capacity, slack, 0 if last else passed), BINS), "bins")
-        done.append(merged.where("full"))
-        open_bins, nodes = merged.where("not full"), None if last else nodes // fan_in
-    every = done[0]
-    for d in done[1:]:
+    done, level = [], 0
+    while True:
+        done.append(bins.where("full"))
+        open_bins = bins.where("not full")
+        count, tokens, pieces = open_bins.agg(F.count("*"), F.sum("fill"), F.sum(F.size("members"))).first()
+        # Nothing to save where the bins are as few as their tokens need.
+        if count <= -(-(tokens or 0) // capacity):
+            break
+        nodes = max(1, -(-count // node_bins), -(-pieces // node_pieces))
+        dealt = open_bins.withColumn("node", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(nodes)))
+        dealt = dealt.repartition(nodes, "node").sortWithinPartitions("node", "bin")
+        bins = materialise(dealt.mapInArrow(_merge(capacity, slack), BINS), "bins")
+        left, level = bins.count(), level + 1
+        if nodes == 1 or count - left < least_gain * count:
+            done.append(bins.where("full"))
+            open_bins = bins.where("not full")
+            break
+    every = open_bins
+    for d in done:
         every = every.unionByName(d)
     return every.select(F.col("bin").alias("sequence_id"), F.inline("members"))
-
-
-def _emptiest():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("node").orderBy("fill", "bin")
