@@ -25,3 +25,12 @@ def test_survivors_are_scored_once(spark, sf_dir):
     plan = final_plan(C.l1_survivors(rows).select("txn_id", "l1.score"))
     assert plan.count("ArrowEvalPython [") == 1
     assert C.l1_survivors(rows).count() == rows.where("NOT l1.pass").count()
+
+
+def test_summaries_walk_the_trees_once(spark, sf_dir):
+    from tierscore.operators import stats as A
+    from tierscore.plans.scoring import prefix_run
+
+    for summary in (A.prefix_stats, A.prefix_summary):
+        plan = summary(prefix_run(spark, sf_dir), 16)._jdf.queryExecution().executedPlan().toString()
+        assert "Arrow" not in plan and "counted-" in plan

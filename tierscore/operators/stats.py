@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tierscore.functions.scalars import OTHER_BUCKET, decision_bucket
 from tierscore.operators.skew import order_statistics
+from tierscore.session import materialise
 
 
 def nearest_rank(q: float) -> Callable[[Column], Column]:
@@ -52,11 +53,12 @@ ROWS = "_rows"
 
 
 def counted(df: DataFrame, by: Sequence[str | Column]) -> DataFrame:
-    """Rows per combination of small columns, in ``ROWS``.
+    """Rows per combination of small columns, in ``ROWS``, written once.
 
-    Everything a summary needs comes from this one small aggregate.
+    Everything a summary needs comes from this one small table, so the trees are walked once however
+    often it is read.
     """
-    return df.groupBy(*by).agg(F.count("*").alias(ROWS))
+    return materialise(df.groupBy(*by).agg(F.count("*").alias(ROWS)), "counted")
 
 
 def _rows(when: Column | None = None, value: Column | None = None) -> Column:
@@ -155,9 +157,15 @@ def interval_stats(df: DataFrame) -> DataFrame:
     return _attach(stats, p99.withColumnRenamed("p99", "exact_p99_visits"), ())
 
 
-def prefix_stats(df: DataFrame, n_trees: int) -> DataFrame:
-    """Summary of a prefix run over active rows."""
-    small = counted(df, ["active", "shadow_reject", "final_reject", "fallback_used", "prefix_trees_used", "exact_visits"])
+PREFIX_KEYS = ("active", "shadow_reject", "final_reject", "fallback_used", "prefix_trees_used", "exact_visits")
+# Columns a run may have besides: its checkpoints, router, rescue and known answer.
+MORE_KEYS = (
+    "direct_checkpoint", "fallback_entry_checkpoint", "route", "route_tau_bin", "anchor_checkpoint", "rescue_checkpoint",
+    "rescue_route", "exact_positive",
+)
+
+
+def _prefix_rates(small: DataFrame, n_trees: int) -> DataFrame:
     on = small.where("active")
     fell, shadow = F.col("fallback_used"), F.col("shadow_reject")
     n, back = _rows(), _rows(fell)
@@ -180,6 +188,62 @@ def prefix_stats(df: DataFrame, n_trees: int) -> DataFrame:
     return _attach(total, stats, ())
 
 
+def prefix_stats(df: DataFrame, n_trees: int) -> DataFrame:
+    """Rates of a prefix run over active rows."""
+    return _prefix_rates(counted(df, PREFIX_KEYS), n_trees)
+
+
+def _families(columns: Sequence[str]) -> dict[str, tuple[Column, Column]]:
+    """Counted families of a run as ``name: (condition, key)``, all over active rows."""
+    c = F.col
+    direct, entry = "direct_checkpoint", "fallback_entry_checkpoint"
+    rescued = "anchor_checkpoint" in columns
+    at = c("anchor_checkpoint") if rescued else c(direct)
+    families = {
+        "checkpoint_exits": (F.lit(True), F.when(at != 0, at).otherwise(c(entry))),
+        "direct_rows": (at != 0, at),
+        "fallback_entries": ((at == 0) & (c(entry) != 0), c(entry)),
+        "exact_visit_hist": (c("fallback_used"), c("exact_visits")),
+    }
+    if "route" in columns:
+        families |= {"router_choices": (F.lit(True), c("route")), "router_tau_bins": (F.lit(True), c("route_tau_bin"))}
+    wrong = c("shadow_reject") != c("exact_positive") if "exact_positive" in columns else None
+    if wrong is not None:
+        families["mismatch_by_checkpoint"] = ((at != 0) & wrong, at)
+    if rescued:
+        late, stage = c("rescue_checkpoint") != 0, F.when(c("anchor_checkpoint") != 0, 0).otherwise(1)
+        families["anchor_exits"] = (at != 0, at)
+        families["rescue_routes"] = (at == 0, c("rescue_route"))
+        families["rescue_exits"] = ((at == 0) & late, c("rescue_route"))
+        families["tail_rows"] = ((at == 0) & ~late & c("fallback_used"), F.lit(0))
+        if wrong is not None:
+            families["mismatch_by_stage"] = (((at != 0) | late) & wrong, stage)
+    return families
+
+
+def prefix_summary(df: DataFrame, n_trees: int) -> DataFrame:
+    """One row for a whole run: the rates of :func:`prefix_stats` and its counted families as maps.
+
+    Families are maps of a key (checkpoint, visits, route, tau bin, rescue route, stage: 0 anchor,
+    1 rescue) to active rows, without empty keys; those appear whose columns ``df`` has. All come from
+    one counted table, whose rows are bounded by the combinations of the small columns.
+    """
+    keys = [*PREFIX_KEYS, *[k for k in MORE_KEYS if k in df.columns]]
+    small = counted(df, keys)
+    families = _families(keys)
+    marks = [
+        F.when(on & key.isNotNull(), F.struct(F.lit(name).alias("family"), key.cast("bigint").alias("key"))) for name, (on, key) in families.items()
+    ]
+    each = small.where("active").select(ROWS, F.explode(F.array_compact(F.array(*marks))).alias("m"))
+    sums = each.groupBy("m.family", "m.key").agg(F.sum(ROWS).alias("n"))
+    entry = F.struct("key", "n")
+    empty = F.create_map().cast("map<bigint,bigint>")
+    maps = [
+        F.coalesce(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("family") == name, entry)))), empty).alias(name) for name in families
+    ]
+    return _attach(_prefix_rates(small, n_trees), sums.agg(*maps), ())
+
+
 def exits_by_checkpoint(df: DataFrame, checkpoints: Sequence[int]) -> DataFrame:
     """Per checkpoint: rows decided there, rows that fell back from there, and their sum."""
     on = df.where("active")

@@ -14,6 +14,7 @@ from tierscore.plans.scoring import (
     DISPATCH,
     L1_NODES,
     PREFIX_RUN,
+    _multi_order_sql,
     _rescue_sql,
     anchor_run,
     decided,
@@ -166,6 +167,63 @@ def prefix_stats(spark, d):
     return A.prefix_stats(prefix_run(spark, d), 16)
 
 
+def family_sql(rows: str, families: dict[str, tuple[str, str]]) -> str:
+    """``key=n`` of each family of ``(condition, key)`` in key order, joined by commas."""
+    one = "(SELECT coalesce(string_agg(k || '=' || n, ',' ORDER BY k), '') FROM (SELECT {key} AS k, count(*) AS n FROM {rows} WHERE {on} GROUP BY 1)) AS {name}"
+    return ", ".join(one.format(key=key, rows=rows, on=on, name=name) for name, (on, key) in families.items())
+
+
+def families_of(summary, names):
+    """Map columns of a summary as strings."""
+    pair = lambda e: F.concat_ws("=", e["key"], e["value"])
+    return [F.array_join(F.transform(F.array_sort(F.map_entries(n)), pair), ",").alias(n) for n in names]
+
+
+RUN_FAMILIES = {
+    "checkpoint_exits": ("TRUE", "greatest(direct_checkpoint, fallback_entry_checkpoint)"),
+    "direct_rows": ("direct_checkpoint > 0", "direct_checkpoint"),
+    "fallback_entries": ("fallback_entry_checkpoint > 0", "fallback_entry_checkpoint"),
+    "exact_visit_hist": ("fallback_used = 1", "exact_visits"),
+    "router_choices": ("TRUE", "route"),
+    "router_tau_bins": ("TRUE", "route_tau_bin"),
+    "mismatch_by_checkpoint": ("direct_checkpoint > 0 AND shadow_reject <> label", "direct_checkpoint"),
+}
+RESCUE_FAMILIES = {
+    "checkpoint_exits": ("TRUE", "CASE WHEN anchor_checkpoint > 0 THEN anchor_checkpoint ELSE fallback_entry_checkpoint END"),
+    "anchor_exits": ("anchor_checkpoint > 0", "anchor_checkpoint"),
+    "fallback_entries": ("anchor_checkpoint = 0 AND fallback_entry_checkpoint > 0", "fallback_entry_checkpoint"),
+    "rescue_routes": ("anchor_checkpoint = 0", "rescue_route"),
+    "rescue_exits": ("anchor_checkpoint = 0 AND rescue_checkpoint > 0", "rescue_route"),
+    "tail_rows": ("anchor_checkpoint = 0 AND rescue_checkpoint = 0 AND fallback_used = 1", "0"),
+    "mismatch_by_stage": ("anchor_checkpoint + rescue_checkpoint > 0 AND shadow_reject <> label", "CASE WHEN anchor_checkpoint > 0 THEN 0 ELSE 1 END"),
+}
+
+
+@query(
+    "prefix_summary", "n_rows:l, active_rows:l, direct_decision_rate:d, fallback_rate:d, exact_p99_visits:l, " + ", ".join(f"{n}:s" for n in RUN_FAMILIES),
+    "WITH mo AS (" + _multi_order_sql() + "), lb AS (" + q.with_(q.TXN) + "SELECT txn_id, label FROM txn), a AS (SELECT mo.*, label FROM mo JOIN lb USING (txn_id) WHERE active) "
+    + f"""SELECT (SELECT count(*) FROM mo) AS n_rows, count(*) AS active_rows, count(*) FILTER (fallback_used = 0) / count(*) AS direct_decision_rate,
+  sum(fallback_used) / count(*) AS fallback_rate, (SELECT p99 FROM {pct_sql("a", "exact_visits", "fallback_used = 1", qs=(0.99,))}) AS exact_p99_visits,
+  {family_sql("a", RUN_FAMILIES)} FROM a""",
+)
+def prefix_summary(spark, d):
+    """Everything about a routed run in one row, from one walk."""
+    rows = multi_order_run(spark, d).withColumn("exact_positive", F.col("label") == 1)
+    out = A.prefix_summary(rows, 16)
+    return out.select("n_rows", "active_rows", "direct_decision_rate", "fallback_rate", "exact_p99_visits", *families_of(out, RUN_FAMILIES))
+
+
+@query(
+    "rescue_summary", "n_rows:l, active_rows:l, " + ", ".join(f"{n}:s" for n in RESCUE_FAMILIES),
+    "WITH an AS (" + _rescue_sql() + "), lb AS (" + q.with_(q.TXN) + "SELECT txn_id, label, active FROM txn), a AS (SELECT an.*, label FROM an JOIN lb USING (txn_id) WHERE active) "
+    + f"SELECT (SELECT count(*) FROM an) AS n_rows, count(*) AS active_rows, {family_sql('a', RESCUE_FAMILIES)} FROM a",
+)
+def rescue_summary(spark, d):
+    rows = anchor_run(spark, d).withColumn("exact_positive", F.col("label") == 1)
+    out = A.prefix_summary(rows, 16)
+    return out.select("n_rows", "active_rows", *families_of(out, RESCUE_FAMILIES))
+
+
 @query(
     "exits_by_checkpoint", "checkpoint:l, exits:l, direct_rows:l, fallback_entries:l",
     q.with_(PREFIX_RUN)
