@@ -64,8 +64,10 @@ def test_equals_brute_force(spark):
 
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 400), (900, 901), (901, 900)], "a bigint, b bigint")
-    got = {r.node: r.component for r in components(links).collect()}
-    assert got == {**{i: 0 for i in range(201)}, 400: 400, 500: 400, 900: 900, 901: 900}
+    links = links.unionByName(spark.createDataFrame([(None, 7), (900, 901)], "a bigint, b bigint"))
+    for block in (200_000, 20):
+        got = {r.node: r.component for r in components(links, block).collect()}
+        assert got == {**{i: 0 for i in range(201)}, 400: 400, 500: 400, 900: 900, 901: 900}
 
 
 def test_empty_table(spark):

@@ -1,7 +1,9 @@
 """Connected components of a link table by alternating large and small stars.
 
-Tasks first contract the links they hold, in blocks of bounded size. Then every round points nodes at
-the smallest neighbour they know; the rounds needed grow with the logarithm of the longest chain.
+Tasks first contract the links they hold, in blocks of bounded size; a table that is no larger than one
+block is done with that. Else every round points nodes at the smallest neighbour they know; the rounds
+needed grow with the logarithm of the longest chain. Null links and links of a node to itself say nothing,
+repeated ones no more than one.
 Links stay in tables: a hub is one key of a join whose side has one row per node, and minima are taken
 before rows move.
 """
@@ -61,9 +63,12 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, block: int = 200_000) -> DataFrame:
     """``node, component`` of every node of ``a, b`` links; the component is its smallest node."""
     down = links.select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b"))
-    current = materialise(down.where("a > b").mapInArrow(_contract(block), "a bigint, b bigint").distinct(), "links")
+    down = down.where("a > b")
+    one_block = links.count() <= block // 2  # with at most ``block`` nodes
+    held = down.coalesce(1) if one_block else down
+    current = materialise(held.mapInArrow(_contract(block), "a bigint, b bigint").distinct(), "links")
     before = None
-    while True:
+    while not one_block:
         sign = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == before or not sign[0]:
             break
