@@ -26,23 +26,25 @@ def ordered(df: DataFrame, key: str) -> DataFrame:
     return df.repartitionByRange(key).sortWithinPartitions(key)
 
 
-@query("src_dense_rows", "row_idx:l, first:d, last:d, width:l",
-       "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_idx, embedding[1] AS first, embedding[64] AS last, 64 AS width FROM embeddings")
+@query("src_dense_rows", "row_idx:l, position:l, value:d",
+       "SELECT row_idx, position, embedding[position + 1] AS value FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_idx, embedding FROM embeddings) CROSS JOIN (SELECT unnest(range(64)) AS position)")
 def src_dense_rows(spark, d):
+    """Every element of every row, read back."""
     path = scratch_path(spark, "dense")
     SB.write_binary(ordered(fx.vectors(spark, d), "vec_id").select("features"), path, "dense")
     rows = SB.read_dense_rows(spark, path, fx.VEC_DIM, 200)
-    at = lambda i: F.get("features", F.lit(i))
-    return rows.select("row_idx", at(0).alias("first"), at(63).alias("last"), F.size("features").alias("width"))
+    return rows.select("row_idx", F.posexplode("features").alias("position", "value"))
 
 
 @query("src_feature_table", "row_idx:l, txn_id:l, label:l, feature:l, value:d",
-       q.with_(q.TXN) + "SELECT row_number() OVER (ORDER BY txn_id) - 1 AS row_idx, txn_id, label, 0 AS feature, features[1] AS value FROM txn")
+       q.with_(q.TXN) + "SELECT row_idx, txn_id, label, feature, features[feature + 1] AS value FROM (SELECT row_number() OVER (ORDER BY txn_id) - 1 AS row_idx, * FROM txn) CROSS JOIN (SELECT unnest(range(8)) AS feature)")
 def src_feature_table(spark, d):
+    """All features of every row; the file holds missing ones as NaN."""
     path = scratch_path(spark, "features")
     SB.write_binary(ordered(fx.transactions(spark, d).select("txn_id", "label", "features"), "txn_id"), path, "features")
     rows = SB.read_feature_table(spark, path, 5000)
-    return rows.select("row_idx", "txn_id", "label", F.lit(0).alias("feature"), F.get("features", F.lit(0)).alias("value"))
+    rows = rows.select("row_idx", "txn_id", "label", F.posexplode("features").alias("feature", "value"))
+    return rows.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 @query("src_row_meta", "txn_id:l, slot_id:l, tau_used:d, active:l, exact_positive:l",
@@ -303,20 +305,25 @@ def decision_dump(spark, d):
     return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
 
 
-@query("window_csv", "t_ms:l, attempted:l, e2e_p99_us:l, n_columns:l", "SELECT t_ms, attempted, e2e_p99_us, 19 AS n_columns FROM (" + _window_sql() + ")")
+def columns_of(name: str) -> str:
+    """The column list of a registered query."""
+    return ", ".join(f"{c}:{k}" for c, k in REGISTRY[name].columns)
+
+
+@query("window_csv", columns_of("window_metrics"), _window_sql())
 def window_csv(spark, d):
     """The window file with its 19 columns, read back."""
     path = scratch_path(spark, "windows")
     SK.write_windows(window_metrics(spark, d), path)
     back = spark.read.option("header", True).csv(path)
-    return back.select("t_ms", "attempted", "e2e_p99_us", F.lit(len(back.columns)).alias("n_columns"))
+    if tuple(back.columns) != SK.WINDOW_COLUMNS:
+        raise ValueError(f"window file has the columns {back.columns}")
+    return back
 
 
-@query("stats_json", "priority:s, n_rows:l, p99:l", "SELECT priority, n_rows, p99 FROM (" + REGISTRY["infer_stats"].sql + ")")
+@query("stats_json", columns_of("infer_stats"), REGISTRY["infer_stats"].sql)
 def stats_json(spark, d):
     """Run statistics written as JSON and read back."""
-    path = scratch_path(spark, "stats")
-    SK.write_stats(infer_stats(spark, d), path)
-    return spark.read.schema("priority string, n_rows bigint, p99 bigint").json(path)
-
-
+    path, stats = scratch_path(spark, "stats"), infer_stats(spark, d)
+    SK.write_stats(stats, path)
+    return spark.read.schema(stats.schema).json(path)
