@@ -105,6 +105,11 @@ def stream_decision_counts(sdf: DataFrame, window: str, watermark: str, ts: str
     return out.withColumn("t_ms", F.unix_millis("w.start")).drop("w")
 
 
+NO_BATCH = -1  # key of heartbeats
+REPLY_DEFAULTS = {
+    "batch_id": NO_BATCH, "rows": 0, "ok_rows": 0, "status_code": 0, "timeout": False, "used_l2": False, "decision": OTHER_BUCKET,
+    "expected": 0, "issued_us": 0, "done_us": 0,
+}
 BUCKETS = tuple(f"bucket_{b}" for b in range(OTHER_BUCKET + 1))
 BATCH_COUNTS = ("replies", "rows", "ok", "lost", "err", "timeout", "http_429", "http_5xx", "used_l2", *BUCKETS)
 BATCH_OUTPUT = (
@@ -172,7 +177,7 @@ class BatchCloser(StatefulProcessor):
             yield from self._expire(key, s, s["timer"])
         for pdf in rows:
             # Heartbeats have no batch; replies to a closed batch are only waited out.
-            if pd.isna(key[0]) or s["closed"]:
+            if key[0] == NO_BATCH or s["closed"]:
                 continue
             self._add(s, pdf)
             seen = True
@@ -221,7 +226,9 @@ def stream_batch_completion(
     """
     closer = BatchCloser(deadline_ms, deadline_ms if linger_ms is None else linger_ms, chained)
     more = {"eventTimeColumnName": "closed_at"} if chained else {}
-    rows = sdf.withWatermark(ts, watermark).groupBy("batch_id")
+    # Groups with missing keys or values change the types of those that share their Arrow batch.
+    full = {c: F.coalesce(F.col(c), F.lit(v).cast(dict(sdf.dtypes)[c])) for c, v in REPLY_DEFAULTS.items()}
+    rows = sdf.withColumns(full).withWatermark(ts, watermark).groupBy("batch_id")
     return rows.transformWithStateInPandas(closer, outputStructType=BATCH_OUTPUT, outputMode="append", timeMode="EventTime", **more)
 
 
