@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tierscore.llm.common import WordHash, ascii_words, mix, runs, shingle_hashes, whole_groups, whole_text
 from tierscore.llm.components import components
+from tierscore.operators.skew import lookup_join
 from tierscore.session import materialise
 
 SKETCH = 64
@@ -290,7 +291,9 @@ class Join:
     def texts_of(self, reps: DataFrame) -> DataFrame:
         """``rep, text``: a text of each class, read under its smallest id."""
         wanted = self.classes.join(reps, "rep", "left_semi").select("rep", "low", "digest", "mixed")
-        rows = materialise(self.source.join(wanted, F.col("doc_id") == F.col("low")).select("rep", "digest", "mixed", "text"), "texts")
+        # Broadcast up to a checked size: the texts of all documents need not move for a few classes.
+        found = lookup_join(self.source, materialise(wanted.withColumnRenamed("low", "doc_id"), "wanted"), ["doc_id"], "inner")
+        rows = materialise(found.select("rep", "digest", "mixed", "text"), "texts")
         plain = rows.where("not mixed").select("rep", "text")
         of_set = rows.where("mixed").mapInArrow(self._of_digest(), "rep bigint, text string")
         return plain.unionByName(of_set).dropDuplicates(["rep"])
