@@ -10,10 +10,12 @@ INSULTS = ["gromble", "snarfle", "blurgh"]
 
 
 def distance(a, b):
+    """Levenshtein distance in which a swap of neighbouring letters is one edit, if it is the only one."""
+    swaps = {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = _next(row, i, x, b)
-    return row[-1]
+    return min(row[-1], 1) if b in swaps else row[-1]
 
 
 def _next(row, i, x, b):
@@ -40,6 +42,14 @@ def test_prefixes_match_exactly():
     assert lexicon.match("id1ot") == (1, 1) and lexicon.match("idiotic") is None and lexicon.match("no") is None
 
 
+def test_swapped_letters_are_one_edit():
+    lexicon = X.Lexicon(["idiot", "gromble"], [False, False])
+    for word in ("idoit", "diiot", "iidot", "idito"):
+        assert lexicon.match(word) == (0, 1), word
+    assert lexicon.match("gormble") == lexicon.match("grobmle") == lexicon.match("grombel") == (1, 1)
+    assert lexicon.match("gorbmle") is None and lexicon.match("idoti") is None
+
+
 def test_quotations():
     words = X.words_of('he said "you idiot go" and left')
     assert X.quoted(words, 3, 8) and not X.quoted(X.words_of("you idiot go"), 1, 8)

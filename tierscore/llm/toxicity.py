@@ -4,8 +4,9 @@
    documents, chosen by a log-likelihood test against the number of candidates. Of prefixes of one
    another the one with the strongest test stays; the longest of equal ones.
 2. ``Lexicon``: a trie of these terms. ``match`` runs the Levenshtein automaton of a word over the
-   trie, state set by state set, so all terms within one edit are found in one walk. A term that
-   mostly occurs inside longer words matches as a prefix.
+   trie, state set by state set, so all terms within one edit are found in one walk; two neighbouring
+   letters that changed places are one edit. A term that mostly occurs inside longer words matches as a
+   prefix.
 3. ``fit``: what a hit says, by term, edits and context: a hit is quoted if quotation marks open
    before and close after it within a window of words. Rare cases fall back to the plain use.
 4. ``score``: log odds of all hits of a document, as a probability.
@@ -58,8 +59,13 @@ class Lexicon:
             for ch in t:
                 node = node[0].setdefault(ch, [{}, -1])
             node[1] = i
-        # One edit leaves the first or the last half of a word as it is: a cheap test before the walk.
-        self.heads = tuple({t if p else t[: len(t) // 2] for t, p in zip(terms, prefix, strict=True)})
+        # One edit leaves the first or the last half of a word as it is, unless it swaps the letters at the
+        # border: a cheap test before the walk.
+        heads = {t if p else t[: len(t) // 2] for t, p in zip(terms, prefix, strict=True)}
+        for t in (t for t, p in zip(terms, prefix, strict=True) if not p):
+            m = len(t) // 2
+            heads.add(t[: m - 1] + t[m] + t[m - 1])
+        self.heads = tuple(heads)
         self.tails = tuple({t[len(t) // 2 :] for t, p in zip(terms, prefix, strict=True) if not p})
 
     def _close(self, states: dict[int, tuple]) -> dict[int, tuple]:
@@ -81,8 +87,15 @@ class Lexicon:
             return None
         best: tuple[int, int] | None = None
         states = self._close({id(self.root): (self.root, 0)})
+        before, last = {}, ""
         for ch in word:
             moved: dict[int, tuple] = {}
+            for node, e in before.values():
+                # The term has this letter and the last one the other way round.
+                turned = node[0].get(ch)
+                turned = turned and turned[0].get(last)
+                if turned and e < self.edits and (id(turned) not in moved or moved[id(turned)][1] > e + 1):
+                    moved[id(turned)] = (turned, e + 1)
             for node, e in states.values():
                 exact = node[0].get(ch)
                 if exact is not None and (id(exact) not in moved or moved[id(exact)][1] > e):
@@ -91,9 +104,10 @@ class Lexicon:
                     for nxt in (node, *node[0].values()):
                         if id(nxt) not in moved or moved[id(nxt)][1] > e + 1:
                             moved[id(nxt)] = (nxt, e + 1)
-            if not moved:
+            # Without states a swap can still begin one letter back, but only if there was a state there.
+            if not moved and not states:
                 break
-            states = self._close(moved)
+            before, last, states = states, ch, self._close(moved)
             best = self._better(best, states, True)
         else:
             best = self._better(best, states, False)
