@@ -57,3 +57,14 @@ def test_repeated_rows_count_once(spark):
 def test_empty_tables(spark):
     assert D.find_leaks(documents(spark, []), items(spark, ITEMS)).count() == 0
     assert D.find_leaks(documents(spark, awkward()), items(spark, [])).count() == 0
+
+
+def test_a_copy_cut_before_a_short_answer_is_found(spark):
+    question = prose(321, 24)
+    table = items(spark, [(1, f"What {question}? Yes."), (2, f"No. {prose(654, 24)}.")])
+    assert [len(h) for h in D.question_answer(f"What {question}? Yes.")] == [18, 8]
+    assert [len(h) for h in D.question_answer(f"No. {prose(654, 24)}.")] == [8, 17]
+    rows = [(1, f"{prose(11, 60)} what {question}"), (2, f"{prose(12, 60)} {prose(654, 24)}"), (3, prose(13, 90))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in D.find_leaks(docs, table).collect()}
+    assert found == {(1, 1), (2, 2)}

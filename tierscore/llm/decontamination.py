@@ -7,13 +7,14 @@ cut into overlapping passages of two item lengths; each passage is a query and a
 ``threshold`` are retrieved. A bound skips passages first: the heaviest terms of every item carry more
 than ``1 - threshold`` of its score, so a passage must bring enough of those, which is summed for a
 block of documents at once. Hits are verified word by word: the item's question (all but its last
-sentence) and its answer must each share enough word runs with the passage.
+sentence) and its answer must each share enough word runs with the passage; neither is less than a
+third of the item.
 
 The index is cut into shards of at most ``shard_items`` items and ``shard_words`` words; a shard is
 what a task holds, and documents are read once per shard, so nothing is assumed of the number of
 items. Documents are never shuffled.
 
-Null or empty texts match nothing; repeated rows count once; of several hits of a document and an item
+Null or empty texts match nothing; documents without an id are one document; repeated rows count once; of several hits of a document and an item
 the best, earliest passage is kept; empty tables give no rows; extra columns are ignored.
 """
 
@@ -45,12 +46,17 @@ def words_of(text: str) -> list[str]:
 
 
 def question_answer(text: str) -> tuple[list[str], list[str]]:
-    """The words before the last sentence, and those of it; a single sentence is cut after two thirds."""
+    """The words before the last sentence, and those of it, but neither less than a third of the item.
+
+    A half of one or two words would be met or missed as a whole, so a copy cut before a short last
+    sentence would pass as clean. A single sentence is cut after two thirds.
+    """
     parts = [w for w in map(words_of, SENTENCE.split(text)) if w]
-    if len(parts) > 1:
-        return [w for p in parts[:-1] for w in p], parts[-1]
-    words = parts[0] if parts else []
-    cut = -(-2 * len(words) // 3)
+    words = [w for p in parts for w in p]
+    longest = -(-2 * len(words) // 3)
+    if len(parts) < 2:
+        return words[:longest], words[longest:]
+    cut = min(max(len(words) - len(parts[-1]), len(words) - longest), longest)
     return words[:cut], words[cut:]
 
 
