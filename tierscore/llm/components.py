@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tierscore.session import materialise
 
 
-def _contract(block: int):
-    """Links of a block to links that point each node at the smallest of its part."""
+def _contract(block: int, loops: bool):
+    """Links of a block to links that point each node, with ``loops`` the smallest too, at the smallest of its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -32,9 +32,10 @@ def _contract(block: int):
 
         def flush() -> pa.RecordBatch:
             rows = [(x, root(x)) for x in list(parent)]
-            rows = [r for r in rows if r[0] != r[1]]
+            rows = [r for r in rows if loops or r[0] != r[1]]
             parent.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            names = ["node", "component"] if loops else ["a", "b"]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=names)
 
         for batch in batches:
             for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -64,11 +65,11 @@ def components(links: DataFrame, block: int = 200_000) -> DataFrame:
     """``node, component`` of every node of ``a, b`` links; the component is its smallest node."""
     down = links.select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b"))
     down = down.where("a > b")
-    one_block = links.count() <= block // 2  # with at most ``block`` nodes
-    held = down.coalesce(1) if one_block else down
-    current = materialise(held.mapInArrow(_contract(block), "a bigint, b bigint").distinct(), "links")
+    if links.count() <= block // 2:  # with at most ``block`` nodes: one task, nothing to merge
+        return down.coalesce(1).mapInArrow(_contract(block, True), "node bigint, component bigint")
+    current = materialise(down.mapInArrow(_contract(block, False), "a bigint, b bigint").distinct(), "links")
     before = None
-    while not one_block:
+    while True:
         sign = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == before or not sign[0]:
             break

@@ -339,6 +339,8 @@ class Join:
             if asked.isEmpty():
                 break
             self.add(confirm(asked, texts, self.shingle, self.percent))
+            if step == 2:
+                break
             rest = materialise(self._apart(rest.join(asked, ["a", "b"], "left_anti")).select("a", "b", "same"), "rest")
             asked = rest.select("a", "b")
             if step == 0:
