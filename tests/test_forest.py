@@ -103,6 +103,22 @@ def test_large_tables_are_joined(spark, rows):
     assert joined.select("txn_id", *X.PREFIX_COLUMNS).exceptAll(fused.select("txn_id", *X.PREFIX_COLUMNS)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["mlp"])
+def test_outcomes_at_all_checkpoints_are_one_step(spark, rows, kind):
+    bundle = Q.bundle(spark, kind)
+    one = X.certify_long(rows, bundle)
+    assert plan_of(one).count("ArrowEvalPython") == 1 and not re.search("Join|ref_hi", plan_of(one))
+    cal = L.Calibration(bundle.calibration.checkpoints, bundle.calibration.gap_edges, bundle.calibration.tau_edges, bundle.calibration.bands)
+    cal.__dict__["small"] = False
+    joined = X.certify_long(rows, replace(bundle, calibration=cal))
+    plan = plan_of(joined)
+    # Nothing wide waits for Python: the joins of the bands are above all Arrow steps.
+    assert plan.rindex("Join") < plan.index("ArrowEvalPython")
+    assert joined.columns == one.columns and one.count() == 3 * rows.count()
+    assert joined.drop("features").exceptAll(one.drop("features")).count() == 0
+    assert {r["outcome"] for r in one.select("outcome").distinct().collect()} == {"open", "reject", "refer"}
+
+
 def test_missing_vectors_and_thresholds(spark, rows):
     some = rows.where("txn_id < 200").withColumn("tau", F.when(F.col("txn_id") % 2 == 0, F.col("tau")))
     some = some.withColumn("features", F.when(F.col("txn_id") % 3 != 0, F.col("features"))).withColumn("fold_id", F.lit(None).cast("int"))
