@@ -103,7 +103,7 @@ def test_large_tables_are_joined(spark, rows):
     assert joined.select("txn_id", *X.PREFIX_COLUMNS).exceptAll(fused.select("txn_id", *X.PREFIX_COLUMNS)).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["mlp"])
+@pytest.mark.parametrize("kind", ["atlas", "mlp"])
 def test_outcomes_at_all_checkpoints_are_one_step(spark, rows, kind):
     bundle = Q.bundle(spark, kind)
     one = X.certify_long(rows, bundle)
