@@ -119,6 +119,18 @@ def test_outcomes_at_all_checkpoints_are_one_step(spark, rows, kind):
     assert {r["outcome"] for r in one.select("outcome").distinct().collect()} == {"open", "reject", "refer"}
 
 
+def test_packets_are_one_step_and_equal_the_joins(spark, rows):
+    bundle, policy = Q.bundle(spark), fx.packet_policy(spark)
+    one = X.packet_cascade(rows, bundle, fx.PACKETS, policy, F.col("active"))
+    assert plan_of(one).count("ArrowEvalPython") == 1 and not re.search("Join|ref_hi", plan_of(one))
+    joined = X.joined_packets(rows, bundle, fx.PACKETS, policy, F.col("active"))
+    assert joined.columns == one.columns and one.count() == rows.count()
+    assert joined.drop("features").exceptAll(one.drop("features")).count() == 0
+    uneven = ((3, (0, 7, 9)), (1, (15,)), (2, (1, 2, 3, 4)), (0, (5, 6, 8, 10, 11, 12, 13, 14)))
+    out = [f(rows, bundle, uneven, policy, F.col("active")).drop("features") for f in (X.packet_cascade, X.joined_packets)]
+    assert out[1].exceptAll(out[0]).count() == 0
+
+
 def test_missing_vectors_and_thresholds(spark, rows):
     some = rows.where("txn_id < 200").withColumn("tau", F.when(F.col("txn_id") % 2 == 0, F.col("tau")))
     some = some.withColumn("features", F.when(F.col("txn_id") % 3 != 0, F.col("features"))).withColumn("fold_id", F.lit(None).cast("int"))
