@@ -139,6 +139,21 @@ def test_mask_scorer_agrees(forest):
     assert both.where("lower = iv.lower AND upper = iv.upper").count() == 302
 
 
+def test_mask_scorer_of_one_block_moves_no_rows(forest, monkeypatch):
+    _, nodes, _, df = forest
+    m = T.TreeModel.load(nodes, DIM)
+    rows = df.where("features IS NOT NULL")
+    one = R.score_by_masks(rows, nodes)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr(R, "BLOCK_TREES", 2)
+    blocks = R.score_by_masks(rows, nodes)
+    arrow = rows.select("txn_id", T.score_exact(F.col("features"), m).alias("a"))
+    assert blocks.join(arrow, "txn_id").where("a = score").count() == blocks.count() == one.count() == 302
+    twice = R.score_by_masks(rows.unionAll(rows), nodes)
+    assert twice.exceptAll(blocks).exceptAll(one).count() == 0 and twice.count() == 604
+
+
 def test_suffix_bounds_table_matches_the_model(spark, forest):
     _, nodes, _, _ = forest
     m = T.TreeModel.load(nodes, DIM)
