@@ -154,6 +154,17 @@ def test_mask_scorer_of_one_block_moves_no_rows(forest, monkeypatch):
     assert twice.exceptAll(blocks).exceptAll(one).count() == 0 and twice.count() == 604
 
 
+def test_interval_by_blocks_equals_one_block(forest, monkeypatch):
+    _, nodes, _, df = forest
+    rows = df.where("features IS NOT NULL")
+    one = R.interval_by_masks(rows, nodes, observed=[1, 3])
+    assert "HashAggregate" not in one._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(R, "BLOCK_TREES", 2)
+    blocks = R.interval_by_masks(rows, nodes, observed=[1, 3])
+    iv = rows.select("txn_id", T.score_interval(F.col("features"), T.TreeModel.load(nodes, DIM), [1, 3]).alias("iv"))
+    assert blocks.join(iv, "txn_id").where("lower = iv.lower AND upper = iv.upper").count() == one.count() == 302
+
+
 def test_suffix_bounds_table_matches_the_model(spark, forest):
     _, nodes, _, _ = forest
     m = T.TreeModel.load(nodes, DIM)
