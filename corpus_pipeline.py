@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 
 from tierscore.llm import decontamination, near_dups, packing, toxicity
 from tierscore.llm.common import table
+from tierscore.operators.skew import is_small
 from tierscore.session import materialise
 
 SHINGLE, PERCENT = 5, 80
+BROADCAST_IDS = 2_000_000  # rejected ids that are sent to every task, some 100 MB; beyond them the texts move once
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows whose id is not in ``rejected`` (``doc_id``)."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    ids = materialise(rejected.select("doc_id").distinct(), "rejected")
+    small = is_small(ids, BROADCAST_IDS)
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     decided = materialise(decided.where("doc_id is not null"), "decided")
     clean = _without(docs, decided.where("not kept"))
     repeated = materialise(decided.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    # Only the rows of repeated ids, if there are any, move to the task of their id.
+    if repeated.isEmpty():
+        return clean
+    # Only the rows of repeated ids move to the task of their id.
     one = Window.partitionBy("doc_id").orderBy(F.lit(0))
     copies = clean.join(repeated, "doc_id", "left_semi").withColumn("__copy", F.row_number().over(one)).where("__copy = 1")
     return _without(clean, repeated).unionByName(copies.select(*docs.columns))

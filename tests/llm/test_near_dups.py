@@ -124,3 +124,13 @@ def test_star_of_separately_edited_copies(spark):
     got = {r.doc_id: r.component_id for r in N.near_duplicates(documents(spark, rows), shingle=4).collect()}
     # Probabilistic per pair: 1 of 5,000 is lost with these texts.
     assert sum(got[i] != 0 for i in partners) <= 5
+
+
+def test_large_nodes_meet_in_one_join(spark):
+    # Node 1: one outsider; node 2: one component; node 3: two outsiders.
+    comps = {1: [7, 7, 7, 8], 2: [9, 9], 3: [4, 4, 4, 5, 6]}
+    rows = [(node, 100 * node + i, bytearray(N.SKETCH), 10, comp) for node, cs in comps.items() for i, comp in enumerate(cs)]
+    large = spark.createDataFrame(rows, "node bigint, rep bigint, sketch binary, n bigint, comp bigint")
+    nodes = lambda most: {r.node for r in N._meetings(large, most).select("node").distinct().collect()}
+    assert nodes(None) == {1, 3} and nodes(2) == {1, 3} and nodes(1) == {1}
+    assert "LeftSemi" not in N._meetings(large, 1)._jdf.queryExecution().executedPlan().toString()

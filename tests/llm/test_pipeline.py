@@ -48,6 +48,22 @@ def test_stages_against_plain_python(spark, folder):
     assert 0 < len(final) < len(kept)
 
 
+def test_rejected_ids_go_to_the_texts(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    rejected = docs.where("doc_id % 2 = 0").select("doc_id")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = pipeline._without(docs, rejected)
+        assert "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(pipeline, "BROADCAST_IDS", 10)
+        many = pipeline._without(docs, rejected)
+        assert "Exchange hashpartitioning" in many._jdf.queryExecution().executedPlan().toString()
+        assert few.exceptAll(many).count() == 0 and few.count() == many.count() == docs.where("doc_id is null or doc_id % 2 <> 0").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_run_packs_what_the_stages_keep(spark, folder):
     path, rows, toxic = folder
     got = pipeline.run(spark, path).collect()

@@ -363,16 +363,18 @@ class Join:
             return
         # Random blocks of large nodes only connect what is alike throughout; their nodes branch on.
         again = unsettled(with_components(blocks.where("whole").join(doubtful, keys, "left_semi"), self.found), keys)
-        more = likely_pairs(again, self.share, self.margin, False).join(refused, ["a", "b"], "left_anti")
-        more = materialise(more.select("a", "b", "same"), "pairs")
+        # Alike classes meet in most of their trees: a pair counts once before it is compared with the refused ones.
+        every = likely_pairs(again, self.share, self.margin, False).groupBy("a", "b").agg(F.max("same").alias("same"))
+        more = materialise(every.join(refused.distinct(), ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             self.ask(more)
 
 
-def _meetings(large: DataFrame) -> DataFrame:
+def _meetings(large: DataFrame, most_others: int | None = None) -> DataFrame:
     """``node, i, j, own, rep, sketch, n, comp``: rows of every two blocks ``i <= j`` of a node that must meet.
 
-    Classes of the node's largest component meet only the others, so a node of one component has no rows.
+    Classes of the node's largest component meet only the others, so a node of one component has no rows;
+    nor has one with more than ``most_others`` others.
     """
     sizes = large.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     per = sizes.groupBy("node").agg(F.max(F.struct("c", "comp", "s")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
@@ -381,7 +383,9 @@ def _meetings(large: DataFrame) -> DataFrame:
         return F.ceil(F.greatest(c / BLOCK_CLASSES, s / BLOCK_SHINGLES)).cast("int")
 
     top, others = blocks(F.col("top.c"), F.col("top.s")), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s"))
-    per = per.where("c > top.c").select("node", F.col("top.comp").alias("main"), top.alias("tops"), others.alias("others"))
+    per = per.where("c > top.c")
+    per = per if most_others is None else per.where(F.col("c") - F.col("top.c") <= most_others)
+    per = per.select("node", F.col("top.comp").alias("main"), top.alias("tops"), others.alias("others"))
     rows, dealt = large.join(per, "node"), F.xxhash64("rep", "node", F.lit("block"))
     main = F.col("comp") == F.col("main")
     own = F.when(main, F.col("others") + F.pmod(dealt, F.col("tops"))).otherwise(F.pmod(dealt, F.col("others"))).cast("int")
@@ -520,7 +524,8 @@ def near_duplicates(
         blocks, left = branches(large, node_limit, levels)
         joined.settle(blocks)
         _compare_large(joined, left)
-        _compare_large(joined, almost_settled(joined, large, node_limit))
+        # Large root nodes with few classes outside their largest component can meet these in full.
+        _compare_large(joined, large, node_limit)
     owner = with_components(classes.select("rep", "low"), joined.found)
     least = owner.groupBy("comp").agg(F.min("low").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", "rep", "digest")
@@ -535,18 +540,10 @@ def near_duplicates(
     )
 
 
-def almost_settled(joined: Join, large: DataFrame, node_limit: int) -> DataFrame:
-    """Large root nodes with few classes outside their largest component: these can meet all of the node."""
-    rows = with_components(large, joined.found)
-    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("c"))
-    nodes = sizes.groupBy("node").agg((F.sum("c") - F.max("c")).alias("others")).where(F.col("others").between(1, node_limit))
-    return rows.join(nodes.select("node"), "node", "left_semi")
-
-
-def _compare_large(joined: Join, left: DataFrame) -> None:
+def _compare_large(joined: Join, left: DataFrame, most_others: int | None = None) -> None:
     """Links on full sets between the components of nodes that stayed large."""
-    rows = unsettled(with_components(left, joined.found), ["node"]).select("node", "rep", "sketch", "n", "comp")
-    met = materialise(_with_partners(_meetings(rows), joined.share, joined.margin), "met")
+    rows = with_components(left, joined.found).select("node", "rep", "sketch", "n", "comp")
+    met = materialise(_with_partners(_meetings(rows, most_others), joined.share, joined.margin), "met")
     if not met.isEmpty():
         texts = joined.texts_of(met.select("rep").distinct())
         joined.add(full_links(met, texts, joined.shingle, joined.percent))
