@@ -131,6 +131,12 @@ def test_packets_are_one_step_and_equal_the_joins(spark, rows):
     assert out[1].exceptAll(out[0]).count() == 0
 
 
+def test_rescue_takes_two_steps(spark, sf_dir):
+    plan = plan_of(Q.anchor_run(spark, sf_dir))
+    # Tier-one score, anchor, and the rescue together with the leaves of what stays open.
+    assert plan.count("ArrowEvalPython") == 3 and "certify_slots" in plan and "tree_leaf_values" in plan
+
+
 def test_missing_vectors_and_thresholds(spark, rows):
     some = rows.where("txn_id < 200").withColumn("tau", F.when(F.col("txn_id") % 2 == 0, F.col("tau")))
     some = some.withColumn("features", F.when(F.col("txn_id") % 3 != 0, F.col("features"))).withColumn("fold_id", F.lit(None).cast("int"))
