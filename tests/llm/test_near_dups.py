@@ -134,3 +134,12 @@ def test_large_nodes_meet_in_one_join(spark):
     nodes = lambda most: {r.node for r in N._meetings(large, most).select("node").distinct().collect()}
     assert nodes(None) == {1, 3} and nodes(2) == {1, 3} and nodes(1) == {1}
     assert "LeftSemi" not in N._meetings(large, 1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_nodes_of_bounded_size_do_not_branch(spark, monkeypatch):
+    monkeypatch.setattr(N, "_branch", lambda big: pytest.fail("a node of at most FULL_CLASSES classes branched"))
+    line = "one line that stands in every one of these texts"
+    texts = [f"{line} {' '.join(f'own{i}x{k}' for k in range(4))}" for i in range(60)]
+    texts += [f"{line} {' '.join(f'own{i}x{k}' for k in range(3))} own{i}x3 end" for i in range(0, 60, 10)]
+    got = N.near_duplicates(documents(spark, list(enumerate(texts))), shingle=4, node_limit=8).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i if i < 60 else (i - 60) * 10 for i in range(66)}

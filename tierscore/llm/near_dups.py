@@ -8,13 +8,13 @@ Equal sets are one class, numbered by their digest; classes are joined:
 2. The classes of a root are compared: in one block if there are at most ``node_limit``, else in random
    blocks. Comparing means estimating on the tokens with a margin. A spanning forest of the likely
    pairs of each block is confirmed on full sets, and the links give components.
-3. Nodes whose classes are all in one component are done. The large ones of the rest branch again by
-   tokens that their path chooses, level by level; deeper nodes hold ever more alike classes, and the
-   rows of a level never outgrow the level before by more than a quarter. Their blocks are settled
-   like those of the roots.
-4. A node that is still large at the deepest level is compared in full on full sets: its classes
-   outside the node's largest component against all of the node, block against block across tasks. So
-   is a large root node of which at most ``node_limit`` classes are still outside.
+3. Nodes whose classes are all in one component are done. Of the large ones those with at most FULL_CLASSES
+   classes are compared in full on full sets: their classes outside the node's largest component against all
+   of the node, block against block across tasks. So is a larger one of which at most ``node_limit`` classes
+   are outside.
+4. The rest branch again by tokens that their path chooses, level by level; deeper nodes hold ever more alike
+   classes, and the rows of a level never outgrow the level before by more than a quarter. Their blocks are
+   settled like those of the roots, and a node that is large at the deepest level is compared in full.
 
 A small node whose forest was not confirmed as a whole is compared again: all its likely pairs between
 different components are confirmed. Pairs inside a component change nothing. Every class asks one
@@ -44,6 +44,7 @@ SKETCH = 64
 SIGNED = "doc_id bigint, digest binary, n_shingles bigint, roots array<bigint>, sketch binary"
 BLOCK_CLASSES = 4_096  # of a block of a large node, or
 BLOCK_SHINGLES = 1_000_000
+FULL_CLASSES = 8_192  # of a large node that is compared in full without branching, so a row meets no more than these
 TILE = 512
 SURVIVE = 4  # at a similarity of 0.8 a path splits one time in four: 0.8 * 1.25 = 1
 
@@ -159,6 +160,20 @@ def unsettled(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(open_.select(*keys), keys, "left_semi")
 
 
+def _many_others(rows: DataFrame, few: int) -> DataFrame:
+    """Rows of the nodes with more than ``few`` classes outside their largest component."""
+    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("c"))
+    open_ = sizes.groupBy("node").agg((F.sum("c") - F.max("c")).alias("_others")).where(F.col("_others") > few)
+    return rows.join(open_.select("node"), "node", "left_semi")
+
+
+def _widest(rows: DataFrame) -> DataFrame:
+    """Rows of the nodes of at most FULL_CLASSES classes that are the largest such node of one of their classes."""
+    fit = rows.where(F.col("members") <= FULL_CLASSES)
+    first = fit.groupBy("rep").agg(F.max(F.struct("members", "node")).alias("_first"))
+    return fit.join(first.select(F.col("_first.node").alias("node")).distinct(), "node", "left_semi")
+
+
 def branches(rows: DataFrame, node_limit: int, levels: int) -> tuple[DataFrame, DataFrame]:
     """Blocks of all levels below ``rows`` (large nodes), and the nodes that stay large to the end."""
     found = None
@@ -259,8 +274,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
         number, current, mine = WordHash(), None, None
         for batch in batches:
             out = []
-            for a, task, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                theirs = _shingles(number, text, shingle)
+            for a, task, b, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                theirs = _shingles(number, text.as_py(), shingle)
                 if b is None:
                     current, mine = (a, task), theirs
                 elif (a, task) == current:
@@ -520,12 +535,21 @@ def near_duplicates(
     joined.settle(in_blocks(top, node_limit, 0))
     large = unsettled(with_components(top.where(F.col("members") > node_limit), joined.found), ["node"])
     large = materialise(large.drop("comp"), "nodes")
+    if not large.isEmpty():
+        # Nodes of bounded size meet in full and are done. The largest ones of each class come first: what they link is in
+        # one component when the nodes of the other trees meet.
+        wide = materialise(_widest(large), "nodes")
+        _compare_large(joined, wide)
+        rest = large.join(wide.select("node").distinct(), "node", "left_anti")
+        _compare_large(joined, rest.where(F.col("members") <= FULL_CLASSES))
+        # Larger ones with few classes outside their largest component can meet these in full.
+        _compare_large(joined, large.where(F.col("members") > FULL_CLASSES), node_limit)
+        large = _many_others(with_components(large.where(F.col("members") > FULL_CLASSES), joined.found), node_limit)
+        large = materialise(large.drop("comp"), "nodes")
     if not large.isEmpty():
         blocks, left = branches(large, node_limit, levels)
         joined.settle(blocks)
         _compare_large(joined, left)
-        # Large root nodes with few classes outside their largest component can meet these in full.
-        _compare_large(joined, large, node_limit)
     owner = with_components(classes.select("rep", "low"), joined.found)
     least = owner.groupBy("comp").agg(F.min("low").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", "rep", "digest")
