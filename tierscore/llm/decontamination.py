@@ -173,7 +173,7 @@ class Index:
 class Terms(dict):
     """Raw word to its number in the index: -1 for an unknown word, -2 for none."""
 
-    def __init__(self, terms: dict[str, int], limit: int = 1_000_000):
+    def __init__(self, terms: dict[str, int], limit: int = 200_000):
         super().__init__()
         self.terms, self.limit = terms, limit
 
