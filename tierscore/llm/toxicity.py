@@ -126,7 +126,7 @@ class Lexicon:
 class Matches(dict):
     """Raw word to its match or None, remembered for at most ``limit`` words."""
 
-    def __init__(self, lexicon: Lexicon, limit: int = 500_000):
+    def __init__(self, lexicon: Lexicon, limit: int = 100_000):
         super().__init__()
         self.lexicon, self.limit = lexicon, limit
 
