@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tierscore.llm import decontamination, near_dups, packing, toxicity
 from tierscore.llm.common import table
 from tierscore.operators.skew import is_small
-from tierscore.session import materialise
+from tierscore.session import materialise, use_text_batches
 
 SHINGLE, PERCENT = 5, 80
 BROADCAST_IDS = 2_000_000  # rejected ids that are sent to every task, some 100 MB; beyond them the texts move once
@@ -28,12 +28,14 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    use_text_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model).where("predicted = 1 and doc_id is not null")
     return _without(docs, materialise(scored.select("doc_id"), "toxic"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    use_text_batches(spark)
     decided = near_dups.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
     decided = materialise(decided.where("doc_id is not null"), "decided")
     clean = _without(docs, decided.where("not kept"))
@@ -47,11 +49,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    use_text_batches(spark)
     hits = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, materialise(hits.where("doc_id is not null").select("doc_id"), "leaks"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    use_text_batches(spark)
     return packing.pack(docs)
 
 

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline as pipeline
+import pyarrow as pa
 import pytest
 from corpus import awkward, prose
 from test_near_dups import brute
@@ -72,3 +73,19 @@ def test_run_packs_what_the_stages_keep(spark, folder):
         ids[r.doc_id] += 1
     assert not set(ids) & (toxic | set(range(9100, 9104)) | {9001})
     assert {9000, 52_001, None} <= set(ids)
+
+
+def test_stages_take_small_batches(spark, folder):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.range(3000).selectExpr("id doc_id", "'a few words' text").coalesce(1)
+        pipeline.pack_sequences(spark, docs, folder[0])
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+        assert max(r.n for r in docs.mapInArrow(sizes, "n bigint").collect()) <= 1000
+    finally:
+        spark.conf.set(key, before)
