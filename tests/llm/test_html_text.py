@@ -102,6 +102,33 @@ def test_buckets_of_a_host_agree_with_the_whole_host(spark):
         assert {r.page_id: r.text for r in H.extract(pages(spark, rows), bucket_pages=size).collect()} == want
 
 
+def near_thresholds():
+    """Pages of one host with lines on as many pages as a run needs, and on one fewer, outside and inside articles."""
+    lines = [" ".join(f"{name}{k}" for k in range(12)) for name in "abcdef"]
+    rows = []
+    for i in range(400):
+        # Of 800 pages: outside articles 16 are needed.
+        held = [t for t, n in zip(lines[:3], (16, 15, 300), strict=True) if i < n]
+        rows.append((i, "http://h.example/", "".join(f"<div>{t}</div>" for t in [*held, " ".join(f"p{i}x{k}" for k in range(20))])))
+        # Inside articles, of which the last 20 are copies of others, 200 of 400 pages of a host are needed.
+        j = i if i < 380 else i - 380
+        held = [t for t, n in zip(lines[3:], (200, 199, 379), strict=True) if j < n]
+        own = f"<p>{' '.join(f'o{j}x{k}' for k in range(150))}</p>"
+        rows.append((1000 + i, "http://a.example/", f"<article>{own}{''.join(f'<p>{t}</p>' for t in held)}</article>"))
+        rows.append((2000 + i, "http://h.example/", f"<article>{own}</article>"))
+    return rows, lines
+
+
+def test_the_size_of_buckets_decides_nothing(spark):
+    rows, lines = near_thresholds()
+    table_ = pages(spark, rows).localCheckpoint()
+    want = {r.page_id: r.text for r in H.extract(table_, bucket_pages=10_000).collect()}
+    assert [sum(t in want[i] for i in range(400)) for t in lines[:3]] == [0, 15, 0]
+    assert [sum(t in want[1000 + i] for i in range(400)) for t in lines[3:]] == [0, 199 + 20, 0]
+    for size, kept in ((500, 2_000_000), (40, 2_000_000), (500, 10)):
+        assert {r.page_id: r.text for r in H.extract(table_, bucket_pages=size, kept_runs=kept).collect()} == want
+
+
 def test_pages_move_once(spark):
     rows, _ = shared_articles(100, 90)
     plan = H.extract(pages(spark, rows).repartition(4), bucket_pages=20)._jdf.queryExecution().executedPlan().toString()
